@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, quality_rules, url_filter, warc
+from . import bpe, chat_format, jaccard_join, quality_rules, url_filter, warc
 from .common import scratch_path, table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -99,6 +99,26 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LE
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), percent=80, width=5)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * common >= 80 * (na.n + nb.n - common)),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY 1) USING (doc_id)
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -125,5 +145,5 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_bpe, op7_warc, op8_url_filter, op10_quality_rules)}
-ORACLES = {"op1_chat_format": OP1_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op10_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_bpe, op7_warc, op8_url_filter, op9_jaccard_join, op10_quality_rules)}
+ORACLES = {"op1_chat_format": OP1_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL}
