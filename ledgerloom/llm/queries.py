@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, quality_rules, url_filter, warc
+from . import bpe, chat_format, jaccard_join, quality_rules, suffix_dedup, url_filter, warc
 from .common import scratch_path, table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -53,6 +53,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), rank_path, public_tokenizers.PATTERN, ids=False, digests=True)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -145,5 +151,5 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_bpe, op7_warc, op8_url_filter, op9_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_bpe, op3_suffix_dedup, op7_warc, op8_url_filter, op9_jaccard_join, op10_quality_rules)}
 ORACLES = {"op1_chat_format": OP1_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL}
