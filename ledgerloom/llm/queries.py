@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, jaccard_join, quality_rules, suffix_dedup, url_filter, warc
+from . import bpe, chat_format, embedding_dedup, jaccard_join, mixing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
 from .common import scratch_path, table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -59,6 +59,64 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The tree's weights in op4_mixing and the pipeline; names that are not here weigh 1.
+MIX_WEIGHTS = [("domain", "web", 3), ("domain", "books", 2), ("lang", "en", 6), ("lang", "fr", 3), ("lang", "de", 3), ("lang", "es", 2), ("source", "src0", 2)]
+
+
+def mix_levels() -> dict[str, Column]:
+    """Domain, language and source of documents: sources 0 to 9 are the web, the others books."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    return {"domain": F.when(F.length(number) == 1, "web").otherwise("books"), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = spark.createDataFrame(MIX_WEIGHTS, "level string, name string, weight long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, mix_levels(), weights).drop("text")
+
+
+def _deal_sql(name: str, nodes: str, parent: list[str], level: str) -> str:
+    """A level's budgets: capacities, the running sums that decide who gets all it has, and the shares of the others."""
+    keys = ", ".join(parent)
+    cases = " ".join(f"WHEN {level} = '{n}' THEN {w}" for lv, n, w in MIX_WEIGHTS if lv == level)
+    return f"""
+{name}_c AS (SELECT {keys}, {level}, sum(size) * 2 AS cap, CASE {cases} ELSE 1 END AS w FROM leaves GROUP BY ALL HAVING sum(size) > 0),
+{name}_o AS (SELECT c.*, p.budget AS total, coalesce(sum(cap) OVER (PARTITION BY {keys} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(w) OVER (PARTITION BY {keys} ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {name}_c c JOIN {nodes} p USING ({keys})),
+{name}_f AS (SELECT *, cap * rest <= w * (total - before) AS full FROM {name}_o),
+{name} AS (SELECT {keys}, {level}, CASE WHEN "full" THEN cap ELSE greatest(0, (w * (total - coalesce(sum(cap) FILTER ("full") OVER (PARTITION BY {keys}), 0))) // sum(w) FILTER (NOT "full") OVER (PARTITION BY {keys})) END AS budget FROM {name}_f)"""
+
+
+OP4_SQL = f"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    CASE WHEN length(regexp_extract(source, '([0-9]+)$', 1)) = 1 THEN 'web' ELSE 'books' END AS domain, len({WORDS_SQL})::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT 0 AS root, domain, lang, source, sum(n_tokens)::BIGINT AS size FROM t GROUP BY ALL),
+r0 AS (SELECT 0 AS root, sum(size) * 4 // 5 AS budget FROM leaves),
+{_deal_sql("r1", "r0", ["root"], "domain")},
+{_deal_sql("r2", "r1", ["root", "domain"], "lang")},
+{_deal_sql("r3", "r2", ["root", "domain", "lang"], "source")},
+plan AS (SELECT domain, lang, source, budget // size AS epochs, budget % size AS part FROM r3 JOIN leaves USING (domain, lang, source)),
+k AS (
+  SELECT t.*, epochs, part, ('0x' || substr(md5('20262|' || epochs::BIGINT || '|' || coalesce(doc_id::VARCHAR, 'none')), 1, 15))::BIGINT AS key
+  FROM t JOIN plan USING (domain, lang, source)),
+o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM k)
+SELECT doc_id, domain, lang, source, e::INTEGER AS epoch, n_tokens, n_tokens AS take_tokens FROM (SELECT *, unnest(range(0, epochs::BIGINT)) AS e FROM k)
+UNION ALL
+SELECT doc_id, domain, lang, source, epochs::INTEGER, n_tokens, least(n_tokens, part - sofar)::BIGINT FROM o WHERE sofar < part
+"""
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, quality_classifier.graded(table(spark, sf_dir, "labels")))
+    return quality_classifier.score(docs, model).drop("text")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -151,5 +209,5 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_bpe, op3_suffix_dedup, op7_warc, op8_url_filter, op9_jaccard_join, op10_quality_rules)}
-ORACLES = {"op1_chat_format": OP1_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_bpe, op3_suffix_dedup, op4_mixing, op5_quality_classifier, op6_embedding_dedup, op7_warc, op8_url_filter, op9_jaccard_join, op10_quality_rules)}
+ORACLES = {"op1_chat_format": OP1_SQL, "op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL}
