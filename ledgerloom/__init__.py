@@ -1,0 +1 @@
+"""A Spark-native retail integration and leakage-safe feature engine."""
