@@ -50,7 +50,8 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     other. Columns: page_id, url, payload, payload_bytes, sha256, payload_digest, record_type, refers_to.
     """
     base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    base = base.select("*", F.sha2("payload", 256).alias("sha256"), F.length("payload").cast("long").alias("payload_bytes"))
+    # digests before the join, so that what needs no payload does not move it
+    base = base.select("*", F.sha2("payload", 256).alias("sha256"), F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     # one row a digest and task before the shuffle; the join back is split where a digest is frequent
     first = base.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
     revisits = F.coalesce((F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
@@ -60,7 +61,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         "payload",
         "payload_bytes",
         "sha256",
-        base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_digest",
         F.when(revisits, "revisit").otherwise("response").alias("record_type"),
         F.when(revisits, F.col("first_id")).alias("refers_to"),
     )
@@ -86,9 +87,9 @@ def headers(recs: DataFrame) -> Column:
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write headers and payloads below path. Payloads are stored once for each SHA-256, whatever the record types."""
     recs = records(pages, min_bytes)
-    recs.select("page_id", "record_type", "refers_to", "sha256", headers(recs).alias("header")).write.parquet(f"{path}/headers")
+    recs.select("page_id", "record_type", "refers_to", "sha256", headers(recs).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     # a response stands for its payload; where min_bytes leaves several, one of them is kept
-    recs.where("record_type = 'response'").select("sha256", "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    recs.where("record_type = 'response'").select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
