@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
+from ..storage import saved
 from .graph import components
 
 
@@ -54,7 +55,7 @@ def persons(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     region: shop rows first, then legacy ones, first that is not null. A valid tax id of several persons is a
     conflict: it stays with the one that has most records, or with none if there are several such.
     """
-    keyed = nodes(records)
+    keyed = saved(nodes(records), "nodes")
     edges = links(keyed)
     label = components(edges.select("a", "b"))
     member = keyed.join(label, "node", "left").withColumn("person", F.coalesce("component", "node")).drop("component")
