@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hash buckets (a fixed size, so the model is), rated documents in the sample at most, documents a bucket must occur in.
-BUCKETS, SAMPLE, LEAST_DOCS = 1 << 20, 12_000, 4
+BUCKETS, SAMPLE, LEAST_DOCS = 1 << 20, 10_000, 4
 #: Buckets fitted at most.
-MOST_PICKED = 600
+MOST_PICKED = 250
 #: A document is kept if the probability of the highest grade is at least this.
 CUT = 0.5
 WORDS_KEPT = 500_000
@@ -82,11 +82,17 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 60, rate: float =
     if len(grades) < 2:
         return Model(weights, np.zeros(0), grades or [0])
     n = len(rows)
-    ids, column = np.unique(np.concatenate([np.asarray(x, np.int64) for x, _ in rows]), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(x) for x, _ in rows])
-    common = np.bincount(column) >= LEAST_DOCS
-    keep = common[column]
-    row, column, ids = row[keep], (np.cumsum(common) - 1)[column[keep]], ids[common]
+    # buckets of four documents or more, numbered; 32 bits each, as the driver holds the whole sample
+    counts = np.zeros(BUCKETS, np.int32)
+    for x, _ in rows:
+        counts[x] += 1
+    ids = np.flatnonzero(counts >= LEAST_DOCS)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[ids] = np.arange(len(ids))
+    kept = [number[x] for x, _ in rows]
+    kept = [x[x >= 0] for x in kept]
+    row, column = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in kept]), np.concatenate(kept)
+    del kept
     y = np.searchsorted(grades, [g for _, g in rows])
     share = np.array([(y >= k).mean() for k in range(1, len(grades))])
     cuts = -np.log(share / (1 - share))
@@ -105,7 +111,7 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 60, rate: float =
     k = int(picked.sum())
     x = np.zeros((n, k))
     x[row[keep], (np.cumsum(picked) - 1)[column[keep]]] = 1
-    w, cuts = _newton(x, y, w[picked], cuts, ridge)
+    w, cuts = _newton(x, y, np.zeros(k), cuts, ridge)
     weights[ids[picked]] = w
     return Model(weights, cuts, grades)
 
@@ -119,7 +125,7 @@ def _slopes(score: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> tuple[np.ndar
     return upper * (1 - upper) / mass, -lower * (1 - lower) / mass, upper, lower
 
 
-def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge: float, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
+def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge: float, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Most likely weights and thresholds; the thresholds stay in order, as else a grade would have no likelihood."""
     n, k, m = len(y), x.shape[1], len(cuts)
     at_upper, at_lower = np.zeros((n, k + m)), np.zeros((n, k + m))
@@ -135,7 +141,7 @@ def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge
         _, _, upper, lower = _slopes(x @ p[:k], p[k:], y)
         return float(-np.log(np.maximum(upper - lower, 1e-12)).sum() + (pull * p * p).sum() / 2)
 
-    p = np.r_[w, cuts]
+    p, damp = np.r_[w, cuts], 1e-3
     best = loss(p)
     for _ in range(steps):
         du, dl, upper, lower = _slopes(x @ p[:k], p[k:], y)
@@ -143,14 +149,15 @@ def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge
         grad = -(at_upper.T @ du + at_lower.T @ dl) + pull * p
         cross = (at_upper * (du * dl)[:, None]).T @ at_lower
         hess = -((at_upper * bend_u[:, None]).T @ at_upper + (at_lower * bend_l[:, None]).T @ at_lower) + cross + cross.T
-        step = np.linalg.solve(hess + np.diag(pull + 1e-6), grad)
-        size = 1.0
-        while size > 1e-4 and loss(p - size * step) > best:
-            size /= 2
-        after = loss(p - size * step)
-        if not after < best - 1e-4:
+        while damp < 1e6:
+            step = np.linalg.solve(hess + np.diag(pull + damp * np.maximum(np.diag(hess), 1e-3)), grad)
+            after = loss(p - step)
+            if after < best:
+                break
+            damp *= 8
+        if not after < best - 1e-3:
             break
-        p, best = p - size * step, after
+        p, best, damp = p - step, after, max(damp / 16, 1e-6)
     return p[:k], p[k:]
 
 
