@@ -1,15 +1,15 @@
-"""What the operators of this subpackage share: reading, scratch tables, sizes, components."""
+"""What the operators of this subpackage share: reading, sizes, and from the library scratch tables and components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..storage import discard, saved, scratch_path
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "components", "discard", "saved", "scratch_path", "table", "tasks_for", "text_bytes"]
+
 #: White space that separates words, as a Java character class (fixed value of the contracts).
 SPACE = r"[\x20\x09-\x0D]+"
 #: Nothing is sent to every executor beyond this many bytes.
@@ -20,38 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_ledgerloom_scratch", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="ledgerloom-")
-            spark._ledgerloom_scratch = root
-            atexit.register(shutil.rmtree, root, True)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared scratch folder and read it back."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that saved() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: shards and buckets are counted from it, so that each fits a task."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
@@ -60,51 +28,3 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 def tasks_for(spark: SparkSession, n_bytes: int, each: int) -> int:
     """Tasks so that each gets about `each` bytes, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b), longs: rows (node, component), the component's smallest node.
-
-    Alternating large-star and small-star rounds until nothing changes: every round replaces
-    each node's links by links to the smallest neighbour. Both stars are one min per node and a
-    join, so a node with very many links is pre-aggregated and split like any skewed join. Rounds
-    grow with the logarithm of the longest path; each is written to the scratch folder.
-    Null ends and self links count for nothing; repeated links count once.
-    """
-    now = saved(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-        .distinct(),
-        "edges",
-    )
-    before = None
-    while True:
-        # large-star: each node links its larger neighbours to the smallest node it sees
-        both = now.select(F.col("u").alias("n"), F.col("v").alias("w")).unionByName(
-            now.select(F.col("v").alias("n"), F.col("u").alias("w"))
-        )
-        least = both.groupBy("n").agg(F.least(F.col("n"), F.min("w")).alias("m"))
-        large = (
-            both.join(least, "n")
-            .where("w > n AND w <> m")
-            .select(F.col("w").alias("v"), F.col("m").alias("u"))
-            .distinct()
-        )
-        # small-star: each node links its smaller neighbours and itself to the smallest of them
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = (
-            large.join(low, "v")
-            .select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u"))
-            .where("v <> u")
-            .distinct()
-        )
-        after = saved(small, "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        discard(now)
-        now = after
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(
-        now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, saved, tasks_for, text_bytes
+from .common import components, saved, tasks_for, text_bytes
 from .shingles import mix, shingle_sets
 
 #: Keys that more nodes share give no pairs; nodes compared in one task at most, twice.
