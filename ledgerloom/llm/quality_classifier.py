@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 #: Hash buckets (a fixed size, so the model is), rated documents in the sample at most, documents a bucket must occur in.
 BUCKETS, SAMPLE, LEAST_DOCS = 1 << 20, 10_000, 4
 #: Buckets fitted at most.
-MOST_PICKED = 250
+MOST_PICKED = 500
 #: A document is kept if the probability of the highest grade is at least this.
-CUT = 0.5
+CUT = 0.8
 WORDS_KEPT = 500_000
 #: Letters of the beginnings of words that are features too: endings vary.
 BEGINNINGS = (4, 5, 6)
@@ -72,7 +72,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 60, rate: float = 0.5, lasso: float = 5e-4, ridge: float = 0.01) -> Model:
+def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 60, rate: float = 0.5, lasso: float = 3e-4, ridge: float = 0.003) -> Model:
     """Fit on (feature buckets, grade): a lasso picks the buckets that say something, Newton's method fits them.
 
     With one grade, or none, every score is 0 and that grade is certain.
@@ -97,9 +97,13 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 60, rate: float =
     share = np.array([(y >= k).mean() for k in range(1, len(grades))])
     cuts = -np.log(share / (1 - share))
     w, seen = np.zeros(len(ids)), np.full(len(ids), 1e-6)
+    steep = np.full(len(cuts), 1e-6)
     for _ in range(steps):
         upper, lower, _, _ = _slopes(np.bincount(row, w[column], n), cuts, y)
         grad = np.bincount(column, (upper + lower)[row], len(ids)) / n
+        slope = np.array([-(upper[y == j].sum() + lower[y == j + 1].sum()) / n for j in range(len(cuts))])
+        steep += slope * slope
+        cuts = np.maximum.accumulate(cuts - rate * slope / np.sqrt(steep)) + 1e-2 * np.arange(len(cuts))
         seen += grad * grad
         pace = rate / np.sqrt(seen)
         w = w - pace * grad
@@ -111,7 +115,7 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 60, rate: float =
     k = int(picked.sum())
     x = np.zeros((n, k))
     x[row[keep], (np.cumsum(picked) - 1)[column[keep]]] = 1
-    w, cuts = _newton(x, y, np.zeros(k), cuts, ridge)
+    w, cuts = _newton(x, y, np.zeros(k), -np.log(share / (1 - share)), ridge)
     weights[ids[picked]] = w
     return Model(weights, cuts, grades)
 
@@ -125,14 +129,10 @@ def _slopes(score: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> tuple[np.ndar
     return upper * (1 - upper) / mass, -lower * (1 - lower) / mass, upper, lower
 
 
-def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge: float, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge: float, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
     """Most likely weights and thresholds; the thresholds stay in order, as else a grade would have no likelihood."""
-    n, k, m = len(y), x.shape[1], len(cuts)
-    at_upper, at_lower = np.zeros((n, k + m)), np.zeros((n, k + m))
-    for at, shift in ((at_upper, 0), (at_lower, -1)):
-        at[:, :k] = -x
-        inside = np.flatnonzero((y + shift >= 0) & (y + shift < m))
-        at[inside, k + y[inside] + shift] = 1
+    k, m = x.shape[1], len(cuts)
+    of_upper, of_lower = ((np.arange(m)[None, :] == (y + shift)[:, None]).astype(float) for shift in (0, -1))  # which threshold is a row's bound
     pull = np.r_[np.full(k, ridge), np.zeros(m)]
 
     def loss(p: np.ndarray) -> float:
@@ -146,16 +146,21 @@ def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge
     for _ in range(steps):
         du, dl, upper, lower = _slopes(x @ p[:k], p[k:], y)
         bend_u, bend_l = du * (1 - 2 * upper) - du * du, dl * (1 - 2 * lower) - dl * dl
-        grad = -(at_upper.T @ du + at_lower.T @ dl) + pull * p
-        cross = (at_upper * (du * dl)[:, None]).T @ at_lower
-        hess = -((at_upper * bend_u[:, None]).T @ at_upper + (at_lower * bend_l[:, None]).T @ at_lower) + cross + cross.T
+        cross = -du * dl
+        grad = np.r_[x.T @ (du + dl), -(of_upper.T @ du + of_lower.T @ dl)] + pull * p
+        hess = np.zeros((k + m, k + m))
+        hess[:k, :k] = -(x * (bend_u + 2 * cross + bend_l)[:, None]).T @ x
+        hess[:k, k:] = x.T @ (of_upper * (bend_u + cross)[:, None] + of_lower * (cross + bend_l)[:, None])
+        hess[k:, :k] = hess[:k, k:].T
+        mixed = (of_upper * cross[:, None]).T @ of_lower
+        hess[k:, k:] = -((of_upper * bend_u[:, None]).T @ of_upper + (of_lower * bend_l[:, None]).T @ of_lower + mixed + mixed.T)
         while damp < 1e6:
             step = np.linalg.solve(hess + np.diag(pull + damp * np.maximum(np.diag(hess), 1e-3)), grad)
             after = loss(p - step)
             if after < best:
                 break
             damp *= 8
-        if not after < best - 1e-3:
+        if not after < best - 1e-5:
             break
         p, best, damp = p - step, after, max(damp / 16, 1e-6)
     return p[:k], p[k:]
