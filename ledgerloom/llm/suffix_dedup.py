@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, saved, tasks_for, text_bytes
+from .common import saved, tasks_for, text_bytes
 from .shingles import buffers, mix
 
 #: Bytes of text for each shard and for each bucket of anchors, and of a run, which should fit the CPU's cache.
@@ -112,10 +112,18 @@ def _gather(batches: Iterator[pa.RecordBatch], n_buckets: int, n_shards: int, le
         h, group = h[order], group[order]
         third = np.r_[False, False, (h[2:] == h[:-2]) & (group[2:] == group[:-2])][: len(h)]
         h, group = h[~third], group[~third]
+        # a row a bucket, with the sizes of its shards' lists inside
         cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-        raw = [h[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        group = group[cuts[:-1]]
-        return pa.RecordBatch.from_arrays([pa.array(group // n_shards, pa.int32()), pa.array(group % n_shards, pa.int32()), pa.array(raw, pa.binary())], names=["bucket", "shard", "hashes"])
+        bucket, shard, sizes = group[cuts[:-1]] // n_shards, (group[cuts[:-1]] % n_shards).astype(np.int32), np.diff(cuts)
+        ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        columns = [
+            pa.array(bucket[ends[:-1]], pa.int32()),
+            pa.array([shard[a:b].tobytes() for a, b in spans], pa.binary()),
+            pa.array([sizes[a:b].astype(np.int32).tobytes() for a, b in spans], pa.binary()),
+            pa.array([h[cuts[a] : cuts[b]].tobytes() for a, b in spans], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "shards", "sizes", "hashes"])
 
     for batch in batches:
         shards = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -132,8 +140,8 @@ def _gather(batches: Iterator[pa.RecordBatch], n_buckets: int, n_shards: int, le
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Of a bucket: for each shard its anchor hashes that occur twice or more, and those that occur in several shards."""
-    raw = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-    h, shard = np.concatenate(raw), np.repeat(table.column("shard").to_numpy(), [len(x) for x in raw])
+    unpack = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+    h, shard = unpack("hashes", np.uint64), np.repeat(unpack("shards", np.int32), unpack("sizes", np.int32))
     order = np.lexsort((shard, h))
     h, shard = h[order], shard[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -403,7 +411,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFr
     sharded = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
     given = sharded.repartition(n_shards, "shard")
 
-    gathered = sharded.select("shard", "text").mapInArrow(partial(_gather, n_buckets=n_buckets, n_shards=n_shards, length=length, gram=gram), "bucket int, shard int, hashes binary")
+    gathered = sharded.select("shard", "text").mapInArrow(partial(_gather, n_buckets=n_buckets, n_shards=n_shards, length=length, gram=gram), "bucket int, shards binary, sizes binary, hashes binary")
     again = gathered.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda x: _repeated(x), "shard int, several boolean, hashes binary")
     found = saved(
         given.select("shard", "doc_id", "text").groupBy("shard").cogroup(again.repartition(n_shards, "shard").groupBy("shard")).applyInArrow(lambda x, y: _shard(x, y, n_buckets, length, gram), SHARDED),
