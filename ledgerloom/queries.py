@@ -473,7 +473,7 @@ def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's windowed counts, run on the whole table as a batch."""
     from .streaming.events import windowed
 
-    return windowed(table(spark, sf_dir, "events")).select("day", "event_type", "n")
+    return windowed(table(spark, sf_dir, "events")).select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
 WINDOWS_SQL = "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
