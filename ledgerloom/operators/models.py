@@ -84,3 +84,36 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float = 0.5) ->
     c = df.agg(F.count_if(~said & ~true).alias("tn"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(said & true).alias("tp"))
     recall, specificity = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))
     return c.select("*", ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))).alias("accuracy"), recall.alias("recall"), specificity.alias("specificity"), ((recall + specificity) / 2).alias("balanced_accuracy"))
+
+
+def prepare(train: DataFrame, test: DataFrame, numbers: list[str], texts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both frames with a vector of features: numbers with the training mean for nulls, texts one-hot; columns that are
+    null throughout training are dropped. Fitted on train alone."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+
+    counts = train.agg(*(F.count(c).alias(c) for c in numbers)).first()
+    used = [c for c in numbers if counts[c]]
+    stages = [Imputer(inputCols=used, outputCols=[f"{c}_n" for c in used])] if used else []
+    for c in texts:
+        stages += [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep"), OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_v", dropLast=False)]
+    stages.append(VectorAssembler(inputCols=[f"{c}_n" for c in used] + [f"{c}_v" for c in texts], outputCol="features"))
+    doubles = lambda df: df.withColumns({c: F.col(c).cast("double") for c in used})
+    model = Pipeline(stages=stages).fit(doubles(train))
+    return model.transform(doubles(train)), model.transform(doubles(test))
+
+
+def classifier(kind: str, label: str, n_train: int, steps: int = 100, standard: bool = False, leaf: int = 2):  # noqa: ANN201
+    """An estimator: "logistic" (L2 with C = 1) or "tree" (entropy; depth at most 30, which is as deep as MLlib's go)."""
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+
+    if kind == "logistic":
+        return LogisticRegression(labelCol=label, maxIter=steps, regParam=1 / max(1, n_train), elasticNetParam=0.0, standardization=standard)
+    return DecisionTreeClassifier(labelCol=label, impurity="entropy", maxDepth=30, minInstancesPerNode=leaf)
+
+
+def scored(model, df: DataFrame, key: str, label: str) -> DataFrame:  # noqa: ANN001
+    """(key, label, score) with the probability of class 1."""
+    from pyspark.ml.functions import vector_to_array
+
+    return model.transform(df).select(key, label, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))

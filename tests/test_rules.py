@@ -8,7 +8,7 @@ from ledgerloom.functions import dates, numbers, text
 from ledgerloom.operators import graph, identity, models, profile
 from ledgerloom.operators.assertions import Suite
 from ledgerloom.plans import conform, diagnostics
-from ledgerloom.sources import readers, sinks
+from ledgerloom.sources import generator, readers, sinks
 from ledgerloom.streaming import events
 
 
@@ -145,3 +145,24 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("w").select("day", "event_type", "n").collect())) == sorted(map(tuple, events.windowed(batch).select("day", "event_type", "n").collect()))
     assert events.sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_generated_sources(spark):
+    customers = generator.customers(spark, 400)
+    assert sorted(map(tuple, customers.collect()), key=repr) == sorted(map(tuple, generator.customers(spark, 400).repartition(3).collect()), key=repr)
+    gold, bridge = identity.persons(customers)
+    n = customers.count()
+    assert bridge.count() == n and gold.count() < n and gold.where("origin = 'AMBOS'").count() > 5
+    raw = generator.orders(spark, 2000, 300)
+    lines = conform.items(generator.items(raw), raw)
+    orders = conform.orders(raw, lines)
+    assert orders.count() == 2000 and conform.unmapped(raw.select("system", "raw_status"), conform.status_table(spark), ["system", "raw_status"]).count() == 0
+    assert 5 < orders.where("delivery_too_early").count() < 40 and lines.where("NOT order_exists").count() > 10
+
+
+def test_library_classifiers(spark):
+    df = spark.createDataFrame([(i, float(i % 10), None if i % 7 == 0 else float(i % 3), None, "ab"[i % 2], int(i % 10 >= 6)) for i in range(200)], "k long, x double, z double, e double, c string, y int")
+    train, test = models.prepare(df.where("k < 140"), df.where("k >= 140"), ["x", "z", "e"], ["c"])
+    for kind in ("logistic", "tree"):
+        model = models.classifier(kind, "y", 140).fit(train)
+        assert models.auc(models.scored(model, test, "k", "y"), "score", "y").first().auc > 0.95
