@@ -192,8 +192,9 @@ OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS w FROM documents),
 l AS (SELECT doc_id, w, text, len(w) AS n_words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 wins AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i : i + 7]) AS n
-  FROM (SELECT doc_id, w, unnest(range(1, n_words - 6)) AS i FROM l WHERE n_words >= 8)),
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n
+  FROM (SELECT doc_id, unnest(h) AS h, unnest(range(1, len(h) + 1)) AS i
+    FROM (SELECT doc_id, list_transform(range(1, n_words - 6), lambda k: array_to_string(w[k : k + 7], ' ')) AS h FROM l WHERE n_words >= 8))),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM wins WHERE n > 1) GROUP BY 1),
 m AS (
   SELECT doc_id, n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,

@@ -51,9 +51,7 @@ def test_warc_round_trip(spark, tmp_path):
     back = warc.read_archive(spark, str(tmp_path / "a"))
     got = back.collect()
     assert len(got) == len(rows)
-    assert sorted((r.page_id is None, r.page_id, r.payload.decode(), r.record_type, r.refers_to) for r in got if r.page_id is not None) == sorted(
-        [(False, 3, "same", "revisit", 1), (False, 1, "same", "response", None), (False, 2, "", "response", None), (False, 5, "", "revisit", 2), (False, 1, "same", "response", None), (False, 9, "é" * 5000, "response", None)]
-    , key=repr) or sorted_rows((r.page_id, r.payload.decode(), r.record_type, r.refers_to) for r in got) == sorted_rows(
+    assert sorted_rows((r.page_id, r.payload.decode(), r.record_type, r.refers_to) for r in got) == sorted_rows(
         [(3, "same", "revisit", 1), (1, "same", "response", None), (2, "", "response", None), (5, "", "revisit", 2), (None, "same", "revisit", 1), (1, "same", "response", None), (9, "é" * 5000, "response", None), (None, "alone", "response", None)]
     )
     digests = {r.p.encode(): r.d for r in spark.createDataFrame([("",), ("same",), ("é",)], "p string").select("p", warc.base32_sha1(F.col("p").cast("binary")).alias("d")).collect()}
