@@ -2,7 +2,9 @@
 
 Equal vectors are one node with a count. Each tree splits a bounded sample again and again at the median of a
 random projection; at each split, vectors near the threshold go to both sides. All vectors are routed to
-their leaves in all trees and compared there by exact cosine. A pair that meets in several leaves counts in
+their leaves in all trees and compared there by exact cosine. Where the sample is dense, splits would cut through
+groups that are larger than a leaf, so each such group is also a ball: one more leaf with all vectors near enough to
+be linked with it, whatever their number. A pair that meets in several leaves counts in
 the first one only, so links are counted without ever being written out; of each leaf go on only
 counts and links that span its components. A leaf with many vectors is split into blocks, and
 each pair of blocks is a group.
@@ -23,19 +25,44 @@ from .common import components, saved
 SAMPLE, TREES, LEAF, BLOCK = 16_384, 8, 400, 1024
 #: Vectors within this many standard deviations of a split's threshold go to both sides.
 SPILL = 0.12
+#: Rows of the sample whose cosines with all of it are held at once.
+ROWS = 256
 
 
 class Forest:
-    """Splits as arrays: direction, threshold, margin and children; a negative child is a leaf."""
+    """Splits as arrays: direction, threshold, margin and children; a negative child is a leaf. Balls are the first leaves."""
 
-    def __init__(self, sample: np.ndarray, n_vectors: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 7):
+    def __init__(self, sample: np.ndarray, n_vectors: int, threshold: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 7):
         self.random = np.random.default_rng(seed)
         self.directions: list[np.ndarray] = []
         self.cuts: list[tuple[float, float, int, int]] = []
-        self.n_leaves, self.spill = 0, spill
         self.least = max(8, int(leaf * len(sample) / max(1, n_vectors)))
+        self.centres, self.reach = self._balls(sample, threshold)
+        self.n_leaves, self.spill = len(self.centres), spill
         self.roots = [self._grow(sample) for _ in range(trees)]
 
+    def _balls(self, sample: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Centres of the groups that do not fit a leaf, and the least cosine with a centre that its ball reaches to.
+
+        Dense is a point with more than `least` linked ones in the sample. The densest one left is a centre, and stands for
+        the dense points within twice the angle of a link. Its ball ends one such angle beyond the farthest of them, so
+        every link that one of them has is inside.
+        """
+        link = float(np.arccos(np.clip(threshold, -1, 1)))
+        degree = np.concatenate([np.zeros(0, int), *((sample[a : a + ROWS] @ sample.T >= threshold).sum(axis=1) for a in range(0, len(sample), ROWS))])
+        order = np.argsort(-degree, kind="stable")
+        waiting = order[degree[order] > self.least]
+        centres, reach = [], []
+        while len(waiting):
+            centre = sample[waiting[0]]
+            angle = np.arccos(np.clip(sample[waiting] @ centre, -1, 1))
+            own = angle <= 2 * link
+            own[0] = True
+            centres.append(centre)
+            reach.append(np.cos(min(np.pi, float(angle[own].max()) + link)) - 1e-9)
+            waiting = waiting[~own]
+        return np.array(centres).reshape(-1, sample.shape[1]), np.array(reach)
+
     def _grow(self, points: np.ndarray) -> int:
         if len(points) > 2 * self.least:
             direction = self.random.standard_normal(points.shape[1])
@@ -54,7 +81,8 @@ class Forest:
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for each leaf of each row, by row, leaves in order of their trees."""
-        rows, leaves = [], []
+        inside, ball = np.nonzero(points @ self.centres.T >= self.reach)
+        rows, leaves = [inside], [ball + 1]
 
         def down(node: int, at: np.ndarray) -> None:
             if node < 0:
@@ -133,6 +161,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     those with null or non-finite components link with nothing. Shorter vectors are filled up with zeros. A repeated
     vec_id counts as another vector; a null one links, but is no component's smallest unless all are null.
     The trees are shaped by at most SAMPLE vectors, and the model is as large as that; all are routed.
+    A group with more than `leaf` links to a vector, as far as the sample shows it, is compared as a whole.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -150,7 +179,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     nodes = saved(rows.where("unit IS NOT NULL").groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("node", F.xxhash64("unit")), "nodes")
     n_nodes = nodes.count()
     sample = [r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("unit").toLocalIterator()]
-    forest = spark.sparkContext.broadcast(Forest(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim), n_nodes, trees, leaf, spill))
+    forest = spark.sparkContext.broadcast(Forest(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim), n_nodes, threshold, trees, leaf, spill))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "n", "unit", "leaf", "leaves"]

@@ -112,6 +112,24 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_dense_group_of_embeddings(spark):
+    """A third of the vectors are one group, all different and all linked, of many times a leaf; a second group is wider than a link."""
+    rng = np.random.default_rng(3)
+    centre, other = np.eye(32)[0], np.eye(32)[1]
+    noise = rng.standard_normal((2600, 32))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.concatenate([centre + 0.155 * noise[:2000], other + 0.25 * noise[2000:], rng.standard_normal((3400, 32))])
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), leaf=50).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    assert links[:2000, :2000].sum() == 2000 * 1999
+    by = {r.vec_id: r for r in got}
+    assert len(got) == len(by) == 6000
+    assert all(by[i].n_links == links[i].sum() and by[i].component_id == 0 for i in range(2000))
+    assert 0.98 * links[2000:].sum() <= sum(by[i].n_links for i in range(2000, 6000)) <= links[2000:].sum()
+
+
 def test_mixture(spark):
     random.seed(2)
     rows = [(i, "w " * random.randint(0, 30), random.choice(["en", "fr", None]), random.choice(["a", "b", "c"]), "clash") for i in range(600)] + [(None, "x y", "en", "a", "clash"), (0, None, "en", "a", "clash")]
