@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions import text
 from ..storage import saved
 from .graph import components
+from .keys import dense_keys
 
 
 def nodes(records: DataFrame) -> DataFrame:
@@ -49,11 +50,21 @@ def links(keyed: DataFrame) -> DataFrame:
 
 
 def persons(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Golden records, and the bridge (node, person, role).
+    """Golden records and the bridge of resolve()."""
+    gold, bridge, _ = resolve(records)
+    return gold, bridge
+
+
+def resolve(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Golden records, the bridge (node, person, role, system_role, person_key), and each person's usable tax ids
+    (person_key, tax, tax_valid).
 
     Tax id: the most frequent among valid ones if there is one, else among usable ones, ties by value. Name, city and
-    region: shop rows first, then legacy ones, first that is not null. A valid tax id of several persons is a
-    conflict: it stays with the one that has most records, or with none if there are several such.
+    region: shop rows first, then legacy ones, first that is not null; within a system rows with a valid tax id come
+    first, then more complete ones, then smaller ids. legacy_id is the first legacy row in that order, shop_id the
+    smallest. A valid tax id of several persons is a conflict: it stays with the one that has most records, or with
+    none if there are several such. person is the smallest node; person_key is 1..n by the smallest legacy id, persons
+    without one after those, by shop id. role has one survivor a person; system_role one a system: legacy_id, shop_id.
     """
     keyed = saved(nodes(records), "nodes")
     edges = links(keyed)
@@ -62,17 +73,22 @@ def persons(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     used = edges.select(F.col("a").alias("node"), "rule").join(label, "node").groupBy(F.col("component").alias("person")).agg(F.array_join(F.array_sort(F.collect_set("rule")), "+").alias("rules"))
     votes = member.where("tax IS NOT NULL").groupBy("person", "tax").agg(F.count("*").alias("n"), F.max(F.coalesce("tax_ok", F.lit(False))).alias("ok"))
     tax = votes.groupBy("person").agg(F.min_by(F.struct("tax", "ok"), F.struct((~F.col("ok")).alias("x"), -F.col("n"), F.col("tax"))).alias("t")).select("person", "t.tax", F.col("t.ok").alias("tax_valid"))
-    priority = F.struct(F.when(F.col("system") == "E", 0).otherwise(1).alias("p"), F.col("source_id").alias("i"))
-    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), priority)).alias(c)
     shop = F.col("system") == "E"
+    unsure = 1 - F.coalesce(F.col("tax_ok").cast("int"), F.lit(0))
+    complete = sum((F.col(c).isNotNull().cast("int") for c in ("tax", "city", "region", "phone", "email")), F.lit(0))
+    priority = F.struct(F.when(shop, 0).otherwise(1).alias("p"), unsure.alias("u"), (-complete).alias("c"), F.col("source_id").alias("i"), F.col("node").alias("n"))
+    first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), priority)).alias(c)
     gold = member.groupBy("person").agg(
         *map(first, ("name", "city", "region")),
         F.min("signed_up").alias("first_signed_up"),
-        F.min(F.when(~shop, F.col("source_id"))).alias("legacy_id"),
+        F.min_by("source_id", F.when(~shop, priority)).alias("legacy_id"),
+        F.min(F.when(~shop, F.col("source_id"))).alias("least_legacy"),
         F.min(F.when(shop, F.col("source_id"))).alias("shop_id"),
         F.count_if(~shop).alias("n_legacy"),
         F.count_if(shop).alias("n_shop"),
     )
+    gold = dense_keys(gold, [F.col("least_legacy").isNull(), F.coalesce("least_legacy", "shop_id"), F.col("person")], "person_key").drop("least_legacy")
+    ids = gold.select("person", "person_key", "legacy_id", "shop_id")
     gold = gold.join(tax, "person", "left").join(used, "person", "left").withColumn("origin", F.when((F.col("n_legacy") > 0) & (F.col("n_shop") > 0), "AMBOS").when(F.col("n_shop") > 0, "ECOMMERCE").otherwise("LEGADO"))
     size = F.col("n_legacy") + F.col("n_shop")
     claims = gold.where("tax_valid").withColumn("size", size).groupBy("tax").agg(F.count("*").alias("n"), F.max("size").alias("most"))
@@ -80,7 +96,9 @@ def persons(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     gold = gold.join(claims, "tax", "left").withColumn("tax_conflict", F.col("tax_valid").isNotNull() & F.coalesce("tax_valid", F.lit(False)) & F.col("most").isNotNull())
     lost = F.col("tax_conflict") & ~((size == F.col("most")) & (F.col("n_most") == 1))
     gold = gold.withColumns({"tax": F.when(~lost, F.col("tax")), "tax_valid": F.when(~lost, F.col("tax_valid"))}).drop("most", "n_most")
-    complete = sum((F.col(c).isNotNull().cast("int") for c in ("tax", "city", "region", "phone", "email")), F.lit(0))
-    order = W.partitionBy("person").orderBy(F.coalesce(F.col("tax_ok").cast("int"), F.lit(0)).desc(), complete.desc(), "source_id", "system")
-    bridge = member.select("node", "system", "source_id", "person", F.when(F.row_number().over(order) == 1, "SOBREVIVENTE").otherwise("ABSORVIDO").alias("role"))
-    return gold, bridge
+    order = W.partitionBy("person").orderBy(unsure, complete.desc(), "source_id", "system")
+    ranked = member.select("node", "system", "source_id", "person", F.when(F.row_number().over(order) == 1, "SOBREVIVENTE").otherwise("ABSORVIDO").alias("role"))
+    own = F.col("source_id") == F.when(shop, F.col("shop_id")).otherwise(F.col("legacy_id"))
+    bridge = ranked.join(ids, "person").select("node", "system", "source_id", "person", "role", F.when(own, "SOBREVIVENTE").otherwise("ABSORVIDO").alias("system_role"), "person_key")
+    tax_ids = member.where("tax IS NOT NULL").join(ids, "person").select("person_key", "tax", F.col("tax_ok").alias("tax_valid")).distinct()
+    return gold, bridge, tax_ids

@@ -126,6 +126,28 @@ def test_components_and_identity(spark):
     assert sorted((r.node, r.role) for r in bridge.where("person = 1").collect()) == [(1, "SOBREVIVENTE"), (2, "ABSORVIDO"), (3, "ABSORVIDO")]
 
 
+def test_golden_records_by_the_order_of_the_rows(spark):
+    """The best row of a system is neither its first nor the person's smallest node; and a person only of the shop comes last."""
+    fields = "node long, system string, source_id long, name string, tax_id string, email string, phone string, city string, region string, signed_up date"
+    rows = [
+        (1, "E", 9, "Ana Lima", "52998224725", "z@x", "3", "Natal", "RN", None),
+        (2, "L", 10, "Rui  Sa", "12345678900", "r@x", "1", "Olinda", "PE", None), (3, "L", 11, "RUI SA", "390.533.447-05", "r@x", "1", None, "BA", None), (4, "L", 12, "Rui Sá", "39053344705", "R@x", "1", "Recife", "PE", None),
+        (5, "E", 21, "RUI SA", "39053344705", None, None, None, None, None), (6, "E", 22, "Rui Sa", "39053344705", "q@x", "5", "Caruaru", "AL", None),
+        (7, "L", 4, "Bia", "11111111111", None, None, None, None, None),
+    ]
+    gold, bridge, tax_ids = identity.resolve(spark.createDataFrame(rows, fields))
+    got = {r.person: r for r in gold.collect()}
+    assert {p: r.person_key for p, r in got.items()} == {7: 1, 2: 2, 1: 3}
+    r = got[2]
+    assert (r.name, r.city, r.region, r.legacy_id, r.shop_id) == ("Rui Sa", "Caruaru", "AL", 12, 21)
+    assert {r.node: (r.person_key, r.system_role) for r in bridge.collect()} == {
+        1: (3, "SOBREVIVENTE"), 2: (2, "ABSORVIDO"), 3: (2, "ABSORVIDO"), 4: (2, "SOBREVIVENTE"), 5: (2, "SOBREVIVENTE"), 6: (2, "ABSORVIDO"), 7: (1, "SOBREVIVENTE"),
+    }
+    assert sorted(map(tuple, tax_ids.collect())) == [(2, "12345678900", False), (2, "39053344705", True), (3, "52998224725", True)]
+    legacy, _ = identity.persons(spark.createDataFrame(rows[1:4], fields))
+    assert [(r.name, r.city, r.region, r.legacy_id, r.person_key) for r in legacy.collect()] == [("Rui Sá", "Recife", "PE", 12, 1)]
+
+
 def test_models(spark):
     df = spark.createDataFrame([(i, i % 10, int(i % 10 >= 7 or i == 3)) for i in range(200)], "k long, x int, y int")
     split = models.stratified_split(df, "k", "y")
