@@ -124,7 +124,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "page_id",
         F.length("payload").cast("long").alias("payload_bytes"),
-        warc.base32_sha1(F.col("payload")).alias("payload_digest"),
+        "payload_digest",
         "record_type",
         "refers_to",
     )

@@ -2,8 +2,8 @@
 
 write_archive() makes a record for each page and stores two tables: `headers` (the record's exact
 header bytes with the SHA-256 of its payload) and `payloads` (SHA-256, bytes, once). read_archive()
-joins them, checks the digest and gives the original records back; record_bytes() are the bytes of
-the WARC file.
+joins them, takes what a record says of itself from its header bytes, checks these and the digest, and
+gives the original records back; record_bytes() are the bytes of the WARC file.
 """
 
 from __future__ import annotations
@@ -87,19 +87,44 @@ def headers(recs: DataFrame) -> Column:
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write headers and payloads below path. Payloads are stored once for each SHA-256, whatever the record types."""
     recs = records(pages, min_bytes)
-    recs.select("page_id", "record_type", "refers_to", "sha256", headers(recs).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    recs.select("sha256", headers(recs).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     # a response stands for its payload; where min_bytes leaves several, one of them is kept
     recs.where("record_type = 'response'").select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
+def _value(header: Column, name: str) -> Column:
+    """The value of a header's line, which must be there."""
+    return F.substring_index(F.substring_index(header, f"\r\n{name}: ", -1), "\r\n", 1)
+
+
+def _page(record_id: Column) -> Column:
+    """The page_id of a record's name; null for a page without one, an error for other names."""
+    return F.nullif(F.substring_index(F.substring_index(record_id, "<urn:page:", -1), ">", 1), F.lit("none")).cast("bigint")
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records again, rebuilt by joins: page_id, record_type, refers_to, header, payload, sha256.
+    """The records again, rebuilt by joins: page_id, record_type, refers_to, header, payload, sha256, payload_digest.
 
-    A payload whose SHA-256 is not its address raises an error.
+    All but the payload and its SHA-256 are read from the header bytes. A payload whose SHA-256 is not its address
+    raises an error, and so do header bytes that are not those of a record of these values and this payload.
     """
     heads, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
     checked = payloads.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.lit("payload does not match its digest"))))
-    return heads.join(checked, "sha256").select("page_id", "record_type", "refers_to", "header", "payload", "sha256")
+    # size and digest before the join: once for each payload
+    checked = checked.select("sha256", "payload", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    head = F.col("header").cast("string")
+    parts = heads.select(
+        "sha256",
+        "header",
+        _page(_value(head, "WARC-Record-ID")).alias("page_id"),
+        _value(head, "WARC-Type").alias("record_type"),
+        F.when(_value(head, "WARC-Type") == "revisit", _page(_value(head, "WARC-Refers-To"))).alias("refers_to"),
+        _value(head, "WARC-Target-URI").alias("url"),
+    )
+    joined = parts.join(checked, "sha256")
+    fits = F.col("record_type").isin("response", "revisit") & (headers(joined) == F.col("header"))
+    record = F.struct("page_id", "record_type", "refers_to", "header", "payload", "sha256", "payload_digest")
+    return joined.select(F.when(fits, record).otherwise(F.raise_error(F.lit("header does not match its record"))).alias("record")).select("record.*")
 
 
 def record_bytes(recs: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, embedding_dedup, mixing, url_filter, warc
+from ledgerloom.llm import chat_format, embedding_dedup, mixing, queries, url_filter, warc
 
 
 def sorted_rows(rows):
@@ -66,6 +67,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "c")).count() == 0
 
 
+def test_warc_header_bytes_count(spark, tmp_path, monkeypatch):
+    """The query reads the stored header bytes: a wrong line of any kind is an error."""
+    pages = spark.createDataFrame([(1, "http://a/", "same"), (2, "http://b/", "same"), (3, None, "other")], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted_rows(r[:1] + r[3:] for r in queries.op7_warc(spark, str(tmp_path)).collect()) == sorted_rows([(1, "response", None), (2, "revisit", 1), (3, "response", None)])
+    right = warc.headers
+    for old, new in [("Length: 4", "Length: 5"), ("sha1:", "sha1:A"), ("Type: revisit", "Type: response"), ("Type: response", "Type: other"), ("Refers-To: <urn:page:1>", "Refers-To: <urn:page:x>"), ("text/html", "text/plain")]:
+        path = str(tmp_path / hashlib.md5(new.encode()).hexdigest())
+        with monkeypatch.context() as m:
+            m.setattr(warc, "headers", lambda recs, old=old, new=new: F.replace(right(recs).cast("string"), F.lit(old), F.lit(new)).cast("binary"))
+            warc.write_archive(pages, path)
+        with monkeypatch.context() as m:
+            m.setattr(warc, "write_archive", lambda *_: None)
+            m.setattr(queries, "scratch_path", lambda *_, path=path: path)
+            with pytest.raises(Exception, match="USER_RAISED_EXCEPTION|CAST_INVALID_INPUT"):
+                queries.op7_warc(spark, "/root/testdata/sf0.001").collect()
+
+
 def judge(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else None
     if rest is None:
