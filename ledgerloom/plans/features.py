@@ -26,6 +26,13 @@ def target(orders: DataFrame, cut: str, end: str) -> DataFrame:
     return orders.groupBy("customer_id").agg(F.max(before.cast("int")).alias("_in"), F.coalesce(F.max(hit.cast("int")), F.lit(0)).alias("y")).where("_in = 1").drop("_in")
 
 
+def positives_by_sets(orders: DataFrame, cut: str, end: str, cancelled: Column) -> DataFrame:
+    """Customers with y = 1 once more, apart from target(): those of orders in (cut, end] not cancelled, met with those up to the cut."""
+    date = F.col("order_date")
+    later = orders.where((date > day(cut)) & (date <= day(end)) & F.coalesce(~cancelled, F.lit(True)))
+    return later.select("customer_id").intersect(orders.where(date <= day(cut)).select("customer_id"))
+
+
 def features(orders: DataFrame, items: DataFrame, products: DataFrame, tickets: DataFrame, cut: str) -> DataFrame:
     """The fourteen features of each customer with an order up to the cut; nothing after the cut is read.
 

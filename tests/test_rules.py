@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates, numbers, text
 from ledgerloom.operators import graph, identity, models, profile
 from ledgerloom.operators.assertions import Suite
-from ledgerloom.plans import conform, diagnostics
+from ledgerloom.plans import conform, diagnostics, features
 from ledgerloom.sources import generator, readers, sinks
 from ledgerloom.streaming import events
 
@@ -148,6 +148,13 @@ def test_golden_records_by_the_order_of_the_rows(spark):
     assert [(r.name, r.city, r.region, r.legacy_id, r.person_key) for r in legacy.collect()] == [("Rui Sá", "Recife", "PE", 12, 1)]
 
 
+def test_target_by_sets(spark):
+    rows = [(1, "2025-06-30", "OK"), (1, "2025-09-28", "OK"), (1, "2025-07-01", "OK"), (2, "2025-01-01", "OK"), (2, "2025-07-02", "CANCELADO"), (3, "2025-07-02", "OK"), (4, "2025-02-02", "CANCELADO"), (4, "2025-07-01", "OK"), (5, "2025-02-02", "OK"), (5, "2025-09-29", "OK")]
+    orders = spark.createDataFrame(rows, "customer_id long, order_date string, status string").withColumn("order_date", F.col("order_date").cast("date")).withColumn("effective", F.col("status") != "CANCELADO")
+    got = sorted(r[0] for r in features.positives_by_sets(orders, "2025-06-30", "2025-09-28", F.col("status") == "CANCELADO").collect())
+    assert got == [1, 4] == sorted(r.customer_id for r in features.target(orders, "2025-06-30", "2025-09-28").where("y = 1").collect())
+
+
 def test_models(spark):
     df = spark.createDataFrame([(i, i % 10, int(i % 10 >= 7 or i == 3)) for i in range(200)], "k long, x int, y int")
     split = models.stratified_split(df, "k", "y")
