@@ -7,9 +7,11 @@
    (Larsson-Sadakane: groups of suffixes with equal prefixes are refined by the ranks at doubled depth, sorted
    groups are left alone), Kasai's common prefixes cut it into classes of equal windows, and all but a
    class's first window are repeats.
-3. Merging. Of each class that may occur in other shards its first window goes on, so a passage of a third of all
-   documents is one window a shard. By bucket of anchor, windows are sorted once for all shards, every shard's
-   windows are found there by binary search, and bytes are compared to the one found.
+3. Merging. Of each class that may occur in other shards its first window goes on, in the order of its shard's array, so
+   a passage of a third of all documents is one window a shard. By bucket of anchor the shards' lists are merged in a
+   tree: the windows of one list are found in another by binary search on their bytes, among those of their anchor.
+   Of equal windows the later one is a repeat and leaves. An anchor that very many shards have is merged by groups of
+   shards first, so no task holds them all.
 4. Spans of a document are united, and its other bytes are kept.
 """
 
@@ -25,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, tasks_for, text_bytes
+from .common import dealt, other_columns, saved, tasks_for, text_bytes
 from .shingles import buffers, mix
 
 #: Bytes of text for each shard and for each bucket of anchors, and of a run, which should fit the CPU's cache.
 SHARD_BYTES, BUCKET_BYTES, RUN = 3 << 20, 12 << 20, 256 << 10
 #: Anchors held back in a task before they are sent.
 HELD = 1 << 20
+#: Lists of an anchor that are merged in one task at most.
+FAN = 1024
 LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -138,23 +142,25 @@ def _gather(batches: Iterator[pa.RecordBatch], n_buckets: int, n_shards: int, le
         yield send()
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """Of a bucket: for each shard its anchor hashes that occur twice or more, and those that occur in several shards."""
+def _repeated(table: pa.Table, fan: int) -> pa.Table:
+    """Of a bucket: for each shard its anchor hashes that occur twice or more, by spread: 0 in it alone, 1 in up to `fan` shards, 2 in more."""
     unpack = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
     h, shard = unpack("hashes", np.uint64), np.repeat(unpack("shards", np.int32), unpack("sizes", np.int32))
     order = np.lexsort((shard, h))
     h, shard = h[order], shard[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     sizes = np.diff(np.r_[starts, len(h)])
-    several = np.repeat(shard[starts] != shard[starts + sizes - 1], sizes)
-    again = np.repeat(sizes > 1, sizes) & np.r_[True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])]
-    h, shard, several = h[again], shard[again], several[again]
-    order = np.lexsort((h, several, shard))
-    h, shard, several = h[order], shard[order], several[order]
-    group = shard.astype(np.int64) * 2 + several
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])]
+    n_shards = np.add.reduceat(fresh.astype(np.int64), starts)
+    wide = np.repeat((n_shards > 1).astype(np.int32) + (n_shards > fan), sizes)
+    again = np.repeat(sizes > 1, sizes) & fresh
+    h, shard, wide = h[again], shard[again], wide[again]
+    order = np.lexsort((h, wide, shard))
+    h, shard, wide = h[order], shard[order], wide[order]
+    group = shard.astype(np.int64) * 3 + wide
     cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(h) else np.zeros(1, np.int64)
-    found = [(int(group[a]) // 2, bool(group[a] % 2), h[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return pa.table({"shard": pa.array([x[0] for x in found], pa.int32()), "several": pa.array([x[1] for x in found], pa.bool_()), "hashes": pa.array([x[2] for x in found], pa.binary())})
+    found = [(int(group[a]) // 3, int(group[a]) % 3, h[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.table({"shard": pa.array([x[0] for x in found], pa.int32()), "spread": pa.array([x[1] for x in found], pa.int32()), "hashes": pa.array([x[2] for x in found], pa.binary())})
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -227,8 +233,9 @@ def common_prefixes(word: np.ndarray, order: np.ndarray, most: int, lane: int =
 
 
 def by_order(docs: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """Documents by doc_id, null last, then text; and their ids with null as the greatest."""
-    docs = docs.take(pc.sort_indices(docs, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])).combine_chunks()
+    """Documents by doc_id, null last, then by a hash of the text and the text; and their ids with null as the greatest."""
+    keys = [(k, "ascending") for k in ("doc_id", "tie", "text")]
+    docs = docs.take(pc.sort_indices(docs, sort_keys=keys)).combine_chunks()
     return docs, pc.fill_null(docs.column("doc_id"), LAST).to_numpy()
 
 
@@ -236,37 +243,61 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-SHARDED = "shard int, bucket int, lo binary, hi binary, row binary, ids binary, bytes binary"
+#: Rows of repeats (bucket null: shard, row, lo, hi) and sorted lists of windows: for each run of windows of one anchor the
+#: anchor, first and last window, document (row in shard, id, tie); ranks order the windows of an anchor, `wide` bytes each.
+LISTS = "shard int, bucket int, part int, lo binary, hi binary, row binary, anchors binary, ids binary, ties binary, shards binary, ranks binary, wide int, bytes binary"
+_KINDS = {"int": pa.int32(), "binary": pa.binary()}
+_FIELDS = [(x.split()[0], _KINDS[x.split()[1]]) for x in LISTS.split(", ")]
 
 
-def _shard(docs: pa.Table, found: pa.Table, n_buckets: int, length: int, gram: int) -> pa.Table:
-    """Of a shard: a row with the windows that repeat in it (bucket null), and rows of first windows by bucket."""
-    names = [x.split()[0] for x in SHARDED.split(", ")]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-    rows: list[tuple] = []
+def _lists(rows: list[dict]) -> pa.Table:
+    return pa.table({n: pa.array([r.get(n) for r in rows], kind) for n, kind in _FIELDS})
 
-    def result() -> pa.Table:
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For groups of these sizes: each item's group and its place in it."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _ranked(ranks: np.ndarray) -> dict:
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32) if not len(ranks) or ranks.max() <= np.iinfo(k).max)
+    return {"ranks": ranks.astype(kind).tobytes(), "wide": np.dtype(kind).itemsize}
+
+
+def _dense(anchor: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Each item's place among the different values of its anchor."""
+    order = np.lexsort((value, anchor))
+    a, v = anchor[order], value[order]
+    head = np.r_[True, a[1:] != a[:-1]]
+    step = np.cumsum(head | np.r_[True, v[1:] != v[:-1]])
+    out = np.empty(len(order), np.int64)
+    out[order] = step - np.maximum.accumulate(np.where(head, step, 0))
+    return out
+
+
+def _shard(docs: pa.Table, found: pa.Table, n_buckets: int, length: int, gram: int, fan: int) -> pa.Table:
+    """Of a shard: a row with the windows that repeat in it, and by bucket its sorted first windows of anchors that are elsewhere too."""
+    rows: list[dict] = []
     if not docs.num_rows or not found.num_rows:
-        return result()
+        return _lists(rows)
     shard = docs.column("shard")[0].as_py()
     docs, ids = by_order(docs)
+    ties = docs.column("tie").to_numpy()
     data, offsets = buffers(_one(docs.column("text")))
-    several = pc.fill_null(found.column("several"), False).to_pylist()
     lists = [np.frombuffer(x, np.uint64) for x in found.column("hashes").to_pylist()]
     known = np.concatenate(lists)
-    known_several = np.repeat(several, [len(x) for x in lists])
+    known_spread = np.repeat(found.column("spread").to_numpy(zero_copy_only=False), [len(x) for x in lists])
     order = np.argsort(known)
-    known, known_several = known[order], known_several[order]
+    known, known_spread = known[order], known_spread[order]
     parts = []
     for h, lo, hi, row in run_anchors(data, offsets, length, gram):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[at] == h
-        parts.append((h[hit], lo[hit], hi[hit], row[hit], known_several[at[hit]]))
+        parts.append((h[hit], lo[hit], hi[hit], row[hit], known_spread[at[hit]]))
     if not parts or not sum(len(p[0]) for p in parts):
-        return result()
-    h, lo, hi, row, cross = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return _lists(rows)
+    h, lo, hi, row, elsewhere = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     # copy out the text of these windows; neighbours in one document share their bytes
     joined = np.r_[False, (lo[1:] <= hi[:-1] + length) & (row[1:] == row[:-1])]
@@ -276,10 +307,10 @@ def _shard(docs: pa.Table, found: pa.Table, n_buckets: int, length: int, gram: i
     local = lo + (at[:-1] - begin)[np.cumsum(~joined) - 1]  # where an anchor's first window lies in the copy
     n_windows = hi - lo + 1
     copy = np.concatenate([data[a:b] for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
+    each, within = spread(n_windows)
+    here = local[each] + within
     window = np.zeros(len(copy), bool)
-    each = np.repeat(np.arange(len(lo)), n_windows)
-    within = np.arange(len(each)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    window[local[each] + within] = True
+    window[here] = True
 
     order, word = suffix_array(copy, length)
     new = common_prefixes(word, order, length) < length
@@ -288,85 +319,198 @@ def _shard(docs: pa.Table, found: pa.Table, n_buckets: int, length: int, gram: i
     group = np.cumsum(new) - 1
     keep = window[order]
     order, group = order[keep], group[keep]
+    class_of = np.zeros(len(copy), np.int64)  # numbers of classes are in the array's order
+    class_of[order] = group
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    least = np.minimum.reduceat(order, starts)
     is_first = np.zeros(len(copy), bool)
-    is_first[least] = True
+    is_first[np.minimum.reduceat(order, starts)] = True
 
-    again = window.copy()
-    again[least] = False
+    again = window & ~is_first
     # runs of windows that repeat in the shard, as places in data
     back = np.zeros(len(copy), np.int64)
-    back[local[each] + within] = lo[each] + within
+    back[here] = lo[each] + within
     places = back[again]
     if len(places):
         owner = np.searchsorted(offsets, places, "right") - 1
         cut = np.flatnonzero(np.r_[True, (places[1:] != places[:-1] + 1) | (owner[1:] != owner[:-1])])
         a, b, own = places[cut], places[np.r_[cut[1:] - 1, len(places) - 1]], owner[cut]
-        rows.append((shard, None, (a - offsets[own]).tobytes(), (b - offsets[own]).tobytes(), own.astype(np.int64).tobytes(), None, None))
-
-    # first windows whose anchor also occurs in other shards
-    some = np.add.reduceat(is_first[local[each] + within].astype(np.int64), np.cumsum(n_windows) - n_windows) if len(each) else np.zeros(0)
-    go = np.flatnonzero(cross & (some > 0))
-    if len(go):
-        flags = is_first[local[each] + within]
-        lead = np.minimum.reduceat(np.where(flags, within, len(copy)), np.cumsum(n_windows) - n_windows)[go]
-        tail = np.maximum.reduceat(np.where(flags, within, -1), np.cumsum(n_windows) - n_windows)[go]
-        a, b, own, bucket = lo[go] + lead, lo[go] + tail, row[go], (h[go] % np.uint64(n_buckets)).astype(np.int64)
-        turn = np.argsort(bucket, kind="stable")
-        a, b, own, bucket = a[turn], b[turn], own[turn], bucket[turn]
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            o = own[x:y]
-            raw = b"".join(data[s : e + length].tobytes() for s, e in zip(a[x:y].tolist(), b[x:y].tolist(), strict=True))
-            rows.append((shard, int(bucket[x]), (a[x:y] - offsets[o]).tobytes(), (b[x:y] - offsets[o]).tobytes(), o.astype(np.int64).tobytes(), ids[o].tobytes(), raw))
-    return result()
-
-
-def _merge(table: pa.Table, length: int) -> pa.Table:
-    """Of a bucket: the windows of which an equal one starts earlier in another shard, as runs for each shard."""
-    unpack = lambda name, kind=np.int64: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-    los = unpack("lo")
-    lo, hi, row, ids = np.concatenate(los), *(np.concatenate(unpack(x)) for x in ("hi", "row", "ids"))
-    shard = np.repeat(table.column("shard").to_numpy(), [len(x) for x in los])
+        rows.append({"shard": shard, "lo": (a - offsets[own]).tobytes(), "hi": (b - offsets[own]).tobytes(), "row": own.tobytes()})
+
+    # first windows of anchors that other shards have too, as runs without gaps
+    go = is_first[here] & (elsewhere > 0)[each]
+    if go.any():
+        e, w = each[go], within[go]
+        head = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (w[1:] != w[:-1] + 1)])
+        run, a, b = e[head], w[head], w[np.r_[head[1:] - 1, len(w) - 1]]
+        far = elsewhere[run] > 1
+        rows += _runs(
+            data, length, h[run], lo[run] + a, lo[run] + b, row[run], offsets, ids[row[run]], ties[row[run]], np.full(len(run), shard, np.int32),
+            class_of[here[go]], (h[run] % np.uint64(n_buckets)).astype(np.int64), np.where(far, shard // fan, -1),
+        )
+    return _lists(rows)
+
+
+def _runs(data, length, anchor, a, b, row, offsets, ids, ties, shards, value, bucket, part) -> list[dict]:  # noqa: ANN001
+    """Lists of windows by bucket and part. a, b: first and last window of each run, as places in data; value orders the windows."""
+    n = b - a + 1
+    turn = np.lexsort((anchor, part, bucket))
+    start = np.cumsum(n) - n
+    each, within = spread(n[turn])
+    value = value[start[turn][each] + within]
+    anchor, a, b, row, ids, ties, shards, bucket, part, n = (x[turn] for x in (anchor, a, b, row, ids, ties, shards, bucket, part, n))
+    base = offsets[row] if offsets is not None else np.zeros(len(row), np.int64)
+    cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]), True])
+    ends = np.r_[0, np.cumsum(n)]
+    out = []
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = slice(x, y)
+        size = (b[own] - a[own] + length).astype(np.int64)
+        _, place = spread(size)
+        raw = data[np.repeat(a[own], size) + place]
+        ranks = _dense(np.repeat(anchor[own], n[own]), value[ends[x] : ends[y]])
+        out.append(
+            {
+                "bucket": int(bucket[x]), "part": int(part[x]), "lo": (a[own] - base[own]).astype(np.int32).tobytes(), "hi": (b[own] - base[own]).astype(np.int32).tobytes(),
+                "row": row[own].astype(np.int32).tobytes(), "anchors": anchor[own].tobytes(), "ids": ids[own].tobytes(), "ties": ties[own].tobytes(), "shards": shards[own].astype(np.int32).tobytes(),
+                "bytes": raw.tobytes(), **_ranked(ranks),
+            }
+        )
+    return out
+
+
+def search(word: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of windows in sorted ones, by their bytes, eight at a time.
+
+    word: the eight bytes from each place; a, b: places of the windows; those of a are sorted from low to high for each
+    window of b. Returns for each of b its place in a, and whether an equal window is there.
+    """
+    low, high = low.copy(), high.copy()
+    equal = np.zeros(len(b), bool)
+    live = np.flatnonzero(low < high)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        if not len(live):
+            return low, equal
+        x = word[b[live] + k]
+        lo, hi = low[live], high[live]
+        if (hi - lo == 1).all():
+            v = word[a[lo] + k]
+            low[live] += v < x
+            live = live[v == x]
+            continue
+        end = hi.copy()
+        open_ = np.arange(len(live))
+        while len(open_):  # the first that is not less
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = word[a[mid] + k] < x[open_]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
+        low[live] = lo
+        found = lo < end
+        found[found] = word[a[lo[found]] + k] == x[found]
+        live, lo, hi, x = live[found], lo[found], end[found], x[found]
+        more = hi - lo > 1
+        open_ = np.flatnonzero(more)
+        first = lo.copy()
+        lo[more] += 1
+        while len(open_):  # the first that is greater
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = word[a[mid] + k] <= x[open_]
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
+        high[live] = np.where(more, lo, first + 1)
+    equal[live] = True
+    return low, equal
+
+
+def _merge(table: pa.Table, length: int, fan: int) -> pa.Table:
+    """Of a bucket (and part): windows of which an equal one starts earlier in another list, and for a part what is left as one list.
+
+    Lists are merged in pairs, then the pairs' results, and so on: the windows of one are searched in the other, among
+    those of their anchor. Of equal ones the later is a repeat and leaves, so hot passages shrink at each turn.
+    """
+    unpack = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    anchors = unpack("anchors", np.uint64)
+    anchor = np.concatenate(anchors)
+    lo, hi, row, shard = (np.concatenate(unpack(x, np.int32)).astype(np.int64) for x in ("lo", "hi", "row", "shards"))
+    ids, ties = (np.concatenate(unpack(x, np.int64)) for x in ("ids", "ties"))
+    ranks = np.concatenate([np.frombuffer(r, f"u{w}").astype(np.int64) for r, w in zip(table.column("ranks").to_pylist(), table.column("wide").to_pylist(), strict=True)])
     data = np.concatenate(unpack("bytes", np.uint8))
-    begin = np.cumsum(hi - lo + length) - (hi - lo + length)
-    # by document and place: of equal windows the first in this order is the earliest
-    order = np.lexsort((lo, row, shard, ids))
-    n_windows = (hi - lo + 1)[order]
-    each = np.repeat(order, n_windows)
-    within = np.arange(len(each)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    place = begin[each] + within
-    h = hashes(data, length)[place]
-    turn = np.argsort(h, kind="stable")
-    sorted_h = h[turn]
-    heads = np.flatnonzero(np.r_[True, sorted_h[1:] != sorted_h[:-1]])
-    merged, earliest = sorted_h[heads], turn[heads]
-    best = earliest[np.searchsorted(merged, h)]
-    later = np.flatnonzero(best != np.arange(len(h)))
-    repeats = np.zeros(len(h), bool)
+    source = np.repeat(np.arange(len(anchors)), [len(x) for x in anchors])
+    n_windows = hi - lo + 1
+    size = n_windows + length - 1
+    run, within = spread(n_windows)
+    place = (np.cumsum(size) - size)[run] + within
     word = np.r_[words_at(data), np.zeros(8, np.uint64)]
-    equal = np.ones(len(later), bool)
-    for k in [*range(0, length - 8, 8), length - 8]:
-        equal &= word[place[later] + k] == word[place[best[later]] + k]
-    repeats[later[equal]] = True
-    if not equal.all():  # different bytes under one hash: told apart by their bytes
-        seen: dict[bytes, int] = {}
-        for i in np.flatnonzero(np.isin(h, h[later[~equal]])).tolist():
-            repeats[i] = seen.setdefault(data[place[i] : place[i] + length].tobytes(), i) != i
-    each, at = each[repeats], (lo[each] + within)[repeats]
-    if not len(at):
-        return pa.table({"shard": pa.array([], pa.int32()), "lo": pa.array([], pa.binary()), "hi": pa.array([], pa.binary()), "row": pa.array([], pa.binary())})
-    turn = np.lexsort((at, row[each], shard[each]))
-    s, r, at = shard[each][turn], row[each][turn], at[turn]
-    cut = np.flatnonzero(np.r_[True, (at[1:] > at[:-1] + 1) | (r[1:] != r[:-1]) | (s[1:] != s[:-1])])
-    a, b, r, s = at[cut], at[np.r_[cut[1:] - 1, len(at) - 1]], r[cut], s[cut]
-    cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    return pa.table({"shard": pa.array([int(s[x]) for x, _ in spans], pa.int32()), **{n: pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for n, v in (("lo", a), ("hi", b), ("row", r))}})
-
-
-def _cut(docs: pa.Table, found: pa.Table, length: int, schema: pa.Schema) -> pa.Table:
+    # the order of the corpus: by document and place
+    order = np.lexsort((lo, row, shard, ties, ids))
+    start = np.empty(len(order), np.int64)
+    start[order] = np.cumsum(n_windows[order]) - n_windows[order]
+    time = start[run] + within
+
+    names, number = np.unique(anchor, return_inverse=True)
+    turn = np.lexsort((source, number))  # the lists of an anchor are numbered from 0
+    head = np.r_[True, number[turn][1:] != number[turn][:-1]]
+    step = np.cumsum(head | np.r_[True, source[turn][1:] != source[turn][:-1]])
+    own = np.empty(len(turn), np.int64)
+    own[turn] = step - np.maximum.accumulate(np.where(head, step, 0))
+    left = np.zeros(len(names), np.int64)
+    np.maximum.at(left, number, own + 1)
+
+    number, own = number[run], own[run]
+    w = np.lexsort((ranks, own, number))
+    own = own[w]
+    repeats = np.zeros(len(run), bool)
+    done = []
+    while len(w):
+        waiting = left[number[w]] > 1
+        done.append(w[~waiting])
+        w, own = w[waiting], own[waiting]
+        if not len(w):
+            break
+        odd = (own & 1).astype(bool)
+        a, b = w[~odd], w[odd]
+        pair = lambda at, lists: number[at] << 32 | lists >> 1
+        pair_a, pair_b = pair(a, own[~odd]), pair(b, own[odd])
+        at, equal = search(word, place[a], place[b], np.searchsorted(pair_a, pair_b, "left"), np.searchsorted(pair_a, pair_b, "right"), length)
+        twin = at[equal]
+        mine, other = b[equal], a[twin]
+        later = time[mine] > time[other]
+        repeats[np.where(later, mine, other)] = True
+        a[twin] = np.where(later, other, mine)
+        rest = ~equal
+        turn = np.argsort(np.r_[2 * np.arange(len(a)) + 1, 2 * at[rest]], kind="stable")
+        w, own = np.r_[a, b[rest]][turn], (np.r_[own[~odd], own[odd][rest]] >> 1)[turn]
+        left = (left + 1) >> 1
+
+    rows = []
+    at = np.flatnonzero(repeats)
+    if len(at):
+        turn = at[np.lexsort((lo[run[at]] + within[at], row[run[at]], shard[run[at]]))]
+        s, r, x = shard[run[turn]], row[run[turn]], lo[run[turn]] + within[turn]
+        cut = np.flatnonzero(np.r_[True, (x[1:] > x[:-1] + 1) | (r[1:] != r[:-1]) | (s[1:] != s[:-1])])
+        a, b, r, s = x[cut], x[np.r_[cut[1:] - 1, len(x) - 1]], r[cut], s[cut]
+        cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True])
+        rows += [{"shard": int(s[x]), "lo": a[x:y].tobytes(), "hi": b[x:y].tobytes(), "row": r[x:y].tobytes()} for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    part = table.column("part")[0].as_py()
+    if part >= 0:
+        place_in_order = np.zeros(len(run), np.int64)
+        place_in_order[np.concatenate(done)] = np.arange(sum(map(len, done)))
+        go = np.flatnonzero(~repeats)
+        e, v = run[go], within[go]
+        head = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (v[1:] != v[:-1] + 1)])
+        r, a, b = e[head], v[head], v[np.r_[head[1:] - 1, len(v) - 1]]
+        base = (np.cumsum(size) - size)[r]
+        kept = _runs(data, length, anchor[r], base + a, base + b, row[r], None, ids[r], ties[r], shard[r], place_in_order[go], np.full(len(r), table.column("bucket")[0].as_py()), np.full(len(r), part // fan))
+        for out in kept:  # places in the texts again, in the order of the list
+            turn = np.argsort(anchor[r], kind="stable")
+            out |= {"lo": (lo[r] + a)[turn].astype(np.int32).tobytes(), "hi": (lo[r] + b)[turn].astype(np.int32).tobytes()}
+        rows += kept
+    return _lists(rows)
+
+
+def _cut(docs: pa.Table, found: pa.Table, length: int, schema: pa.Schema, whole: bool) -> pa.Table:
     """Of a shard: its documents without the bytes of windows that repeat earlier ones."""
     docs, _ = by_order(docs)
     data, offsets = buffers(_one(docs.column("text")))
@@ -377,6 +521,12 @@ def _cut(docs: pa.Table, found: pa.Table, length: int, schema: pa.Schema) -> pa.
         np.add.at(edges, lo + offsets[row] - base, 1)
         np.add.at(edges, hi + length + offsets[row] - base, -1)
     gone = np.cumsum(edges[:-1]) > 0
+    if whole and gone.any():
+        # a character of which a byte goes goes whole
+        begins = (data[base : int(offsets[-1])] & 0xC0) != 0x80
+        begins[(offsets - base)[:-1][np.diff(offsets) > 0]] = True
+        character = np.cumsum(begins) - 1
+        gone = (np.bincount(character, gone) > 0)[character]
     cuts = (offsets - base).tolist()
     spans, kept = [], []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -389,37 +539,51 @@ def _cut(docs: pa.Table, found: pa.Table, length: int, schema: pa.Schema) -> pa.
             spans.append([])
             kept.append(data[base + a : base + b].tobytes())
     results = {"n_bytes": pa.array(np.diff(offsets), pa.int64()), "spans": pa.array(spans, schema.field("spans").type), "kept": pa.array(kept, pa.binary())}
-    return pa.Table.from_arrays([results.get(f.name, None) if f.name in results else _one(docs.column(f.name)).cast(f.type) for f in schema], names=schema.names)
+    return pa.Table.from_arrays([results[f.name] if f.name in results else _one(docs.column(f.name)).cast(f.type) for f in schema], names=schema.names)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, whole_characters: bool = False, with_text: bool = True, fan: int = FAN) -> DataFrame:
     """docs (doc_id, text, ...) with n_bytes, spans (array of start, end) and kept (binary).
 
     spans are the maximal runs of bytes covered by a string of `length` bytes that also starts earlier: in a
     document with a smaller doc_id, or earlier in the same one. kept are the other bytes. Strings are
-    judged on the input and never cross documents. A null text counts as empty; texts shorter than `length`
-    keep everything. A null doc_id is larger than any other; rows with equal doc_id are ordered by text,
-    and of equal rows one comes first. Other columns pass; those named like a result, or shard, are replaced.
+    judged on the input and never cross documents. whole_characters: a character of which a byte goes goes whole, so kept
+    is UTF-8 again. A null text counts as empty; texts shorter than `length` keep everything. A null doc_id is larger
+    than any other; rows with equal doc_id are ordered by xxhash64 of the text, then by the text, and of equal rows
+    one comes first. Other columns pass, text too if with_text; those named like a result, in any case, are replaced.
+    Rows that are equal in doc_id and text meet in one task, all others spread, whatever their id.
+    An anchor that more than `fan` shards have is merged in parts of `fan` shards first, then their results, and so on.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "shard")]
-    docs = docs.select(*own).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    total = text_bytes(docs)
+    others = other_columns(docs, "n_bytes", "spans", "kept", "doc_id", "text")
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.struct(*others).alias("other") if others else F.lit(None).cast("int").alias("other"))
+    total = text_bytes(given)
     n_shards, n_buckets = tasks_for(spark, total, SHARD_BYTES), tasks_for(spark, total, BUCKET_BYTES)
-    sharded = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int"))
-    given = sharded.repartition(n_shards, "shard")
+    given = given.withColumns({"tie": F.xxhash64("text"), "shard": F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int")})
 
-    gathered = sharded.select("shard", "text").mapInArrow(partial(_gather, n_buckets=n_buckets, n_shards=n_shards, length=length, gram=gram), "bucket int, shards binary, sizes binary, hashes binary")
-    again = gathered.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda x: _repeated(x), "shard int, several boolean, hashes binary")
+    gathered = given.select("shard", "text").mapInArrow(partial(_gather, n_buckets=n_buckets, n_shards=n_shards, length=length, gram=gram), "bucket int, shards binary, sizes binary, hashes binary")
+    again = dealt(gathered, n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda x: _repeated(x, fan), "shard int, spread int, hashes binary")
     found = saved(
-        given.select("shard", "doc_id", "text").groupBy("shard").cogroup(again.repartition(n_shards, "shard").groupBy("shard")).applyInArrow(lambda x, y: _shard(x, y, n_buckets, length, gram), SHARDED),
+        dealt(given.select("shard", "doc_id", "tie", "text"), n_shards, "shard").groupBy("shard").cogroup(dealt(again, n_shards, "shard").groupBy("shard")).applyInArrow(lambda x, y: _shard(x, y, n_buckets, length, gram, fan), LISTS),
         "windows",
     )
-    merged = found.where("bucket IS NOT NULL").repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda x: _merge(x, length), "shard int, lo binary, hi binary, row binary")
-    repeats = found.where("bucket IS NULL").select("shard", "lo", "hi", "row").unionByName(merged)
-    fields = [f for f in sharded.schema if f.name != "shard"]
-    result = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
+    repeats = found.where("bucket IS NULL").select("shard", "lo", "hi", "row")
+    lists, n_parts = found.where("bucket IS NOT NULL"), -(-n_shards // fan)
+    while True:
+        # parts of a bucket go to different partitions
+        placed = lists.withColumn("at", F.pmod(F.col("bucket") + (F.col("part") + 1) * 7919, F.lit(n_buckets)).cast("int"))
+        merged = dealt(placed, n_buckets, "at").groupBy("at", "bucket", "part").applyInArrow(lambda x: _merge(x, length, fan), LISTS)
+        if n_parts == 1:
+            repeats = repeats.unionByName(merged.where("bucket IS NULL").select("shard", "lo", "hi", "row"))
+            break
+        merged = saved(merged, "merged")
+        repeats = repeats.unionByName(merged.where("bucket IS NULL").select("shard", "lo", "hi", "row"))
+        lists, n_parts = merged.where("bucket IS NOT NULL"), -(-n_parts // fan)
+    fields = [f for f in given.schema if f.name in ("doc_id", "other") or (with_text and f.name == "text")]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    result = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
     arrow = to_arrow_schema(result)
-    return given.groupBy("shard").cogroup(repeats.repartition(n_shards, "shard").groupBy("shard")).applyInArrow(lambda x, y: _cut(x, y, length, arrow), result)
+    out = dealt(given, n_shards, "shard").groupBy("shard").cogroup(dealt(repeats, n_shards, "shard").groupBy("shard")).applyInArrow(lambda x, y: _cut(x, y, length, arrow, whole_characters), result)
+    return out.select("doc_id", *(["text"] if with_text else []), *(["other.*"] if others else []), "n_bytes", "spans", "kept")

@@ -7,6 +7,7 @@ import re
 
 import public_tokenizers
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, jaccard_join, quality_classifier, quality_rules, suffix_dedup
@@ -62,9 +63,15 @@ def test_bpe_ranks_are_read_whole():
         assert len(bpe.codec(PATH, public_tokenizers.PATTERN).vocabulary.ranks) == len({base64.b64decode(x.split()[0]) for x in f})
 
 
+def tie(text):
+    """Spark's xxhash64 of a text."""
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def passages(rows, length=100):
     seen, out = set(), []
-    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None and r[1] or "")):
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie(r[1]), r[1] or "")):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - length + 1):
@@ -77,8 +84,10 @@ def passages(rows, length=100):
     return out
 
 
-def removed(spark, rows):
-    out = suffix_dedup.remove_repeats(docs_of(spark, rows).withColumn("kept", F.lit("clash")).withColumn("shard", F.lit(1)))
+def removed(spark, rows, **options):
+    clash = docs_of(spark, rows).withColumns({"Kept": F.lit("clash"), "shard": F.lit(1), "tie": F.lit("x"), "other": F.lit("y")})
+    out = suffix_dedup.remove_repeats(clash, **options)
+    assert out.columns == ["doc_id", "text", "shard", "tie", "other", "n_bytes", "spans", "kept"]
     n = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", n, F.size("spans"), F.sha2("kept", 256)).collect()
 
@@ -99,6 +108,60 @@ def test_one_passage_in_all_documents(spark):
     assert sorted_rows(removed(spark, rows)) == sorted_rows(passages(rows))
 
 
+def test_lists_merge_in_parts(spark, monkeypatch):
+    """Shards of a few documents each, merged two at a time: passages in all of them, in two, and in one only."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 20_000)
+    random.seed(14)
+    shared = ["".join(random.choice("abcdefgh ") for _ in range(n)) for n in (100, 130, 240, 400)]
+    make = lambda n: "".join(random.choice("ijklmnopq ") for _ in range(n))
+    rows = [(i, make(random.randint(0, 150)) + shared[0] + make(5) + random.choice(shared)[random.randint(0, 30) :] + make(3) + (shared[3] if i % 7 == 0 else "")) for i in range(120)]
+    rows += [(i // 2, make(90) + shared[2]) for i in range(20)] + [(None, make(20) + shared[1] + make(9)) for _ in range(20)]
+    want = sorted_rows(passages(rows))
+    assert sorted_rows(removed(spark, rows, fan=2)) == want
+    assert sorted_rows(removed(spark, rows, fan=5)) == want
+
+
+def test_one_passage_in_a_thousand_shards():
+    """Lists of a thousand shards that share one passage: all but the earliest are repeats, in one task and in parts."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    shared = rng.integers(97, 105, 160, dtype=np.uint8)
+    rows = []
+    for shard in range(1000):
+        alone = rng.integers(105, 120, 130, dtype=np.uint8)
+        data = np.concatenate([shared, alone])
+        order = sorted(range(61), key=lambda i: data[i : i + 100].tobytes())
+        value = np.empty(61, np.int64)
+        value[order] = np.arange(61)
+        at = lambda *x: np.array(x)
+        # the passage's windows belong to one anchor, the shard's own to another that is not shared
+        rows += suffix_dedup._runs(data, 100, np.array([7, 1000 + shard], np.uint64), at(0, 160), at(60, 190), at(0, 1), None, at(5000 - shard, 9), at(0, 0), np.full(2, shard, np.int32), np.r_[value, np.arange(31)], at(0, 0), at(shard // 100, shard // 100))
+
+    def merged(found, fan):
+        return [r for r in suffix_dedup._merge(suffix_dedup._lists(found), 100, fan).to_pylist()]
+
+    for parts in ([rows], [rows[i : i + 100] for i in range(0, 1000, 100)]):
+        gone, left = [], []
+        for part in parts:
+            out = merged(part, 100)
+            gone += [r for r in out if r["bucket"] is None]
+            left += [r for r in out if r["bucket"] is not None]
+        if len(parts) > 1:
+            assert sum(len(r["anchors"]) // 8 for r in left) == 10 + 1000
+            gone += [r for r in merged(left, 100) if r["bucket"] is None]
+        assert sorted(r["shard"] for r in gone) == list(range(999)) and all(np.frombuffer(r["lo"], np.int64).tolist() == [0] and np.frombuffer(r["hi"], np.int64).tolist() == [60] for r in gone)
+
+
+def test_characters_are_cut_whole(spark):
+    base = "é" * 130
+    rows = [(1, base + "a"), (2, "x" + base + "b�"), (3, "ü" + base), (4, None)]
+    out = suffix_dedup.remove_repeats(docs_of(spark, rows), whole_characters=True, with_text=False)
+    got = {r.doc_id: bytes(r.kept).decode() for r in out.collect()}
+    assert got[1].endswith("éa") and got[2] == "xb�" and got[3] == "ü" and got[4] == ""
+
+
 def classes(rows, percent=80):
     sets = []
     for _, t in rows:
