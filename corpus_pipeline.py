@@ -26,28 +26,32 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (five words, Jaccard 0.8): that with the smallest doc_id.
+    """One row of each class of near duplicates (five words, Jaccard 0.8): that with the smallest doc_id.
 
-    Documents without words, and rows with a null doc_id, stay. Rows that repeat the smallest doc_id stay too.
+    Each row is judged by its own text: other texts under a repeated doc_id stay, of exact copies one does (with the
+    smallest other columns). Documents without words, and rows with a null doc_id, stay.
     """
-    classes = jaccard_join.jaccard_classes(docs.select("doc_id", "text"), percent=80, width=5)
-    others = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    found = saved(jaccard_join.duplicates(docs, percent=80, width=5).where("NOT kept OR copies > 1"), "duplicates")
+    key = ["doc_id", "text_hash"]
+    single = docs.join(found.select(*key), key, "left_anti").select(*COLUMNS)
+    copies = docs.join(found.where("kept").select(*key), key, "left_semi")
+    one = copies.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("other")).select("doc_id", "text", "other.*")
+    return single.unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 100-byte strings that also start earlier.
 
-    A document of which no text is left goes. Where a cut splits a character, its other bytes go too, and n_chars is
-    counted anew.
+    A character of which a byte goes goes whole, nothing else does. A document of which no word is left goes, and
+    n_chars of those that lose something is counted anew.
     """
-    out = suffix_dedup.remove_repeats(docs.select(*COLUMNS), length=100)
-    cut = F.size("spans") > 0
-    # bytes of a character whose other bytes were removed are no UTF-8; they are replaced, and the marks taken out
-    mended = F.translate(F.call_function("make_valid_utf8", F.col("kept").cast("string")), "�", "")
-    text = F.when(cut, mended).otherwise(F.col("text"))
-    out = out.select("doc_id", text.alias("text"), "lang", "source", F.when(cut, F.length(mended).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), cut.alias("cut"))
-    return out.where("NOT cut OR trim(text) <> ''").select(*COLUMNS)
+    given = docs.select(*COLUMNS).withColumn("no_text", F.col("text").isNull())
+    out = suffix_dedup.remove_repeats(given, length=100, whole_characters=True, with_text=False)
+    cut, text = F.size("spans") > 0, F.col("kept").cast("string")
+    n_chars = F.when(cut, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    out = out.select("doc_id", F.when(~F.col("no_text"), text).alias("text"), "lang", "source", n_chars.alias("n_chars"), cut.alias("cut"))
+    return out.where(~F.col("cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

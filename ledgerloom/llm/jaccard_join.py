@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, tasks_for, text_bytes
+from .common import components, dealt, saved, tasks_for, text_bytes
 from .shingles import mix, shingle_sets
 
 #: Keys that more nodes share give no pairs; nodes compared in one task at most, twice.
@@ -36,11 +36,14 @@ _SKETCH = np.uint64(0xD1B54A32D192ED03)
 
 
 @lru_cache(1 << 16)
-def band(n: int) -> tuple[int, int, int]:
-    """Number of the band that holds sets of n tokens, its greatest size and that of the band below: 1, 2-3, 4-6, 7-10, ..."""
+def band(n: int, percent: int = 80) -> tuple[int, int, int]:
+    """Number of the band that holds sets of n tokens, its greatest size and that of the band below: 1, 2-3, 4-6, 7-10, ...
+
+    A band reaches so far that the greatest partner of the band below is in it: partners are one band apart at most.
+    """
     g, below, high = 0, 0, 1
     while n > high:
-        g, below, high = g + 1, high, max(high + 1, (high + 1) * 3 // 2)
+        g, below, high = g + 1, high, max(high + 1, (high + 1) * 3 // 2, high * 100 // percent)
     return g, high, below
 
 
@@ -65,7 +68,7 @@ def blocks_of(tokens: np.ndarray, g: int, m: int) -> np.ndarray:
 @lru_cache(1 << 16)
 def contexts(n: int, percent: int) -> list[tuple[int, int, int]]:
     """(band, D, m) for each band in which a set of n tokens is compared: its own, and the one below if that reaches so far."""
-    g, high, below = band(n)
+    g, high, below = band(n, percent)
     found = [(g, *limits(high, percent)[1:])]
     if below and n <= limits(below, percent)[0]:
         found.append((g - 1, *limits(below, percent)[1:]))
@@ -78,7 +81,7 @@ def signature(tokens: np.ndarray) -> int:
     return int(mix(mix(facts * np.uint64(2) + np.uint64(1)).cumsum()).view(np.int64)[-1])
 
 
-SKETCHED = "doc_id bigint, n bigint, sig bigint, c0 int, d0 int, c1 int, d1 int, bucket int, sigs binary, sizes binary, keys binary"
+SKETCHED = "doc_id bigint, text_hash bigint, n bigint, sig bigint, c0 int, d0 int, c1 int, d1 int, bucket int, sigs binary, sizes binary, keys binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -87,7 +90,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, wid
     seen: set[int] = set()
     n_held = 0
     names = [x.split()[0] for x in SKETCHED.split(", ")]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.binary()] * 3
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.binary()] * 3
 
     def rows(docs: list[list], blobs: list[tuple]) -> pa.RecordBatch:
         columns = [d + [None] * len(blobs) for d in docs] + [[None] * len(docs[0]) + [b[k] for b in blobs] for k in range(4)]
@@ -106,9 +109,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, wid
 
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        docs: list[list] = [[] for _ in range(7)]
+        docs: list[list] = [[] for _ in range(8)]
         blobs: list[tuple] = []
-        for doc_id, tokens in zip(ids, shingle_sets(batch.column(1), width), strict=True):
+        for doc_id, text_hash, tokens in zip(ids, batch.column(2).to_pylist(), shingle_sets(batch.column(1), width), strict=True):
             n, facts, sig = len(tokens), [None] * 4, None
             if n and doc_id is not None:
                 sig = signature(tokens)
@@ -128,14 +131,14 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, wid
                             for at in range(a, b, 60_000):
                                 held.setdefault(int(to[a]), []).append((sig, keys[at : min(b, at + 60_000)]))
                         n_held += 7 * len(keys)
-            for column, value in zip(docs, [doc_id, n, sig, *facts], strict=True):
+            for column, value in zip(docs, [doc_id, text_hash, n, sig, *facts], strict=True):
                 column.append(value)
             if n_held > HELD_BYTES:
                 blobs += flush()
                 n_held = 0
         yield rows(docs, blobs)
     if held:
-        yield rows([[] for _ in range(7)], flush())
+        yield rows([[] for _ in range(8)], flush())
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -202,7 +205,7 @@ def _search(table: pa.Table, percent: int) -> pa.Table:
 
 def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        # a doc_id may have several texts: only that with the node's set counts
+        # texts under one doc_id and hash are told apart by their sets
         pairs = zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), width), strict=True)
         sets = [(sig, x.view(np.int64)) for sig, x in pairs if len(x) and signature(x) == sig]
         offsets = np.r_[0, np.cumsum([len(x) for _, x in sets])].astype(np.int32)
@@ -210,26 +213,20 @@ def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["sig", "tokens"])
 
 
-def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs (doc_id, text).
-
-    Two documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the
-    smallest doc_id reachable by links. No link is lost and no cap drops one. A null or empty text, or
-    one without words, has no shingles and is linked with nothing. A doc_id may repeat: each row is judged by
-    its own text. A row with a null doc_id is compared with nothing and has a null component.
-    """
+def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """doc_id, text_hash, n (shingles), sig (of their set) and first (doc_id and text_hash of its component's first row)."""
     spark = docs.sparkSession
-    docs = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text")
+    docs = docs.selectExpr("cast(doc_id as bigint) AS doc_id", "text", "xxhash64(text) AS text_hash")
     n_buckets = tasks_for(spark, text_bytes(docs), BUCKET_BYTES)
     sketched = saved(docs.mapInArrow(partial(_sketch, n_buckets=n_buckets, percent=percent, width=width), SKETCHED), "sketches")
-    rows = sketched.where("n IS NOT NULL").select("doc_id", "n", "sig", "c0", "d0", "c1", "d1")
+    rows = sketched.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "sig", "c0", "d0", "c1", "d1")
     met = saved(
-        sketched.where("bucket IS NOT NULL").select("bucket", "sigs", "sizes", "keys").repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda keys: _meet(keys), "kind int, a bigint, b bigint, n bigint"),
+        sketched.where("bucket IS NOT NULL").select("bucket", "sigs", "sizes", "keys").transform(dealt, n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda keys: _meet(keys), "kind int, a bigint, b bigint, n bigint"),
         "met",
     )
 
     # blocks of each node and band that are left for the pigeonhole; a node without enough is lacking
-    nodes = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("c0", "d0", "c1", "d1")))
+    nodes = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *(F.first(c).alias(c) for c in ("c0", "d0", "c1", "d1")))
     hot = met.where("kind >= 2").groupBy(F.col("a").alias("sig"), (F.col("kind") - 2).alias("parity")).agg(F.sum("n").alias("hot"))
     by_band = (
         nodes.select("sig", F.expr("stack(2, 0, c0, d0, 1, c1, d1) AS (parity, blocks, differ)"))
@@ -246,7 +243,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
     # sets of the nodes in question only, computed from one text of each
     asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(lacking.select("sig")).distinct()
-    texts = docs.join(asked.join(nodes.select("sig", "doc_id"), "sig"), "doc_id").select("sig", "text")
+    texts = docs.join(asked.join(nodes.select("sig", "least.*"), "sig"), ["doc_id", "text_hash"]).select("sig", "text")
     sets = saved(texts.mapInArrow(partial(_tokens, width=width), "sig bigint, tokens array<bigint>"), "sets")
     side = lambda x: sets.select(F.col("sig").alias(x), F.col("tokens").alias(f"t{x}"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -272,9 +269,33 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     )
     reached = components(links.unionByName(families))
     least = (
-        nodes.select(F.col("sig").alias("node"), "doc_id")
+        nodes.select(F.col("sig").alias("node"), "least")
         .join(reached, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    label = least.join(least.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(F.col("node").alias("sig"), "component_id")
-    return rows.join(label, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = least.join(least.groupBy("component").agg(F.min("least").alias("first")), "component").select(F.col("node").alias("sig"), "first")
+    return rows.select("doc_id", "text_hash", "n", "sig").join(label, "sig", "left")
+
+
+def jaccard_classes(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs (doc_id, text).
+
+    Two documents link when 100 * intersection >= percent * union of their shingle sets; component_id is the
+    smallest doc_id reachable by links. No link is lost at any percent from 1 to 100, and no cap drops one. A null or
+    empty text, or one without words, has no shingles and is linked with nothing. A doc_id may repeat: each row is
+    judged by its own text. A row with a null doc_id is compared with nothing and has a null component. Other columns
+    are left out, whatever their names.
+    """
+    rows = _labelled(docs, percent, width)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), copies and kept for each different row of docs that has words and an id.
+
+    kept is one row of each component: that with the smallest doc_id, and of several texts under it the one with the
+    smallest hash. copies counts rows equal in both. Rows that are not here are like nothing else.
+    """
+    rows = _labelled(docs, percent, width).where("sig IS NOT NULL")
+    kept = F.struct("doc_id", "text_hash") == F.col("first")
+    return rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"), F.max(kept).alias("kept"))

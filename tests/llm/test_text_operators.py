@@ -207,11 +207,33 @@ def test_near_duplicates_against_brute_force(spark):
         rows.append((len(rows) * 3, " ".join(text[:50] + [random.choice(words) for _ in range(80)])))
     rows += [(None, rows[0][1]), (3, None), (4, ""), (5, " \n\x0b"), (6, rows[3][1]), (6, rows[3][1]), (1, rows[-1][1])]
     random.shuffle(rows)
-    got = jaccard_join.jaccard_classes(docs_of(spark, rows).withColumn("n", F.lit(1))).collect()
+    got = jaccard_join.jaccard_classes(docs_of(spark, rows).withColumns({c: F.lit(1) for c in ("n", "sig", "text_hash", "component_id")})).collect()
     assert sorted_rows(got) == sorted_rows(classes(rows))
     assert jaccard_join.jaccard_classes(docs_of(spark, [])).count() == 0
 
 
+def test_no_link_is_lost_at_any_threshold(spark):
+    """Nested sets whose sizes lie right at the threshold, and far apart in bands; families larger than a hot key's."""
+    random.seed(15)
+    for percent in (50, 67, 80, 95):
+        rows = []
+        for size in (1, 2, 3, 5, 7, 10, 11, 15, 20, 33, 60, 100):
+            words = [f"p{percent}s{size}w{i}" for i in range(2 * size + 10)]
+            partner = size * 100 // percent
+            for n in {size, partner, partner + 1, (size + partner) // 2}:
+                rows.append((len(rows), " ".join(words[: n + 4])))
+        text = [random.choice("abcdefghijklmnop") + random.choice("qrstuvwxyz") for _ in range(60)]
+        rows += [(len(rows) + i, " ".join(text[: 60 - i])) for i in range(45)]
+        assert sorted_rows(jaccard_join.jaccard_classes(docs_of(spark, rows), percent=percent).collect()) == sorted_rows(classes(rows, percent)), percent
+
+
+def test_one_row_of_each_class_is_kept(spark):
+    a, b = "one two three four five six seven", "other words that have nothing to do with it"
+    rows = [(1, a), (2, a), (2, b), (1, a), (3, a.upper()), (None, a), (4, ""), (4, ""), (5, None)]
+    got = {(r.doc_id, r.text_hash): (r.copies, r.kept) for r in jaccard_join.duplicates(docs_of(spark, rows)).collect()}
+    assert got == {(1, tie(a)): (2, True), (2, tie(a)): (1, False), (2, tie(b)): (1, True), (3, tie(a.upper())): (1, False)}
+
+
 def test_sketch_blocks_bound_the_difference():
     import numpy as np
 
