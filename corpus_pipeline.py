@@ -55,9 +55,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mixture, each once at most; that in which a leaf's prefix ends is kept whole."""
+    """Documents of the mixture, each once at most; that in which a leaf's prefix ends is cut there, and its n_chars counted anew."""
     weights = spark.createDataFrame(MIX_WEIGHTS, "level string, name string, weight long")
-    return mixing.mix(docs.select(*COLUMNS), {f"mix_{k}": v for k, v in mix_levels().items()}, weights.withColumn("level", F.concat(F.lit("mix_"), "level")), max_epochs=1).select(*COLUMNS)
+    levels = {f"mix_{k}": v for k, v in mix_levels().items()}
+    out = mixing.mix(docs.select(*COLUMNS), levels, weights.withColumn("level", F.concat(F.lit("mix_"), "level")), max_epochs=1)
+    n_chars = F.when(F.col("take_tokens") < F.col("n_tokens"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,9 +71,10 @@ def mix_levels() -> dict[str, Column]:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a mixture of 4/5 of all words: domain, language and source, each document twice at most."""
     weights = spark.createDataFrame(MIX_WEIGHTS, "level string, name string, weight long")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, mix_levels(), weights).drop("text")
+    return mixing.mix(docs, mix_levels(), weights).withColumn("take_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).drop("text")
 
 
 def _deal_sql(name: str, nodes: str, parent: list[str], level: str) -> str:
@@ -90,7 +91,7 @@ def _deal_sql(name: str, nodes: str, parent: list[str], level: str) -> str:
 
 OP4_SQL = f"""
 WITH t AS (
-  SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
     CASE WHEN length(regexp_extract(source, '([0-9]+)$', 1)) = 1 THEN 'web' ELSE 'books' END AS domain, len({WORDS_SQL})::BIGINT AS n_tokens FROM documents),
 leaves AS (SELECT 0 AS root, domain, lang, source, sum(n_tokens)::BIGINT AS size FROM t GROUP BY ALL),
 r0 AS (SELECT 0 AS root, sum(size) * 4 // 5 AS budget FROM leaves),
@@ -99,12 +100,14 @@ r0 AS (SELECT 0 AS root, sum(size) * 4 // 5 AS budget FROM leaves),
 {_deal_sql("r3", "r2", ["root", "domain", "lang"], "source")},
 plan AS (SELECT domain, lang, source, budget // size AS epochs, budget % size AS part FROM r3 JOIN leaves USING (domain, lang, source)),
 k AS (
-  SELECT t.*, epochs, part, ('0x' || substr(md5('20262|' || epochs::BIGINT || '|' || coalesce(doc_id::VARCHAR, 'none')), 1, 15))::BIGINT AS key
+  SELECT t.*, epochs, part, ('0x' || substr(md5('20262|' || epochs::BIGINT || '|' || coalesce(doc_id::VARCHAR, 'none') || '|' || md5(text)), 1, 15))::BIGINT AS key
   FROM t JOIN plan USING (domain, lang, source)),
 o AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM k)
-SELECT doc_id, domain, lang, source, e::INTEGER AS epoch, n_tokens, n_tokens AS take_tokens FROM (SELECT *, unnest(range(0, epochs::BIGINT)) AS e FROM k)
+SELECT doc_id, domain, lang, source, e::INTEGER AS epoch, n_tokens, n_tokens AS take_tokens, length(text)::BIGINT AS take_chars FROM (SELECT *, unnest(range(0, epochs::BIGINT)) AS e FROM k)
 UNION ALL
-SELECT doc_id, domain, lang, source, epochs::INTEGER, n_tokens, least(n_tokens, part - sofar)::BIGINT FROM o WHERE sofar < part
+SELECT doc_id, domain, lang, source, epochs::INTEGER, n_tokens, least(n_tokens, part - sofar)::BIGINT,
+  CASE WHEN part - sofar < n_tokens THEN length(array_to_string(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+')[1 : (part - sofar)::BIGINT], '')) ELSE length(text) END::BIGINT
+FROM o WHERE sofar < part
 """
 
 

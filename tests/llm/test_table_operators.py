@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
@@ -171,6 +172,51 @@ def test_mixture(spark):
     assert mixing.mix(docs.limit(0), {"lang": F.col("lang")}, weights).count() == 0
 
 
+def prefix_of(rows, budget, epochs_allowed, seed=20262):
+    """Brute force for one leaf: whole epochs, then rows in the order of the next one until the budget is used."""
+    n = lambda r: len((r[1] or "").split())
+    size = sum(map(n, rows))
+    epochs, part = divmod(min(budget, size * epochs_allowed), size)
+    out = [(r[0], r[1], e, n(r), n(r)) for r in rows for e in range(epochs)]
+
+    def place(r):
+        name = f"{seed}|{epochs}|{'none' if r[0] is None else r[0]}|{hashlib.md5((r[1] or '').encode()).hexdigest()}"
+        return int(hashlib.md5(name.encode()).hexdigest()[:15], 16)
+
+    sofar = 0
+    for r in sorted(rows, key=place):
+        if sofar >= part:
+            break
+        take = min(n(r), part - sofar)
+        text = r[1]
+        if take < n(r):
+            text = "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)[:take])
+        out.append((r[0], text, epochs, n(r), take))
+        sofar += n(r)
+    return out
+
+
+def test_mixture_fills_its_budget_exactly(spark):
+    """Repeated rows, repeated ids with other texts and null ids, at budgets that end within them; clashing columns stay."""
+    random.seed(12)
+    rows = [(None, "a b c d e f g h i j")] * 20 + [(3, "one two\tthree  four")] * 3 + [(3, " x y z")] * 2 + [(i, "w " * random.randint(0, 9)) for i in range(10, 25)] + [(9, None), (9, "")]
+    fields = ("End", "rest", "epochs", "key", "last", "row", "hash", "l0", "copies", "slice")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in fields})
+    weights = spark.createDataFrame([], "level string, name string, weight long")
+    total = sum(len((t or "").split()) for _, t in rows)
+    for budget in (1, 20, 205, total + 33, 2 * total - 1):
+        out = mixing.mix(docs, {"leaf": F.lit("x")}, weights, budget, total, 2).collect()
+        assert sum(r.take_tokens for r in out) == budget
+        assert all(r[c] == f"own {c}" for r in out for c in fields)
+        want = [x for x in prefix_of(rows, budget, 2) if x[3]]
+        assert sorted_rows((r.doc_id, r.text, r.epoch, r.n_tokens, r.take_tokens) for r in out if r.n_tokens) == sorted_rows(want), budget
+    many = spark.range(25_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    out = mixing.mix(many, {"leaf": F.lit("x")}, weights, 1, 2, 1)
+    assert (out.count(), out.agg(F.sum("take_tokens")).first()[0]) == (12_500, 25_000)
+    long = spark.createDataFrame([(1, "word " * 300_000)], "doc_id long, text string")
+    assert len(mixing.mix(long, {"leaf": F.lit("x")}, weights, 1, 3, 1).first().text.split()) == 100_000
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
