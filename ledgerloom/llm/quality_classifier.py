@@ -2,7 +2,9 @@
 
 One vector of weights over hashed text features gives a score s, and ordered thresholds cut it into grades:
 P(grade >= k) = sigmoid(s - threshold_k). Expected grade and tail probabilities follow from one score.
-It is fitted by gradient descent on a bounded sample of rated documents and applied to all.
+Features are marks of defects: a weight is 0 or less, so nothing in a text makes up for a defect, and more text
+alone does not raise a score. The model is fitted on a bounded sample of rated documents, by Newton steps on all
+buckets at once, and applied to all.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash buckets (a fixed size, so the model is), rated documents in the sample at most, documents a bucket must occur in.
-BUCKETS, SAMPLE, LEAST_DOCS = 1 << 20, 10_000, 4
-#: Buckets fitted at most.
-MOST_PICKED = 500
+from .common import other_columns, saved
+
+#: Hash buckets (a fixed size, so the model is), and rated documents in the sample at most. All buckets are fitted.
+BUCKETS, SAMPLE = 1 << 20, 10_000
+#: Penalties of a weight, as shares of a document: in proportion, and of its square.
+LASSO, RIDGE = 1e-4, 1e-6
 #: A document is kept if the probability of the highest grade is at least this.
 CUT = 0.8
 WORDS_KEPT = 500_000
@@ -72,9 +76,11 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
 
 
-def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 60, rate: float = 0.5, lasso: float = 3e-4, ridge: float = 0.003) -> Model:
-    """Fit on (feature buckets, grade): a lasso picks the buckets that say something, Newton's method fits them.
+def fit_rows(rows: list[tuple[np.ndarray, int]], lasso: float = LASSO, ridge: float = RIDGE, steps: int = 100, tolerance: float = 1e-5) -> Model:
+    """Fit on (feature buckets, grade): the least of the mean of -log P(grade) - lasso * sum(w) + ridge / 2 * sum(w * w), over w <= 0.
 
+    All buckets that occur are fitted together with the thresholds, by Newton steps whose equations conjugate gradients
+    solve on the sparse rows, projected to w <= 0. The problem is convex, so where it ends does not depend on the way.
     With one grade, or none, every score is 0 and that grade is certain.
     """
     grades = sorted({g for _, g in rows})
@@ -82,41 +88,16 @@ def fit_rows(rows: list[tuple[np.ndarray, int]], steps: int = 60, rate: float =
     if len(grades) < 2:
         return Model(weights, np.zeros(0), grades or [0])
     n = len(rows)
-    # buckets of four documents or more, numbered; 32 bits each, as the driver holds the whole sample
-    counts = np.zeros(BUCKETS, np.int32)
-    for x, _ in rows:
-        counts[x] += 1
-    ids = np.flatnonzero(counts >= LEAST_DOCS)
     number = np.full(BUCKETS, -1, np.int32)
+    for x, _ in rows:
+        number[x] = 0
+    ids = np.flatnonzero(number >= 0)
     number[ids] = np.arange(len(ids))
-    kept = [number[x] for x, _ in rows]
-    kept = [x[x >= 0] for x in kept]
-    row, column = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in kept]), np.concatenate(kept)
-    del kept
+    row, column = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x, _ in rows]), number[np.concatenate([x for x, _ in rows])]
     y = np.searchsorted(grades, [g for _, g in rows])
     share = np.array([(y >= k).mean() for k in range(1, len(grades))])
-    cuts = -np.log(share / (1 - share))
-    w, seen = np.zeros(len(ids)), np.full(len(ids), 1e-6)
-    steep = np.full(len(cuts), 1e-6)
-    for _ in range(steps):
-        upper, lower, _, _ = _slopes(np.bincount(row, w[column], n), cuts, y)
-        grad = np.bincount(column, (upper + lower)[row], len(ids)) / n
-        slope = np.array([-(upper[y == j].sum() + lower[y == j + 1].sum()) / n for j in range(len(cuts))])
-        steep += slope * slope
-        cuts = np.maximum.accumulate(cuts - rate * slope / np.sqrt(steep)) + 1e-2 * np.arange(len(cuts))
-        seen += grad * grad
-        pace = rate / np.sqrt(seen)
-        w = w - pace * grad
-        w = np.minimum(0, w + pace * lasso)  # only defects count: no word vouches for a text, or long ones would always pass
-    picked = np.zeros(len(ids), bool)
-    picked[np.argsort(-np.abs(w), kind="stable")[:MOST_PICKED]] = True
-    picked &= w != 0
-    keep = picked[column]
-    k = int(picked.sum())
-    x = np.zeros((n, k))
-    x[row[keep], (np.cumsum(picked) - 1)[column[keep]]] = 1
-    w, cuts = _newton(x, y, np.zeros(k), -np.log(share / (1 - share)), ridge)
-    weights[ids[picked]] = w
+    w, cuts = _minimum(row, column, len(ids), y, -np.log(share / (1 - share)), n * lasso, n * ridge, steps, tolerance * n)
+    weights[ids] = w
     return Model(weights, cuts, grades)
 
 
@@ -129,51 +110,87 @@ def _slopes(score: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> tuple[np.ndar
     return upper * (1 - upper) / mass, -lower * (1 - lower) / mass, upper, lower
 
 
-def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray, cuts: np.ndarray, ridge: float, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
-    """Most likely weights and thresholds; the thresholds stay in order, as else a grade would have no likelihood."""
-    k, m = x.shape[1], len(cuts)
+def _minimum(row: np.ndarray, column: np.ndarray, k: int, y: np.ndarray, cuts: np.ndarray, lasso: float, ridge: float, steps: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The most likely weights and thresholds. row, column: where the design has ones; sums over rows, not means."""
+    n, m = len(y), len(cuts)
     of_upper, of_lower = ((np.arange(m)[None, :] == (y + shift)[:, None]).astype(float) for shift in (0, -1))  # which threshold is a row's bound
-    pull = np.r_[np.full(k, ridge), np.zeros(m)]
 
-    def loss(p: np.ndarray) -> float:
-        if (np.diff(p[k:]) <= 0).any():
-            return np.inf
-        _, _, upper, lower = _slopes(x @ p[:k], p[k:], y)
-        return float(-np.log(np.maximum(upper - lower, 1e-12)).sum() + (pull * p * p).sum() / 2)
+    def loss(score: np.ndarray, w: np.ndarray, cuts: np.ndarray) -> float:
+        if (np.diff(cuts) <= 0).any():
+            return np.inf  # thresholds out of order: a grade would have no likelihood
+        _, _, upper, lower = _slopes(score, cuts, y)
+        return float(-np.log(np.maximum(upper - lower, 1e-12)).sum() - lasso * w.sum() + ridge * (w @ w) / 2)
 
-    p, damp = np.r_[w, cuts], 1e-3
-    best = loss(p)
+    w, score = np.zeros(k), np.zeros(n)
+    best = loss(score, w, cuts)
     for _ in range(steps):
-        du, dl, upper, lower = _slopes(x @ p[:k], p[k:], y)
-        bend_u, bend_l = du * (1 - 2 * upper) - du * du, dl * (1 - 2 * lower) - dl * dl
-        cross = -du * dl
-        grad = np.r_[x.T @ (du + dl), -(of_upper.T @ du + of_lower.T @ dl)] + pull * p
-        hess = np.zeros((k + m, k + m))
-        hess[:k, :k] = -(x * (bend_u + 2 * cross + bend_l)[:, None]).T @ x
-        hess[:k, k:] = x.T @ (of_upper * (bend_u + cross)[:, None] + of_lower * (cross + bend_l)[:, None])
-        hess[k:, :k] = hess[:k, k:].T
+        du, dl, upper, lower = _slopes(score, cuts, y)
+        slope = np.bincount(column, (du + dl)[row], k) + ridge * w - lasso
+        slope_cuts = -(of_upper.T @ du + of_lower.T @ dl)
+        free = (w < 0) | (slope > 0)  # others are held at 0
+        if max(np.abs(slope[free]).max(initial=0), np.abs(slope_cuts).max()) < tolerance:
+            break
+        at = np.flatnonzero(free)
+        place = np.full(k, -1, np.int32)
+        place[at] = np.arange(len(at))
+        own = free[column]
+        r, c = row[own], place[column[own]]
+        bend_u, bend_l, cross = du * (1 - 2 * upper) - du * du, dl * (1 - 2 * lower) - dl * dl, -du * dl
+        curve = -(bend_u + 2 * cross + bend_l)
+        to_cuts = of_upper * (bend_u + cross)[:, None] + of_lower * (cross + bend_l)[:, None]
         mixed = (of_upper * cross[:, None]).T @ of_lower
-        hess[k:, k:] = -((of_upper * bend_u[:, None]).T @ of_upper + (of_lower * bend_l[:, None]).T @ of_lower + mixed + mixed.T)
-        while damp < 1e6:
-            step = np.linalg.solve(hess + np.diag(pull + damp * np.maximum(np.diag(hess), 1e-3)), grad)
-            after = loss(p - step)
+        of_cuts = -((of_upper * bend_u[:, None]).T @ of_upper + (of_lower * bend_l[:, None]).T @ of_lower + mixed + mixed.T)
+
+        def times(v: np.ndarray, r=r, c=c, at=at, curve=curve, to_cuts=to_cuts, of_cuts=of_cuts) -> np.ndarray:  # noqa: ANN001
+            s = np.bincount(r, v[: len(at)][c], n)
+            return np.r_[np.bincount(c, (curve * s + to_cuts @ v[len(at) :])[r], len(at)) + ridge * v[: len(at)], to_cuts.T @ s + of_cuts @ v[len(at) :]]
+
+        scale = np.r_[np.bincount(c, curve[r], len(at)) + ridge, np.diag(of_cuts)] + 1e-9
+        step = _solve(times, np.r_[slope[at], slope_cuts], scale)
+        size = 1.0
+        while size > 1e-6:
+            tried = w.copy()
+            tried[at] = np.minimum(0, w[at] - size * step[: len(at)])
+            after_cuts, after_score = cuts - size * step[len(at) :], np.bincount(r, tried[at][c], n)
+            after = loss(after_score, tried, after_cuts)
             if after < best:
                 break
-            damp *= 8
-        if not after < best - 1e-5:
+            size /= 2
+        if not after < best:
+            break
+        w, cuts, score, best = tried, after_cuts, after_score, after
+    return w, cuts
+
+
+def _solve(times, right: np.ndarray, scale: np.ndarray, rounds: int = 200) -> np.ndarray:  # noqa: ANN001
+    """Conjugate gradients, by the diagonal `scale`."""
+    x, rest = np.zeros(len(right)), right.copy()
+    z = rest / scale
+    way, now = z.copy(), rest @ z
+    end = 1e-6 * now
+    for _ in range(rounds):
+        if now <= end:
             break
-        p, best, damp = p - step, after, max(damp / 16, 1e-6)
-    return p[:k], p[k:]
+        t = times(way)
+        pace = now / (way @ t)
+        x += pace * way
+        rest -= pace * t
+        z = rest / scale
+        now, before = rest @ z, now
+        way = z + (now / before) * way
+    return x
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on documents of ratings (doc_id, grade), at most `sample` of them, taken by a hash of doc_id.
 
-    Only their feature buckets come to the driver. Rows with a null are left out; of several ratings of a document
-    the lowest counts, of several rows of a document each.
+    Only their feature buckets come to the driver, one row for each doc_id. Rows with a null are left out, and so are
+    ratings of documents that docs does not have; of several ratings of a document the lowest counts, of several
+    texts under a doc_id the first by its order.
     """
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    there = docs.select("doc_id").join(rated, "doc_id").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    chosen = saved(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "rated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +200,9 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
                 found.append(sorted({bucket(x) for x in (*low, *other)}))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["x", "grade"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade").mapInArrow(run, "x array<int>, grade int")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of 12 bytes
+    one = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    rows = one.select("text", "grade").mapInArrow(run, "x array<int>, grade int")
     return fit_rows([(np.array(r.x, np.int32), r.grade) for r in rows.toLocalIterator()])
 
 
@@ -202,13 +221,14 @@ class _Weights(dict):
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """docs with expected_grade, tail_probability (of the highest grade) and kept; a row for each row.
 
-    The whole text counts. A null or empty text has shape features only. Columns named like a result are replaced.
+    The whole text counts. A null or empty text has shape features only. Repeated rows and null ids are rows like
+    others; no rows give none. Columns named like a result, in any case, are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # four bytes a bucket, whatever the input
-    own = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "kept")]
-    docs = docs.select(*own)
-    at = own.index("text")
+    docs = docs.select(*other_columns(docs, "expected_grade", "tail_probability", "kept"))
+    own = docs.columns
+    at = [c.lower() for c in own].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

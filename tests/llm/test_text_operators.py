@@ -294,6 +294,47 @@ def test_classifier_on_held_out_documents(spark):
     assert all(0 <= r.expected_grade <= 2 for r in got)
 
 
+def test_classifier_agrees_with_a_dense_fit():
+    """The same minimum by plain projected gradient steps on a dense matrix: no bucket is left out."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = (rng.random((300, 40)) < 0.2).astype(float)
+    score = -x @ np.where(np.arange(40) < 6, rng.random(40) * 3, 0) + rng.logistic(size=300)
+    y = np.digitize(score, [-3, -1])
+    lasso, ridge = 1e-3, 1e-3
+    model = quality_classifier.fit_rows([(np.flatnonzero(r).astype(np.int32), int(g)) for r, g in zip(x, y, strict=True)], lasso, ridge, tolerance=1e-9)
+
+    def slopes(w, cuts):
+        bounds = np.r_[-np.inf, cuts, np.inf]
+        f = [1 / (1 + np.exp((x @ w) - b)) for b in (bounds[y + 1], bounds[y])]
+        mass = f[0] - f[1]
+        d = [v * (1 - v) / mass for v in f]
+        return x.T @ (d[0] - d[1]) / 300 + ridge * w - lasso, np.array([(d[1][y == j + 1].sum() - d[0][y == j].sum()) / 300 for j in range(2)])
+
+    w, cuts = np.zeros(40), np.array([-2.0, 0.0])
+    for _ in range(60_000):
+        a, b = slopes(w, cuts)
+        w, cuts = np.minimum(0, w - 0.3 * a), cuts - 0.3 * b
+    assert np.abs(model.weights[:40] - w).max() < 1e-3 and np.abs(model.thresholds - cuts).max() < 1e-3
+    assert (w < 0).sum() > 5 and not model.weights[40:].any()
+
+
+def test_classifier_on_odd_tables(spark):
+    """Repeated ids and ratings, absent documents, empty and very long texts, clashing columns, empty tables."""
+    plain = "the quiet river runs past the old mill and the people of the town walk there in the evening"
+    rows = [(i, plain + f" word{i % 50}") for i in range(60)] + [(i, "%%% $$$ " * (20 + i)) for i in range(60, 120)]
+    rows += [(3, "another text")] * 4 + [(None, plain), (200, ""), (201, None), (202, plain + " word" * 200_000)]
+    docs = docs_of(spark, rows).withColumns({"Kept": F.lit("clash"), "grade": F.lit("own"), "x": F.lit(1)})
+    grades = spark.createDataFrame([(i, 2 if i < 60 else 0) for i in range(120)] + [(5, 2), (900, 0), (901, 0), (None, 1), (7, None)], "doc_id long, grade int")
+    out = quality_classifier.score(docs, quality_classifier.fit(docs, grades))
+    assert out.columns == ["doc_id", "text", "grade", "x", "expected_grade", "tail_probability", "kept"]
+    got = out.collect()
+    assert len(got) == len(rows) and all(r.grade == "own" for r in got)
+    assert all(r.kept == (r.doc_id < 60) for r in got if r.doc_id is not None and r.doc_id < 120 and r.text != "another text")
+    assert quality_classifier.score(docs.limit(0), quality_classifier.fit(docs.limit(0), grades)).count() == 0
+
+
 def test_classifier_without_grades(spark):
     docs = docs_of(spark, [(1, "a"), (2, None), (None, ""), (1, "a")])
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, grade int")
