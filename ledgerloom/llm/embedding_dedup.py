@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill.
 
 Equal vectors are one node with a count. Each tree splits a bounded sample again and again at the median of a
-random projection; at each split, vectors near the threshold go to both sides. All vectors are routed to
-their leaves in all trees and compared there by exact cosine. Where the sample is dense, splits would cut through
+random projection, the same one for all splits of a level; at each split, vectors near the threshold go to both
+sides. All vectors are routed to their leaves in all trees and compared there by exact cosine. Leaves that the sample
+was too small to split are split further, each by the median of its own vectors' projections, in rounds until
+every leaf is small or does not come apart. Where the sample is dense, splits would cut through
 groups that are larger than a leaf, so each such group is also a ball: one more leaf with all vectors near enough to
 be linked with it, whatever their number. A pair that meets in several leaves counts in
 the first one only, so links are counted without ever being written out; of each leaf go on only
@@ -19,27 +21,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import BROADCAST_BYTES, components, saved
 
-#: Vectors in the sample that shapes the trees at most, trees, vectors wanted in a leaf, and in a block at most.
-SAMPLE, TREES, LEAF, BLOCK = 16_384, 8, 400, 1024
+#: Vectors and bytes of the sample that shapes the trees at most, trees, vectors wanted in a leaf, and in a block at most.
+SAMPLE, SAMPLE_BYTES, TREES, LEAF, BLOCK = 16_384, 64 << 20, 8, 400, 1024
 #: Vectors within this many standard deviations of a split's threshold go to both sides.
 SPILL = 0.12
 #: Rows of the sample whose cosines with all of it are held at once.
 ROWS = 256
+#: A leaf with more than this many times the wanted vectors is split further; a split must leave less than this share on a side.
+OVERFULL, APART = 4, 0.9
+
+
+def direction(dim: int, *seed: int) -> np.ndarray:
+    out = np.random.default_rng(seed).standard_normal(dim)
+    return out / np.linalg.norm(out)
 
 
 class Forest:
-    """Splits as arrays: direction, threshold, margin and children; a negative child is a leaf. Balls are the first leaves."""
+    """Splits as arrays: threshold, margin, children and level; a negative child is a leaf. Balls are the first leaves.
+
+    The directions are a row for each tree and level, and are made again from their seeds where they are used.
+    What is sent to the tasks are the splits (48 bytes each, fewer than trees * sample) and the balls' centres (at most
+    one for every eight vectors of the sample).
+    """
 
     def __init__(self, sample: np.ndarray, n_vectors: int, threshold: float, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 7):
-        self.random = np.random.default_rng(seed)
-        self.directions: list[np.ndarray] = []
-        self.cuts: list[tuple[float, float, int, int]] = []
+        self.seed, self.dim = seed, sample.shape[1]
+        self.cuts: list[tuple[float, float, int, int, int]] = []
         self.least = max(8, int(leaf * len(sample) / max(1, n_vectors)))
         self.centres, self.reach = self._balls(sample, threshold)
         self.n_leaves, self.spill = len(self.centres), spill
-        self.roots = [self._grow(sample) for _ in range(trees)]
+        self.roots = [self._grow(sample, tree, 0) for tree in range(trees)]
 
     def _balls(self, sample: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """Centres of the groups that do not fit a leaf, and the least cosine with a centre that its ball reaches to.
@@ -63,18 +76,15 @@ class Forest:
             waiting = waiting[~own]
         return np.array(centres).reshape(-1, sample.shape[1]), np.array(reach)
 
-    def _grow(self, points: np.ndarray) -> int:
+    def _grow(self, points: np.ndarray, tree: int, level: int) -> int:
         if len(points) > 2 * self.least:
-            direction = self.random.standard_normal(points.shape[1])
-            direction /= np.linalg.norm(direction)
-            at = points @ direction
+            at = points @ direction(self.dim, self.seed, tree, level)
             cut, margin = float(np.median(at)), float(self.spill * at.std())
             left, right = points[at <= cut + margin], points[at > cut - margin]
-            if max(len(left), len(right)) < 0.9 * len(points):  # else these points do not come apart
+            if max(len(left), len(right)) < APART * len(points):  # else these points do not come apart
                 here = len(self.cuts)
-                self.directions.append(direction)
-                self.cuts.append((cut, margin, 0, 0))
-                self.cuts[here] = (cut, margin, self._grow(left), self._grow(right))
+                self.cuts.append((cut, margin, 0, 0, level))
+                self.cuts[here] = (cut, margin, self._grow(left, tree, level + 1), self._grow(right, tree, level + 1), level)
                 return here
         self.n_leaves += 1
         return -self.n_leaves
@@ -84,18 +94,20 @@ class Forest:
         inside, ball = np.nonzero(points @ self.centres.T >= self.reach)
         rows, leaves = [inside], [ball + 1]
 
-        def down(node: int, at: np.ndarray) -> None:
+        def down(node: int, at: np.ndarray, values: np.ndarray) -> None:
             if node < 0:
                 rows.append(at)
                 leaves.append(np.full(len(at), -node))
                 return
-            cut, margin, left, right = self.cuts[node]
-            value = points[at] @ self.directions[node]
-            down(left, at[value <= cut + margin])
-            down(right, at[value > cut - margin])
+            cut, margin, left, right, level = self.cuts[node]
+            value = values[at, level]
+            down(left, at[value <= cut + margin], values)
+            down(right, at[value > cut - margin], values)
 
-        for root in self.roots:
-            down(root, np.arange(len(points)))
+        levels = 1 + max((c[4] for c in self.cuts), default=0)
+        for tree, root in enumerate(self.roots):
+            way = np.array([direction(self.dim, self.seed, tree, level) for level in range(levels)])
+            down(root, np.arange(len(points)), points @ way.T)
         row, leaf = np.concatenate(rows), np.concatenate(leaves)
         order = np.lexsort((leaf, row))
         return row[order], leaf[order]
@@ -123,7 +135,7 @@ def _leaf(table: pa.Table, dim: int, threshold: float) -> pa.Table:
     leaf, i, j = (table.column(x)[0].as_py() for x in ("leaf", "i", "j"))
     own = table.column("own").to_numpy()
     x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-    leaves = [np.frombuffer(b, np.int32) for b in table.column("leaves").to_pylist()]
+    leaves = [np.frombuffer(b, np.int64) for b in table.column("leaves").to_pylist()]
     earlier = [b[b < leaf] for b in leaves]
     names, place = np.unique(np.concatenate(earlier), return_inverse=True)
     met = np.zeros((len(ids), max(1, len(names))), np.float32)
@@ -153,15 +165,66 @@ def _leaf(table: pa.Table, dim: int, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([None] * int(some.sum()) + right, pa.int64()), "n": pa.array(n_links[some].tolist() + [None] * len(left), pa.int64())})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
+def _split(nodes: DataFrame, routes: DataFrame, n_balls: int, dim: int, leaf: int, spill: float, seed: int = 11) -> DataFrame:
+    """Rows (node, n, unit, leaf, leaves) where leaves of more than OVERFULL * leaf vectors are split again and again.
+
+    A round projects the vectors of overfull leaves on one direction and takes the median and the spread of each such
+    leaf as an aggregate, so no task or driver holds a leaf. The leaves' numbers grow by a bit a round. A leaf
+    that does not come apart is left to the blocks; so are balls. Rounds grow with the logarithm of the largest leaf.
+    """
+    start = F.when(F.col("leaf") > n_balls, F.shiftleft("leaf", 31) + 1).otherwise(F.col("leaf"))
+    routes = saved(routes.select("node", start.alias("leaf")), "routes")
+    stuck: list[DataFrame] = []
+    for level in range(30):
+        sizes = routes.groupBy("leaf").agg(F.count("*").alias("size")).where((F.col("leaf") > n_balls) & (F.col("size") > OVERFULL * leaf))
+        for table in stuck:
+            sizes = sizes.join(table, "leaf", "left_anti")
+        sizes = saved(sizes, "overfull")
+        if not sizes.take(1):
+            break
+        way = direction(dim, seed, level)
+
+        def project(batches: Iterator[pa.RecordBatch], way: np.ndarray = way) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x @ way)], names=["node", "at"])
+
+        values = nodes.select("node", "unit").mapInArrow(project, "node bigint, at double")
+        full = saved(routes.join(sizes.select("leaf"), "leaf").join(values, "node"), "projections")
+        cuts = full.groupBy("leaf").agg(F.percentile_approx("at", 0.5, 1000).alias("cut"), (F.stddev_pop("at") * spill).alias("margin"), F.count("*").alias("size"))
+        left, right = F.col("at") <= F.col("cut") + F.col("margin"), F.col("at") > F.col("cut") - F.col("margin")
+        placed = full.join(cuts, "leaf").withColumns({"left": left, "right": right})
+        apart = placed.groupBy("leaf").agg(F.greatest(F.count_if("left"), F.count_if("right")).alias("larger"), F.count("*").alias("size"))
+        apart = saved(apart.select("leaf", (F.col("larger") < APART * F.col("size")).alias("apart")), "apart")
+        stuck.append(apart.where("NOT apart").select("leaf"))
+        sides = F.filter(F.array(F.when(F.col("left"), F.shiftleft("leaf", 1)), F.when(F.col("right"), F.shiftleft("leaf", 1) + 1)), lambda x: x.isNotNull())
+        deeper = placed.join(apart.where("apart").select("leaf"), "leaf").select("node", F.explode(sides).alias("leaf"))
+        rest = routes.join(apart.where("apart").select("leaf"), "leaf", "left_anti")
+        routes = saved(rest.unionByName(deeper), "routes")
+    names = ["node", "n", "unit", "leaf", "leaves"]
+    lists = routes.distinct().groupBy("node").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # a few dozen a node
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(3)
+            sizes = column.value_lengths().to_numpy()
+            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            raw = pa.array([np.array(x, np.int64).tobytes() for x in column.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:3]), column.flatten(), raw.take(at)], names=names)
+
+    return nodes.join(lists, "node").select("node", "n", "unit", "leaves").mapInArrow(unfold, "node bigint, n bigint, unit binary, leaf bigint, leaves binary")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE) -> DataFrame:
     """A row for each row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Linked are vectors found with cosine >= threshold, in double precision. n_links counts other rows;
     component_id is the smallest vec_id reachable; kept: vec_id is its component's. Null vectors, zero ones, and
     those with null or non-finite components link with nothing. Shorter vectors are filled up with zeros. A repeated
     vec_id counts as another vector; a null one links, but is no component's smallest unless all are null.
-    The trees are shaped by at most SAMPLE vectors, and the model is as large as that; all are routed.
-    A group with more than `leaf` links to a vector, as far as the sample shows it, is compared as a whole.
+    The trees are shaped by at most `sample` vectors; all are routed, and leaves that are still too large are split on
+    their own vectors. A group with more than `leaf` links to a vector, as far as the sample shows it, is compared as a
+    whole. Other columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -178,8 +241,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     # equal vectors once; the node's number is a hash of its bytes
     nodes = saved(rows.where("unit IS NOT NULL").groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("node", F.xxhash64("unit")), "nodes")
     n_nodes = nodes.count()
-    sample = [r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("unit").toLocalIterator()]
-    forest = spark.sparkContext.broadcast(Forest(np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim), n_nodes, threshold, trees, leaf, spill))
+    most = max(64, min(sample, SAMPLE_BYTES // (8 * dim)))
+    picked = [r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(most).select("unit").toLocalIterator()]
+    grown = Forest(np.frombuffer(b"".join(picked), np.float64).reshape(-1, dim), n_nodes, threshold, trees, leaf, spill)
+    forest = spark.sparkContext.broadcast(grown)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "n", "unit", "leaf", "leaves"]
@@ -189,13 +254,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
             x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dim)
             row, leaves = forest.value.route(x)
             cuts = np.searchsorted(row, np.arange(len(x) + 1))
-            raw = [leaves[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.take(pa.array(row)) for c in batch.columns] + [pa.array(leaves, pa.int32()), pa.array(raw, pa.binary()).take(pa.array(row))], names=names)
+            raw = [leaves[a:b].astype(np.int64).tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(row)) for c in batch.columns] + [pa.array(leaves, pa.int64()), pa.array(raw, pa.binary()).take(pa.array(row))], names=names)
 
-    routed = nodes.select("node", "n", "unit").mapInArrow(route, "node bigint, n bigint, unit binary, leaf int, leaves binary")
-    sizes = routed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    routed = nodes.select("node", "n", "unit").mapInArrow(route, "node bigint, n bigint, unit binary, leaf bigint, leaves binary")
+    counts = saved(routed.groupBy("leaf").agg(F.count("*").alias("size")), "sizes")
+    if counts.where((F.col("leaf") > len(grown.centres)) & (F.col("size") > OVERFULL * leaf)).take(1):
+        routed = _split(nodes.select("node", "n", "unit"), routed.select("node", "leaf"), len(grown.centres), dim, leaf, spill)
+        counts = saved(routed.groupBy("leaf").agg(F.count("*").alias("size")), "sizes")
+    sizes = counts.select("leaf", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    few = sizes.count() * 12 <= BROADCAST_BYTES
     placed = (
-        routed.join(F.broadcast(sizes), "leaf")  # as many rows as the forest has leaves
+        routed.join(F.broadcast(sizes) if few else sizes, "leaf")
         .withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
