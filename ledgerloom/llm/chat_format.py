@@ -40,11 +40,27 @@ def _segments(turns: Column, trained: tuple[str, ...]) -> Column:
     )
 
 
+def _trained_spans(turns: Column, trained: tuple[str, ...]) -> Column:
+    """(start, end) of the code points of the rendered turns that are trained on."""
+    size = lambda c: F.length(c).cast("long")
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
+
+    def step(acc: Column, t: Column) -> Column:
+        begin = acc["at"] + size(_head(t))
+        end = begin + size(_body(t))
+        one = F.array(F.struct(begin.alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(t["role"].isin(*trained), F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(turns, start, step)["spans"]
+
+
 def preferences(turns: DataFrame, pairs: DataFrame, trained: tuple[str, ...] = TRAINED) -> DataFrame:
     """One row for each row of pairs (pair_id, chosen_id, rejected_id), ids of conversations.
 
     turns: (conv_id, turn, role, text). Result: pair_id, chosen_id, rejected_id, n_prefix (turns of the
-    prompt), prompt, chosen and rejected (array of text, trained), chosen_text and rejected_text,
+    prompt), prompt, chosen and rejected (array of text, trained), chosen_text and rejected_text, their masks
+    chosen_spans and rejected_spans (start and end, in code points of the text, of what is trained on), and
     n_chosen_trained and n_rejected_trained (code points trained on).
 
     Turns are ordered by turn, then role and text (nulls first); repeated rows are repeated turns.
@@ -82,6 +98,8 @@ def preferences(turns: DataFrame, pairs: DataFrame, trained: tuple[str, ...] = T
         _segments(rest("rejected"), trained).alias("rejected"),
         _render(rest("chosen")).alias("chosen_text"),
         _render(rest("rejected")).alias("rejected_text"),
+        _trained_spans(rest("chosen"), trained).alias("chosen_spans"),
+        _trained_spans(rest("rejected"), trained).alias("rejected_spans"),
         n_trained(rest("chosen")).alias("n_chosen_trained"),
         n_trained(rest("rejected")).alias("n_rejected_trained"),
     )

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, other_columns
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -128,14 +128,16 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     """docs with the measures, n_repeat_words, base_failed and kept; one row for each row.
 
     base_failed: fewer than min_words words, or more than repeat_percent % of the words in repeated
-    8-word windows. A null or empty text has no words and fails. Columns of docs named like a
-    result are replaced.
+    8-word windows. A null or empty text has no words and fails; a very long one is judged whole. Repeated rows
+    and null ids are rows like others. Columns of docs named like a result, in any case, are replaced; all
+    others pass, whatever their names.
     """
     of_text, structs = measures(F.coalesce(F.col(text), F.lit("")))
     fields = {"of_lines": ("n_lines", "n_dup_lines"), "of_words": ("n_words", "n_stop_words", "n_repeat_words")}
-    results = {*of_text, *(f for x in fields.values() for f in x), "base_failed", "kept"}
-    own = [c for c in docs.columns if c not in results]
-    out = docs.select(*own, *(c.alias(k) for k, c in (of_text | structs).items()))
-    out = out.select(*own, *of_text, *(F.col(f"{k}.{f}").alias(f) for k, x in fields.items() for f in x))
+    results = [*of_text, *(f for x in fields.values() for f in x)]
+    # the columns of docs are kept apart from those of the plan
+    row = F.struct(*other_columns(docs, *results, "base_failed", "kept")).alias("row")
+    out = docs.select(row, *(c.alias(k) for k, c in (of_text | structs).items()))
+    out = out.select("row", *of_text, *(F.col(f"{k}.{f}").alias(f) for k, x in fields.items() for f in x))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return out.withColumn("failed", failed).select("row.*", *results, F.col("failed").alias("base_failed"), (~F.col("failed") & verdict(rules)).alias("kept"))

@@ -12,10 +12,11 @@ WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) as prompt and completions; masks as start:end of trained code points."""
     turns = table(spark, sf_dir, "conversations")
-    out = chat_format.preferences(turns, chat_format.neighbour_pairs(turns))
-    flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat(F.when(s["trained"], "1").otherwise("0"), s["text"])), "")
-    return out.withColumns({c: flat(F.col(c)) for c in ("chosen", "rejected")})
+    out = chat_format.preferences(turns, chat_format.neighbour_pairs(turns)).drop("chosen", "rejected")
+    flat = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.withColumns({c: flat(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 
 OP1_SQL = r"""
@@ -30,23 +31,27 @@ eq AS (
   SELECT pair_id, k, count(*) = 2 AND count(DISTINCT struct_pack(r := role, t := text)) = 1 AS same FROM t GROUP BY ALL),
 pre AS (
   SELECT pair_id, coalesce(min(k) FILTER (NOT same), max(k) + 1) - 1 AS n FROM eq GROUP BY 1),
+m AS (
+  SELECT pair_id, side, k, sum(length(head) + length(body)) OVER (PARTITION BY pair_id, side ORDER BY k) AS e, length(body) AS b FROM t JOIN pre USING (pair_id) WHERE k > n QUALIFY trained),
+s AS (
+  SELECT pair_id, coalesce(string_agg((e - b)::BIGINT || ':' || e::BIGINT, ',' ORDER BY k) FILTER (side = 0), '') AS chosen_spans,
+    coalesce(string_agg((e - b)::BIGINT || ':' || e::BIGINT, ',' ORDER BY k) FILTER (side = 1), '') AS rejected_spans FROM m GROUP BY 1),
 r AS (
   SELECT t.pair_id,
     coalesce(string_agg(head || body, '' ORDER BY k) FILTER (side = 0 AND k <= n), '') AS prompt,
-    coalesce(string_agg('0' || head || CASE WHEN trained THEN '1' ELSE '0' END || body, '' ORDER BY k) FILTER (side = 0 AND k > n), '') AS chosen,
-    coalesce(string_agg('0' || head || CASE WHEN trained THEN '1' ELSE '0' END || body, '' ORDER BY k) FILTER (side = 1 AND k > n), '') AS rejected,
     coalesce(string_agg(head || body, '' ORDER BY k) FILTER (side = 0 AND k > n), '') AS chosen_text,
     coalesce(string_agg(head || body, '' ORDER BY k) FILTER (side = 1 AND k > n), '') AS rejected_text,
     coalesce(sum(length(body)) FILTER (side = 0 AND k > n AND trained), 0) AS n_chosen_trained,
     coalesce(sum(length(body)) FILTER (side = 1 AND k > n AND trained), 0) AS n_rejected_trained
   FROM t JOIN pre USING (pair_id) GROUP BY 1)
-SELECT pair_id, chosen_id, rejected_id, n::BIGINT AS n_prefix, prompt, chosen, rejected, chosen_text, rejected_text,
+SELECT pair_id, chosen_id, rejected_id, n::BIGINT AS n_prefix, prompt, chosen_text, rejected_text, coalesce(chosen_spans, '') AS chosen_spans, coalesce(rejected_spans, '') AS rejected_spans,
   n_chosen_trained::BIGINT AS n_chosen_trained, n_rejected_trained::BIGINT AS n_rejected_trained
-FROM pairs JOIN pre USING (pair_id) JOIN r USING (pair_id)
+FROM pairs JOIN pre USING (pair_id) JOIN r USING (pair_id) LEFT JOIN s USING (pair_id)
 """
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, as digests, with the digest of what they decode to."""
     import public_tokenizers
 
     rank_path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -112,16 +117,19 @@ FROM o WHERE sofar < part
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, probability of the best grade and verdict of every document; fitted on labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.fit(docs, quality_classifier.graded(table(spark, sf_dir, "labels")))
     return quality_classifier.score(docs, model).drop("text")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of every vector at cosine 0.95."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive as a record, and read back from it."""
     path = scratch_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     back = warc.read_archive(spark, path)
@@ -149,6 +157,7 @@ FROM d
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, url_filter.contract_rules(spark)).select("page_id", "host", "path", "rule", "verdict")
 
@@ -168,6 +177,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u LE
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-duplicate class of every document: five words, Jaccard 0.8."""
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), percent=80, width=5)
 
 
@@ -188,6 +198,7 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(c) AS co
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base verdict and verdict of every document."""
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES
+from .common import BROADCAST_BYTES, other_columns
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A block is one 64-bit word: bits set in it for each key, and bits of the filter for each key.
@@ -53,7 +53,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     starts with the rule's. Of the rules that fit, the one with the longest host + path wins; of
     equally long ones that with the longer host, then block before allow. A null url or one
     without "://" has an empty host and path. Rules with a null field, and columns of pages named
-    like a result, are left out. Each row of pages gives one row, repeated ones too.
+    like a result in any case, are left out; all other columns pass. Each row of pages gives one row, repeated
+    ones too; no rows, or no rules, are no error.
 
     The list's distinct path lengths and its greatest label count come to the driver (they are
     bounded by the length of a url). The filter holds 16 bits a rule and is broadcast only up to
@@ -63,10 +64,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     key = lambda h, p: F.concat(h, F.lit("\n"), p)
     rules = rules.withColumn("key", key(F.col("host"), F.col("path")))
     shape = rules.agg(F.count("*").alias("n"), F.max(F.size(F.split("host", r"\."))).alias("labels"), F.collect_set(F.length("path")).alias("lengths"), F.sum(F.length("host") + F.length("path")).alias("chars")).first()
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    # the columns of pages are kept apart from those of the plan
+    page = F.struct(*other_columns(pages, "host", "path", "rule", "verdict")).alias("page")
+    parts = pages.select(page, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not shape["n"]:
-        return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return parts.select("page.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     bloom, n_blocks = build_filter(rules.select("key").distinct(), shape["n"])
     small = n_blocks * 16 <= BROADCAST_BYTES
@@ -83,9 +85,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         "host", "path", "suffix", F.explode("lengths").alias("n")
     )
     asked = cut.select("host", "path", key(F.col("suffix"), F.col("path").substr(F.lit(1), F.col("n"))).alias("key"))
-    passed = asked.withColumn("block", _block(F.col("key"), n_blocks)).join(F.broadcast(bloom) if small else bloom, "block")
-    passed = passed.where(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
-    passed = passed.select("host", "path", "key")
+    # a filter that is not broadcast meets each key once: candidates such as "com/" are asked for by very many urls
+    keys = asked if small else asked.select("key").distinct()
+    passed = keys.withColumn("block", _block(F.col("key"), n_blocks)).join(F.broadcast(bloom) if small else bloom, "block")
+    passed = passed.where(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).drop("block", "word")
     listed = rules.select(
         "key",
         F.struct(
@@ -96,9 +99,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
             F.col("action").alias("action"),
         ).alias("fit"),
     )
-    best = passed.join(F.broadcast(listed) if listed_small else listed, "key").groupBy("host", "path").agg(F.max("fit").alias("fit"))
+    found = passed.join(F.broadcast(listed) if listed_small else listed, "key")
+    found = found if small else asked.join(found, "key")
+    best = found.groupBy("host", "path").agg(F.max("fit").alias("fit"))
     return parts.join(best, ["host", "path"], "left").select(
-        *own, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", F.lit(default)).alias("verdict")
+        "page.*", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.action", F.lit(default)).alias("verdict")
     )
 
 

@@ -41,6 +41,12 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
+def _payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, and its size and digests. Digests come before the join, so that what needs no payload does not move it."""
+    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    return base.select("*", F.sha2("payload", 256).alias("sha256"), F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+
+
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """A record for each row of pages (page_id, url, html), repeated rows too; other columns are left out.
 
@@ -49,9 +55,7 @@ def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payloads are all responses. A null html is an empty payload. A null page_id is larger than any
     other. Columns: page_id, url, payload, payload_bytes, sha256, payload_digest, record_type, refers_to.
     """
-    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    # digests before the join, so that what needs no payload does not move it
-    base = base.select("*", F.sha2("payload", 256).alias("sha256"), F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    base = _payloads(pages)
     # one row a digest and task before the shuffle; the join back is split where a digest is frequent
     first = base.groupBy("sha256").agg(F.min("page_id").alias("first_id"))
     revisits = F.coalesce((F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
@@ -88,8 +92,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write headers and payloads below path. Payloads are stored once for each SHA-256, whatever the record types."""
     recs = records(pages, min_bytes)
     recs.select("sha256", headers(recs).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # a response stands for its payload; where min_bytes leaves several, one of them is kept
-    recs.where("record_type = 'response'").select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # every payload has a response; equal ones are one row a task before they move
+    _payloads(pages).select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _value(header: Column, name: str) -> Column:

@@ -34,10 +34,15 @@ def test_preferences(spark):
     assert [(s.text, s.trained) for s in r.chosen] == [("<|assistant|>\n", False), ("good<|end|>\n", True), ("<|user|>\n", False), ("bye<|end|>\n", False)]
     assert [(s.text, s.trained) for s in r.rejected] == [("<|assistant|>\n", False), ("bad<|end|>\n", True)]
     assert (r.n_chosen_trained, r.n_rejected_trained) == (len("good<|end|>\n"), len("bad<|end|>\n"))
+    assert [tuple(s) for s in r.chosen_spans] == [(14, 26)] and r.chosen_text[14:26] == "good<|end|>\n" and [tuple(s) for s in r.rejected_spans] == [(14, 25)]
     assert got[1].n_prefix == 1 and got[1].rejected_text == ""
     assert got[2].n_prefix == 2 and got[2].chosen_text == "" and got[2].prompt.startswith("<||>\n<|end|>\n")
     assert got[3].n_prefix == 0 and got[4].n_prefix == 0 and got[4].chosen == []
     assert chat_format.preferences(turns.limit(0), pairs.limit(0)).count() == 0
+    long = spark.createDataFrame([(c, k, "assistant", "é" * 200_000 if k == 50 else f"{c if k > 90 else ''}x") for c in (1, 2) for k in range(100)], "conv_id long, turn long, role string, text string")
+    r = chat_format.preferences(long, pairs.limit(1)).first()
+    assert r.n_prefix == 91 and r.prompt.count("é") == 200_000 and len(r.chosen_spans) == 9
+    assert r.n_chosen_trained == sum(s.end - s.start for s in r.chosen_spans)
 
 
 def test_neighbour_pairs(spark):
@@ -110,6 +115,21 @@ def test_url_filter(spark):
     assert sorted_rows(got) == sorted_rows([(i, *judge(u, rules)) for i, u in enumerate(urls)] + [(0, "", "", None, "allow")])
     assert {r.verdict for r in url_filter.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
     assert url_filter.filter_urls(pages.limit(0), table).count() == 0
+    clash = pages.withColumns({c: F.lit(c) for c in ("fit", "key", "Host", "block", "word", "page", "suffix")})
+    out = url_filter.filter_urls(clash, table)
+    assert out.columns == ["page_id", "url", "fit", "key", "block", "word", "page", "suffix", "host", "path", "rule", "verdict"]
+    assert sorted_rows(out.select("page_id", "host", "path", "rule", "verdict").collect()) == sorted_rows(got) and {r.fit for r in out.collect()} == {"fit"}
+
+
+def test_url_filter_too_large_to_broadcast(spark, monkeypatch):
+    """The filter and the list joined by their keys give the same."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    urls = ["http://a.net/x", "http://b.org/fr/1", "http://b.org/", "http://example.net/en/1", "http://www.example.com/de/", None, "http://a.net/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(pages, url_filter.contract_rules(spark)).drop("url").collect()
+    assert sorted_rows(got) == sorted_rows([(i, *judge(u, url_filter.RULES)) for i, u in enumerate(urls)])
+    long = spark.createDataFrame([(1, "http://" + "a." * 3000 + "net/" + "p/" * 5000)], "page_id long, url string")
+    assert url_filter.filter_urls(long, url_filter.contract_rules(spark)).first().verdict == "block"
 
 
 def test_embeddings_against_brute_force(spark):
@@ -150,6 +170,51 @@ def test_dense_group_of_embeddings(spark):
     assert 0.98 * links[2000:].sum() <= sum(by[i].n_links for i in range(2000, 6000)) <= links[2000:].sum()
 
 
+def components_of(links):
+    """Smallest member of each row's component, brute force."""
+    least = np.arange(len(links))
+    while True:
+        after = np.minimum(least, np.where(links, least[None, :], len(links)).min(axis=1))
+        if (after == least).all():
+            return least
+        least = after
+
+
+def test_leaves_beyond_the_sample_are_split(spark, monkeypatch):
+    """A sample far too small for the table: leaves are split on their own vectors, and a dense group stays whole."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1500, 24))
+    x = np.concatenate([np.repeat(base, 2, axis=0) + 0.05 * rng.standard_normal((3000, 24)), np.eye(24)[0] + 0.004 * rng.standard_normal((300, 24))])
+    sizes = []
+    saved = embedding_dedup.saved
+    monkeypatch.setattr(embedding_dedup, "saved", lambda df, name: (lambda out: (name == "sizes" and sizes.append(sorted(r["size"] for r in out.collect())), out)[1])(saved(df, name)))
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").withColumns({"node": F.lit(1), "Leaf": F.lit("x"), "kept": F.lit("y")})
+    got = embedding_dedup.near_duplicates(rows, leaf=50, sample=64).collect()
+    assert max(sizes[0]) > 1000 and np.median(sizes[-1]) <= 4 * 50 and max(sizes[-1]) <= 2 * 300  # the dense group does not come apart
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    by = {r.vec_id: r for r in got}
+    found = sum(r.n_links for r in got)
+    assert len(by) == 3300 and 0.95 * links.sum() <= found <= links.sum()
+    least = components_of(links)
+    assert np.mean([by[i].component_id == least[i] for i in range(3300)]) > 0.95
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+
+
+def test_embeddings_of_the_table(spark):
+    """Recall on the table itself, and its components and kept rows, against all pairs."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    ids = sorted(x)
+    unit = np.array([x[i] / np.linalg.norm(x[i]) for i in ids])
+    links = unit @ unit.T >= 0.95
+    np.fill_diagonal(links, False)
+    got = {r.vec_id: r for r in queries.op6_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    least = [ids[i] for i in components_of(links)]
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in ids] == [(int(n), c, c == i) for i, n, c in zip(ids, links.sum(axis=1), least, strict=True)]
+
+
 def test_mixture(spark):
     random.seed(2)
     rows = [(i, "w " * random.randint(0, 30), random.choice(["en", "fr", None]), random.choice(["a", "b", "c"]), "clash") for i in range(600)] + [(None, "x y", "en", "a", "clash"), (0, None, "en", "a", "clash")]

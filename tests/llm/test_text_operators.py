@@ -268,6 +268,10 @@ def test_quality_rules_against_brute_force(spark):
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == rules_of(texts[r.doc_id]), texts[r.doc_id]
         assert not (r.base_failed and r.kept)
+    clash = docs_of(spark, rows).withColumns({c: F.lit(c) for c in ("of_words", "of_lines", "row", "failed", "N_Words")})
+    out = quality_rules.judge(clash)
+    assert {(r.of_words, r.of_lines, r.row, r.failed) for r in out.collect()} == {("of_words", "of_lines", "row", "failed")} and "N_Words" not in out.columns
+    assert quality_rules.judge(docs_of(spark, [])).count() == 0
     plain = "The river was wide and slow, and the people of the valley went down to it in the morning for water and for news of the road."
     assert quality_rules.judge(docs_of(spark, [(1, plain)])).first().kept
     assert not quality_rules.judge(docs_of(spark, [(1, plain.replace(" ", "%% "))])).first().kept
