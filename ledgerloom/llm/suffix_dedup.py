@@ -62,11 +62,11 @@ def hashes(data: np.ndarray, size: int) -> np.ndarray:
     return out[: max(0, len(data) - size + 1)]
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor of the texts in data (ends: of each byte's text): its hash and its first and last window."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor of the texts in data (ends: of each byte's text): its hash, its first and last window, and its place."""
     n = len(data)
     if n < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     h = mix(hashes(data, gram))
     bits = np.uint64(max(20, n.bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -82,7 +82,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     whole = np.arange(len(place)) + length <= ends[: len(place)]
     starts = np.flatnonzero(whole & np.r_[True, (place[1:] != place[:-1]) | ~whole[:-1]])
     stops = np.flatnonzero(whole & np.r_[(place[1:] != place[:-1]) | ~whole[1:], True])
-    return h[place[starts]], starts, stops
+    return h[place[starts]], starts, stops, place[starts]
 
 
 def text_runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -93,15 +93,15 @@ def text_runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def run_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Anchors of all texts, run by run: hash, first and last window as places in data, and row."""
+def run_anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Anchors of all texts, run by run: hash, first and last window as places in data, row, and place in the first window."""
     for first, end in text_runs(offsets):
         start = int(offsets[first])
         sizes = np.diff(offsets[first : end + 1])
         ends = np.repeat(offsets[first + 1 : end + 1] - start, sizes)
-        h, lo, hi = anchors(data[start : int(offsets[end])], ends, length, gram)
+        h, lo, hi, at = anchors(data[start : int(offsets[end])], ends, length, gram)
         if len(h):
-            yield h, lo + start, hi + start, np.searchsorted(offsets, lo + start, "right") - 1
+            yield h, lo + start, hi + start, np.searchsorted(offsets, lo + start, "right") - 1, at - lo
 
 
 def _gather(batches: Iterator[pa.RecordBatch], n_buckets: int, n_shards: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def _gather(batches: Iterator[pa.RecordBatch], n_buckets: int, n_shards: int, le
     for batch in batches:
         shards = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         data, offsets = buffers(batch.column(1))
-        for h, _, _, row in run_anchors(data, offsets, length, gram):
+        for h, _, _, row, _ in run_anchors(data, offsets, length, gram):
             held.append((h, shards[row]))
             n_held += len(h)
             if n_held > HELD:
@@ -244,8 +244,10 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 
 #: Rows of repeats (bucket null: shard, row, lo, hi) and sorted lists of windows: for each run of windows of one anchor the
-#: anchor, first and last window, document (row in shard, id, tie); ranks order the windows of an anchor, `wide` bytes each.
-LISTS = "shard int, bucket int, part int, lo binary, hi binary, row binary, anchors binary, ids binary, ties binary, shards binary, ranks binary, wide int, bytes binary"
+#: anchor, first and last window, document (row in shard, id, tie) and the anchor's place in the first window; equal windows
+#: have their anchor at the same place, and ranks order the windows of an anchor and place, `wide` bytes each. bytes are packed.
+LISTS = "shard int, bucket int, part int, lo binary, hi binary, row binary, anchors binary, inside binary, ids binary, ties binary, shards binary, ranks binary, wide int, size int, bytes binary"
+PACKER = pa.Codec("zstd", 1)
 _KINDS = {"int": pa.int32(), "binary": pa.binary()}
 _FIELDS = [(x.split()[0], _KINDS[x.split()[1]]) for x in LISTS.split(", ")]
 
@@ -291,13 +293,13 @@ def _shard(docs: pa.Table, found: pa.Table, n_buckets: int, length: int, gram: i
     order = np.argsort(known)
     known, known_spread = known[order], known_spread[order]
     parts = []
-    for h, lo, hi, row in run_anchors(data, offsets, length, gram):
+    for h, lo, hi, row, inside in run_anchors(data, offsets, length, gram):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[at] == h
-        parts.append((h[hit], lo[hit], hi[hit], row[hit], known_spread[at[hit]]))
+        parts.append((h[hit], lo[hit], hi[hit], row[hit], known_spread[at[hit]], inside[hit]))
     if not parts or not sum(len(p[0]) for p in parts):
         return _lists(rows)
-    h, lo, hi, row, elsewhere = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, lo, hi, row, elsewhere, inside = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     # copy out the text of these windows; neighbours in one document share their bytes
     joined = np.r_[False, (lo[1:] <= hi[:-1] + length) & (row[1:] == row[:-1])]
@@ -344,20 +346,21 @@ def _shard(docs: pa.Table, found: pa.Table, n_buckets: int, length: int, gram: i
         run, a, b = e[head], w[head], w[np.r_[head[1:] - 1, len(w) - 1]]
         far = elsewhere[run] > 1
         rows += _runs(
-            data, length, h[run], lo[run] + a, lo[run] + b, row[run], offsets, ids[row[run]], ties[row[run]], np.full(len(run), shard, np.int32),
+            data, length, h[run], inside[run] - a, lo[run] + a, lo[run] + b, row[run], offsets, ids[row[run]], ties[row[run]], np.full(len(run), shard, np.int32),
             class_of[here[go]], (h[run] % np.uint64(n_buckets)).astype(np.int64), np.where(far, shard // fan, -1),
         )
     return _lists(rows)
 
 
-def _runs(data, length, anchor, a, b, row, offsets, ids, ties, shards, value, bucket, part) -> list[dict]:  # noqa: ANN001
+def _runs(data, length, anchor, inside, a, b, row, offsets, ids, ties, shards, value, bucket, part) -> list[dict]:  # noqa: ANN001
     """Lists of windows by bucket and part. a, b: first and last window of each run, as places in data; value orders the windows."""
     n = b - a + 1
     turn = np.lexsort((anchor, part, bucket))
     start = np.cumsum(n) - n
     each, within = spread(n[turn])
     value = value[start[turn][each] + within]
-    anchor, a, b, row, ids, ties, shards, bucket, part, n = (x[turn] for x in (anchor, a, b, row, ids, ties, shards, bucket, part, n))
+    anchor, inside, a, b, row, ids, ties, shards, bucket, part, n = (x[turn] for x in (anchor, inside, a, b, row, ids, ties, shards, bucket, part, n))
+    group = np.cumsum(np.r_[False, anchor[1:] != anchor[:-1]])[each] * length + (inside[each] - within)
     base = offsets[row] if offsets is not None else np.zeros(len(row), np.int64)
     cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]), True])
     ends = np.r_[0, np.cumsum(n)]
@@ -367,12 +370,12 @@ def _runs(data, length, anchor, a, b, row, offsets, ids, ties, shards, value, bu
         size = (b[own] - a[own] + length).astype(np.int64)
         _, place = spread(size)
         raw = data[np.repeat(a[own], size) + place]
-        ranks = _dense(np.repeat(anchor[own], n[own]), value[ends[x] : ends[y]])
+        ranks = _dense(group[ends[x] : ends[y]], value[ends[x] : ends[y]])
         out.append(
             {
                 "bucket": int(bucket[x]), "part": int(part[x]), "lo": (a[own] - base[own]).astype(np.int32).tobytes(), "hi": (b[own] - base[own]).astype(np.int32).tobytes(),
-                "row": row[own].astype(np.int32).tobytes(), "anchors": anchor[own].tobytes(), "ids": ids[own].tobytes(), "ties": ties[own].tobytes(), "shards": shards[own].astype(np.int32).tobytes(),
-                "bytes": raw.tobytes(), **_ranked(ranks),
+                "row": row[own].astype(np.int32).tobytes(), "anchors": anchor[own].tobytes(), "inside": inside[own].astype(np.int16).tobytes(), "ids": ids[own].tobytes(), "ties": ties[own].tobytes(), "shards": shards[own].astype(np.int32).tobytes(),
+                "bytes": PACKER.compress(raw, asbytes=True), "size": len(raw), **_ranked(ranks),
             }
         )
     return out
@@ -381,45 +384,46 @@ def _runs(data, length, anchor, a, b, row, offsets, ids, ties, shards, value, bu
 def search(word: np.ndarray, a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Binary search of windows in sorted ones, by their bytes, eight at a time.
 
-    word: the eight bytes from each place; a, b: places of the windows; those of a are sorted from low to high for each
-    window of b. Returns for each of b its place in a, and whether an equal window is there.
+    word: the eight bytes from each place, first byte lowest; a, b: places of the windows; those of a are sorted from low
+    to high for each window of b. Returns for each of b its place in a, and whether an equal window is there.
     """
     low, high = low.copy(), high.copy()
     equal = np.zeros(len(b), bool)
-    live = np.flatnonzero(low < high)
-    for k in [*range(0, length - 8, 8), length - 8]:
+    alone = [np.flatnonzero(high - low == 1)]  # with one window left: it is compared to its end
+    steps = [*range(0, length - 8, 8), length - 8]
+    live = np.flatnonzero(high - low > 1)
+    for k in steps:
         if not len(live):
-            return low, equal
-        x = word[b[live] + k]
-        lo, hi = low[live], high[live]
-        if (hi - lo == 1).all():
-            v = word[a[lo] + k]
-            low[live] += v < x
-            live = live[v == x]
-            continue
-        end = hi.copy()
-        open_ = np.arange(len(live))
-        while len(open_):  # the first that is not less
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = word[a[mid] + k] < x[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-            open_ = open_[lo[open_] < hi[open_]]
-        low[live] = lo
-        found = lo < end
-        found[found] = word[a[lo[found]] + k] == x[found]
-        live, lo, hi, x = live[found], lo[found], end[found], x[found]
-        more = hi - lo > 1
-        open_ = np.flatnonzero(more)
-        first = lo.copy()
-        lo[more] += 1
-        while len(open_):  # the first that is greater
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = word[a[mid] + k] <= x[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-            open_ = open_[lo[open_] < hi[open_]]
-        high[live] = np.where(more, lo, first + 1)
+            break
+        x = word[b[live] + k].byteswap()
+        lo, end = low[live], high[live]
+
+        def first(lo: np.ndarray, hi: np.ndarray, beyond: bool, k: int = k, x: np.ndarray = x) -> np.ndarray:
+            """The first window that is not less, or greater."""
+            lo, hi, open_ = lo.copy(), hi.copy(), np.flatnonzero(lo < hi)
+            while len(open_):
+                mid = (lo[open_] + hi[open_]) >> 1
+                v = word[a[mid] + k].byteswap()
+                less = v <= x[open_] if beyond else v < x[open_]
+                lo[open_] = np.where(less, mid + 1, lo[open_])
+                hi[open_] = np.where(less, hi[open_], mid)
+                open_ = open_[lo[open_] < hi[open_]]
+            return lo
+
+        low[live] = start = first(lo, end, False)
+        high[live] = stop = first(start, end, True)
+        alone.append(live[stop - start == 1])
+        live = live[stop - start > 1]
+    equal[live] = True
+    live = np.concatenate(alone)
+    there, mine = a[low[live]], b[live]
+    for k in steps:
+        v, x = word[there + k], word[mine + k]
+        same = v == x
+        if not same.all():
+            other = ~same
+            low[live[other]] += v[other].byteswap() < x[other].byteswap()
+            live, there, mine = live[same], there[same], mine[same]
     equal[live] = True
     return low, equal
 
@@ -436,13 +440,15 @@ def _merge(table: pa.Table, length: int, fan: int) -> pa.Table:
     lo, hi, row, shard = (np.concatenate(unpack(x, np.int32)).astype(np.int64) for x in ("lo", "hi", "row", "shards"))
     ids, ties = (np.concatenate(unpack(x, np.int64)) for x in ("ids", "ties"))
     ranks = np.concatenate([np.frombuffer(r, f"u{w}").astype(np.int64) for r, w in zip(table.column("ranks").to_pylist(), table.column("wide").to_pylist(), strict=True)])
-    data = np.concatenate(unpack("bytes", np.uint8))
+    packed = zip(table.column("bytes").to_pylist(), table.column("size").to_pylist(), strict=True)
+    data = np.concatenate([np.frombuffer(PACKER.decompress(x, n), np.uint8) for x, n in packed])
+    inside = np.concatenate(unpack("inside", np.int16)).astype(np.int64)
     source = np.repeat(np.arange(len(anchors)), [len(x) for x in anchors])
     n_windows = hi - lo + 1
     size = n_windows + length - 1
     run, within = spread(n_windows)
     place = (np.cumsum(size) - size)[run] + within
-    word = np.r_[words_at(data), np.zeros(8, np.uint64)]
+    word = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
     # the order of the corpus: by document and place
     order = np.lexsort((lo, row, shard, ties, ids))
     start = np.empty(len(order), np.int64)
@@ -459,7 +465,8 @@ def _merge(table: pa.Table, length: int, fan: int) -> pa.Table:
     np.maximum.at(left, number, own + 1)
 
     number, own = number[run], own[run]
-    w = np.lexsort((ranks, own, number))
+    group = number * length + inside[run] - within  # an anchor at a place in the window
+    w = np.lexsort((ranks, own, group))
     own = own[w]
     repeats = np.zeros(len(run), bool)
     done = []
@@ -471,7 +478,7 @@ def _merge(table: pa.Table, length: int, fan: int) -> pa.Table:
             break
         odd = (own & 1).astype(bool)
         a, b = w[~odd], w[odd]
-        pair = lambda at, lists: number[at] << 32 | lists >> 1
+        pair = lambda at, lists: group[at] << 24 | lists >> 1
         pair_a, pair_b = pair(a, own[~odd]), pair(b, own[odd])
         at, equal = search(word, place[a], place[b], np.searchsorted(pair_a, pair_b, "left"), np.searchsorted(pair_a, pair_b, "right"), length)
         twin = at[equal]
@@ -502,7 +509,7 @@ def _merge(table: pa.Table, length: int, fan: int) -> pa.Table:
         head = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (v[1:] != v[:-1] + 1)])
         r, a, b = e[head], v[head], v[np.r_[head[1:] - 1, len(v) - 1]]
         base = (np.cumsum(size) - size)[r]
-        kept = _runs(data, length, anchor[r], base + a, base + b, row[r], None, ids[r], ties[r], shard[r], place_in_order[go], np.full(len(r), table.column("bucket")[0].as_py()), np.full(len(r), part // fan))
+        kept = _runs(data, length, anchor[r], inside[r] - a, base + a, base + b, row[r], None, ids[r], ties[r], shard[r], place_in_order[go], np.full(len(r), table.column("bucket")[0].as_py()), np.full(len(r), part // fan))
         for out in kept:  # places in the texts again, in the order of the list
             turn = np.argsort(anchor[r], kind="stable")
             out |= {"lo": (lo[r] + a)[turn].astype(np.int32).tobytes(), "hi": (lo[r] + b)[turn].astype(np.int32).tobytes()}

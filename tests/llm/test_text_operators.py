@@ -137,7 +137,7 @@ def test_one_passage_in_a_thousand_shards():
         value[order] = np.arange(61)
         at = lambda *x: np.array(x)
         # the passage's windows belong to one anchor, the shard's own to another that is not shared
-        rows += suffix_dedup._runs(data, 100, np.array([7, 1000 + shard], np.uint64), at(0, 160), at(60, 190), at(0, 1), None, at(5000 - shard, 9), at(0, 0), np.full(2, shard, np.int32), np.r_[value, np.arange(31)], at(0, 0), at(shard // 100, shard // 100))
+        rows += suffix_dedup._runs(data, 100, np.array([7, 1000 + shard], np.uint64), at(60, 30), at(0, 160), at(60, 190), at(0, 1), None, at(5000 - shard, 9), at(0, 0), np.full(2, shard, np.int32), np.r_[value, np.arange(31)], at(0, 0), at(shard // 100, shard // 100))
 
     def merged(found, fan):
         return [r for r in suffix_dedup._merge(suffix_dedup._lists(found), 100, fan).to_pylist()]
