@@ -43,6 +43,16 @@ def side_of(day: Column, cut: str, end: str) -> Column:
     return F.when(day <= F.lit(cut).cast("date"), 0).when(day <= F.lit(end).cast("date"), 1).otherwise(2)
 
 
+def near_midnight(clock: Column) -> Column:
+    """Whether a wall clock shows 20:00 to 03:59, where another time zone may show another day."""
+    return (F.hour(clock) >= 20) | (F.hour(clock) < 4)
+
+
+def hours_fit_days(hours: Column, days: Column) -> Column:
+    """Whether a duration in hours is coherent with one in days: less than a day away from it."""
+    return (hours > 24 * (days - 1)) & (hours < 24 * (days + 1))
+
+
 def calendar(spark: SparkSession, first: str = "2022-12-01", last: str = "2026-03-31") -> DataFrame:
     """One row a day: day, year, quarter, month, month_name, day_of_month, iso_weekday, weekend."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))

@@ -89,7 +89,7 @@ def resolve(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     gold = dense_keys(gold, [F.col("least_legacy").isNull(), F.coalesce("least_legacy", "shop_id"), F.col("person")], "person_key").drop("least_legacy")
     ids = gold.select("person", "person_key", "legacy_id", "shop_id")
-    gold = gold.join(tax, "person", "left").join(used, "person", "left").withColumn("origin", F.when((F.col("n_legacy") > 0) & (F.col("n_shop") > 0), "AMBOS").when(F.col("n_shop") > 0, "ECOMMERCE").otherwise("LEGADO"))
+    gold = gold.join(tax, "person", "left").join(used, "person", "left").withColumn("origin", F.when((F.col("n_legacy") > 0) & (F.col("n_shop") > 0), "AMBOS").when(F.col("n_shop") > 0, "ECOM").otherwise("LEGADO"))
     size = F.col("n_legacy") + F.col("n_shop")
     claims = gold.where("tax_valid").withColumn("size", size).groupBy("tax").agg(F.count("*").alias("n"), F.max("size").alias("most"))
     claims = claims.where("n > 1").join(gold.where("tax_valid").select("tax", size.alias("size")), "tax").groupBy("tax", "most").agg(F.count_if(F.col("size") == F.col("most")).alias("n_most"))

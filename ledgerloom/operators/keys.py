@@ -9,6 +9,17 @@ from pyspark.sql import Window as W
 from ..storage import saved
 
 
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with the sum of value over all rows before, in the given order (make it total). Ranges of the order are summed
+    side by side and shifted by the sums of those before; one small row a range meets in one task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    shifts = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    own = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_own", own).join(F.broadcast(shifts), "_range").withColumn(name, (F.col("_shift") + F.col("_own")).cast("long")).drop("_range", "_own", "_shift")
+
+
 def dense_keys(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with 1..n in the given order (make it total). Ranges of the order are numbered side by side and shifted
     by the sizes of the ranges before; one small row a range meets in one task."""

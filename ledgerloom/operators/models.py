@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .keys import dense_keys, running_sum
 
 
 def order_hash(key: Column, seed: int = 0) -> Column:
@@ -15,21 +16,34 @@ def order_hash(key: Column, seed: int = 0) -> Column:
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.7, seed: int = 0) -> DataFrame:
     """df with train: exactly ceil(share * n) rows of each class, in the order of a hash of the key."""
-    w = W.partitionBy(label)
-    place = F.row_number().over(w.orderBy(order_hash(F.col(key), seed), key))
-    return df.withColumn("train", place <= F.ceil(F.count("*").over(w) * share))
+    placed = dense_keys(df.withColumn("_hash", order_hash(F.col(key), seed)), [F.col(label), F.col("_hash"), F.col(key)], "_nth")
+    classes = placed.groupBy(F.col(label).alias("_class")).agg(F.min("_nth").alias("_first"), F.count("*").alias("_n"))
+    joined = placed.join(F.broadcast(classes), F.col(label).eqNullSafe(F.col("_class")))  # a row a class
+    return joined.withColumn("train", F.col("_nth") - F.col("_first") < F.ceil(F.col("_n") * share)).drop("_hash", "_nth", "_class", "_first", "_n")
+
+
+def partition_checks(split: DataFrame, base: DataFrame, key: str, label: str) -> DataFrame:
+    """(check, n) of a split, all 0 if it is sound: keys in both parts, keys of the base in neither, and labels that differ from the base's."""
+    sides = split.groupBy(key).agg(F.max(F.col("train").cast("int")).alias("_a"), F.min(F.col("train").cast("int")).alias("_b"), F.first(label).alias("_label"))
+    both = base.select(key, F.col(label).alias("_base")).join(sides, key, "full")
+    tests = {"in both parts": F.col("_a") != F.col("_b"), "in neither part": F.col("_a").isNull(), "label differs": ~F.col("_label").eqNullSafe(F.col("_base")) & F.col("_a").isNotNull()}
+    cells = [F.struct(F.lit(k).alias("check"), F.count_if(F.coalesce(t, F.lit(False))).alias("n")) for k, t in tests.items()]
+    return both.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def cuts(df: DataFrame, column: str, bins: int = 4) -> list[float]:
     """Cuts of about equal frequency between different values: after the value whose running count first reaches k/bins.
 
-    Only the values' counts are sorted, and at most bins - 1 numbers come to the driver.
+    Only the values' counts are sorted, by ranges, and at most 2 * bins numbers come to the driver.
     """
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    w = W.orderBy(column)
-    run = values.select(F.col(column).alias("v"), F.sum("n").over(w).alias("upto"), F.lead(column).over(w).alias("next"), F.sum("n").over(W.partitionBy()).alias("all"))
-    at = [F.min(F.when((F.col("upto") * bins >= F.col("all") * k) & F.col("next").isNotNull(), (F.col("v") + F.col("next")) / 2)) for k in range(1, bins)]
-    return sorted({float(x) for x in run.agg(*at).first() if x is not None})
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    run = running_sum(values, [F.col("v")], "n", "below")
+    total = run.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    reached = run.agg(*(F.min(F.when((F.col("below") + F.col("n")) * bins >= total * k, F.col("v"))) for k in range(1, bins))).first()
+    after = run.agg(*(F.min(F.when(F.col("v") > v, F.col("v"))) for v in reached)).first()
+    return sorted({(float(a) + float(b)) / 2 for a, b in zip(reached, after, strict=True) if b is not None})
 
 
 def binned(column: str, at: list[float]) -> Column:
@@ -64,7 +78,10 @@ def auc(df: DataFrame, score: str, label: str, groups: list[str] | None = None)
     """
     groups = groups or []
     values = df.where(F.col(score).isNotNull()).groupBy(*groups, score).agg(F.count("*").alias("n"), F.sum(label).alias("ones"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*groups).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    values = running_sum(values, [*map(F.col, groups), F.col(score)], "n", "_below")
+    starts = values.groupBy(*groups).agg(F.min("_below").alias("_start"))
+    values = values.join(starts, groups) if groups else values.crossJoin(F.broadcast(starts))  # one row
+    below = F.col("_below") - F.col("_start")
     # the rank sum times two stays an integer
     ranked = values.withColumn("_twice", F.col("ones") * (2 * below + F.col("n") + 1))
     ones, zeros = F.sum("ones"), F.sum(F.col("n") - F.col("ones"))
@@ -78,6 +95,24 @@ def univariate_auc(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     return got.select("feature", F.greatest(F.col("auc"), 1 - F.col("auc")).alias("auc"), F.when(F.col("auc") >= 0.5, 1).otherwise(-1).alias("direction"))
 
 
+def version_differences(metrics: DataFrame, version: str, base: str, columns: list[str], on: list[str]) -> DataFrame:
+    """Each version's metrics less those of the version `base`, by on (model, metric set, ...)."""
+    other = metrics.where(F.col(version) != base)
+    own = metrics.where(F.col(version) == base).select(*on, *(F.col(c).alias(f"_{c}") for c in columns))
+    return other.join(own, on, "left").select(version, *on, *((F.col(c) - F.col(f"_{c}")).alias(c) for c in columns))
+
+
+def sensitivity(train: DataFrame, test: DataFrame, key: str, label: str, grid: list[dict]) -> DataFrame:
+    """(settings, auc) of a classifier for each entry of a small grid of settings; the frames are prepare()'s."""
+    n = train.count()
+    found = []
+    for settings in grid:
+        model = classifier(label=label, n_train=n, **settings).fit(train)
+        name = ", ".join(f"{k}={v}" for k, v in settings.items())
+        found.append(auc(scored(model, test, key, label), "score", label).select(F.lit(name).alias("settings"), "auc"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def confusion(df: DataFrame, score: str, label: str, threshold: float = 0.5) -> DataFrame:
     """tn, fp, fn, tp at score > threshold, with accuracy, recall, specificity and balanced accuracy."""
     said, true = F.col(score) > threshold, F.col(label) == 1

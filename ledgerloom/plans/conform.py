@@ -151,7 +151,7 @@ def products(legacy: DataFrame, shop: DataFrame, categories: DataFrame) -> DataF
     tree = child.join(parent, F.col("c.parent_id") == F.col("p.category_id"), "left").select(
         F.col("c.category_id").alias("category_id"), F.coalesce("p.name", "c.name").alias("level1"), F.when(F.col("p.name").isNotNull(), F.col("c.name")).alias("level2")
     )
-    new = shop.join(F.broadcast(tree), "category_id", "left").select(F.lit("ECOM").alias("system"), "product_id", "description", "level1", "level2", F.lit("taxonomia_origem").alias("mapping"))
+    new = shop.join(tree, "category_id", "left").select(F.lit("ECOM").alias("system"), "product_id", "description", "level1", "level2", F.lit("taxonomia_origem").alias("mapping"))
     return old.unionByName(new)
 
 
@@ -162,7 +162,7 @@ def tickets(raw: DataFrame, tax_ids: DataFrame) -> DataFrame:
     customer's alone; else it is null, with a flag where there are several.
     """
     first = W.partitionBy("protocol").orderBy("line")
-    owners = tax_ids.where("tax_id IS NOT NULL").groupBy("tax_id").agg(F.array_sort(F.collect_set("customer_key")).alias("_owners"))
+    owners = tax_ids.where("tax_id IS NOT NULL").groupBy("tax_id").agg(F.min("customer_key").alias("_least"), F.max("customer_key").alias("_greatest"))
     rating, hours = numbers.comma_number(F.col("rating")), numbers.comma_number(F.col("hours"))
     reason = text.fold_label(text.without_note(F.col("reason")))
     return (
@@ -172,8 +172,8 @@ def tickets(raw: DataFrame, tax_ids: DataFrame) -> DataFrame:
         .join(owners, "tax_id", "left")
         .select(
             "protocol",
-            F.when(F.size("_owners") == 1, F.get("_owners", F.lit(0))).alias("customer_key"),
-            F.coalesce(F.size("_owners") > 1, F.lit(False)).alias("tax_id_ambiguous"),
+            F.when(F.col("_least") == F.col("_greatest"), F.col("_least")).alias("customer_key"),
+            F.coalesce(F.col("_least") < F.col("_greatest"), F.lit(False)).alias("tax_id_ambiguous"),
             dates.day_month_year(F.col("opened")).alias("opened"),
             dates.day_month_year(F.col("closed")).alias("closed"),
             F.upper(F.trim("channel")).alias("channel"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import check_digit
+
 SEED = 20262
 
 
@@ -20,13 +22,16 @@ def pick(name: str, values: list, key: Column | str = "id") -> Column:
 def tax_id(person: Column, valid: Column) -> Column:
     """Eleven digits of a person, masked; the last one is wrong where valid is false."""
     nine = F.lpad(F.pmod(person * 7919 + 123456, F.lit(10**9)).cast("string"), 9, "0")
-    digit = lambda s, i: F.substring(s, i, 1).cast("int")
-    check = lambda s, n: F.pmod(F.pmod(F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.lit(0), lambda acc, i: acc + s.substr(i, F.lit(1)).cast("int") * (n + 2 - i)) * 10, F.lit(11)), F.lit(10))
-    first = check(nine, 9)
-    ten = F.concat(nine, first.cast("string"))
-    second = check(ten, 10)
-    last = F.when(valid, second).otherwise(F.pmod(second + 1, F.lit(10)))
-    return F.concat(F.substring(ten, 1, 3), F.lit("."), F.substring(ten, 4, 3), F.lit("."), F.substring(ten, 7, 3), F.lit("-"), digit(ten, 10).cast("string"), last.cast("string"))
+    eleven = with_check_digits(nine, valid)
+    return F.regexp_replace(eleven, r"^(...)(...)(...)(..)$", "$1.$2.$3-$4")
+
+
+def with_check_digits(nine: Column, valid: Column) -> Column:
+    """Nine digits with their two check digits, the last one wrong where valid is false. Each step is bound once."""
+    once = lambda x, body: F.element_at(F.transform(F.array(x), body), 1)
+    ten = once(nine, lambda d: F.concat(d, check_digit(d, 9)))
+    wrong = F.when(valid, 0).otherwise(1)
+    return once(ten, lambda d: F.concat(d, F.pmod(check_digit(d, 10).cast("int") + wrong, F.lit(10)).cast("string")))
 
 
 def customers(spark: SparkSession, n: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions.text import looks_garbled
 
@@ -55,10 +56,26 @@ def count_records(spark: SparkSession, path: str, encoding: str = "ISO-8859-1")
     return whole.agg(F.sum(F.size(F.filter(F.split(outside, r"\r?\n"), lambda x: x != "")) - 1).alias("n_records"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _file, _line): lines with their number in their file, however the file is split.
+
+    A split's lines are numbered by their row ids, shifted by the lines of the file's splits before; two scans, no sort.
+    """
+    split = ["_file", "_block"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_id", F.monotonically_increasing_id())
+    sizes = lines.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(sizes.select(*split, "_first", before.alias("_before")), split).select("value", "_file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("_line"))
+
+
+def sample(df: DataFrame, n: int = 200_000) -> DataFrame:
+    """Some n rows, for a profile of what a table looks like."""
+    return df.limit(n)
+
+
 def ndjson(spark: SparkSession, path: str, source: str = "reviews", paths: dict[str, str] = REVIEW_PATHS) -> DataFrame:
     """One row a line that is not blank. Each path as text, and lists of the paths that are absent, null, or text."""
-    # the file is read as lines, so the line number is that of the file when it is one split
-    raw = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id() + 1).where(F.trim("value") != "")
+    raw = numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = raw.withColumn("v", F.parse_json("value"))
     at = {k: f"$.{p}" for k, p in paths.items()}
     value = {k: F.try_variant_get("v", p, "string") for k, p in at.items()}

@@ -28,9 +28,10 @@ def annotated_csv(df: DataFrame, path: str, label: str, meta: list[str], order:
     kinds = column_kinds(df)
     kinds[label] = "discrete"
     role = lambda c: "class" if c == label else "meta" if c in meta else ""
-    heads = [",".join(df.columns), ",".join(kinds[c] for c in df.columns), ",".join(map(role, df.columns))]
+    quoted = lambda x: '"' + x.replace('"', '""') + '"' if any(c in x for c in ',"\n\r') else x
+    heads = [",".join(map(quoted, df.columns)), ",".join(kinds[c] for c in df.columns), ",".join(map(role, df.columns))]
     head = df.sparkSession.createDataFrame([(-1, i, h) for i, h in enumerate(heads)], "_part int, _at long, value string")
-    line = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
+    line = F.to_csv(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"nullValue": "", "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     body = df.select(F.lit(0).alias("_part"), F.col(order).cast("long").alias("_at"), line.alias("value"))
     # the format asks for one file
     head.unionByName(body).repartition(1).sortWithinPartitions("_part", "_at").select("value").write.mode("overwrite").text(path)

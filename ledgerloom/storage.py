@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,10 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, one of our own."""
+    """The folder that spark.checkpoint.dir names; where it is unset and all runs in one process, as in tests, one of our own.
+
+    On a cluster executors and driver share no local folder, so there the setting must be given.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = getattr(spark, "_ledgerloom_scratch", None)
+        if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not root:
             root = tempfile.mkdtemp(prefix="ledgerloom-")
             spark._ledgerloom_scratch = root

@@ -44,9 +44,15 @@ def test_against_sql(spark, duck, name):
     assert ours == sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in got.fetchall())
 
 
-def test_naive_bayes_counts_all_test_rows(spark):
-    r = QUERIES["naive_bayes_report"](spark, SF).first()
-    assert r.tn + r.fp + r.fn + r.tp > 0 and 0 <= r.accuracy <= 1
+def test_controls_differ(spark):
+    """What must fail does: a leaking copy, discounts that were mended, lines without an order, taxes of two persons."""
+    proof = QUERIES["leakage_proof"](spark, SF).collect()
+    assert all(r.n_different == 0 for r in proof if r.against == "snapshot") and sum(r.n_different > 0 for r in proof if r.against != "snapshot") >= 8
+    assert {r["column"] for r in QUERIES["column_parity"](spark, SF).collect() if not r.equal} == {"discount"}
+    assert {r.name for r in QUERIES["assertion_log"](spark, SF).collect() if not r.passed} == {"lines without an order"}
+    assert all(r.difference == 0 for r in QUERIES["reconciliation"](spark, SF).collect()) and any(r.false_difference for r in QUERIES["reconciliation"](spark, SF).collect())
+    persons = QUERIES["people"](spark, SF).collect()
+    assert any(r.tax_conflict for r in persons) and any("DUPLICATA_LEGADO" in (r.rules or "") for r in persons)
 
 
 def test_entry(spark):
