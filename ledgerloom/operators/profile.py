@@ -35,6 +35,12 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in repeated keys, rows beyond the first of each, and repeated keys; nulls are equal to each other."""
+    groups = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_surplus"), F.count("*").alias("n_groups"))
+
+
 def top_values(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last(column)).limit(k)
 

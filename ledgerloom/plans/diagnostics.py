@@ -44,6 +44,57 @@ def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count("_a").alias("n_left"), F.count("_b").alias("n_right"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n_both"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("n_difference"))
 
 
+def audit_keys(records: DataFrame, keys: list[str], side: str, sides: tuple[str, str], name: str) -> DataFrame:
+    """For each candidate key: present, distinct, repeated within a side, shared by both, rows of each side whose key the
+    other has, pairs over both sides, and pairs that agree on the name. Counts of each key and name meet, not pairs."""
+    cells = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys))
+    long = records.select(F.col(side).alias("_side"), F.col(name).alias("_name"), F.explode(cells).alias("x")).select("_side", "_name", "x.*").where("value IS NOT NULL")
+    a, b = (F.count_if(F.col("_side") == s) for s in sides)
+    by_name = long.groupBy("key", "value", "_name").agg(a.alias("a"), b.alias("b"))
+    by_value = by_name.groupBy("key", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.when(F.col("_name").isNotNull(), F.col("a") * F.col("b")).otherwise(0)).alias("agree"))
+    both = (F.col("a") > 0) & (F.col("b") > 0)
+    return by_value.groupBy("key").agg(
+        F.sum(F.col("a") + F.col("b")).alias("n_present"), F.count("*").alias("n_distinct"), F.sum((F.col("a") > 1).cast("long") + (F.col("b") > 1).cast("long")).alias("n_repeated"), F.count_if(both).alias("n_shared"),
+        F.sum(F.when(both, F.col("a")).otherwise(0)).alias("n_left_covered"), F.sum(F.when(both, F.col("b")).otherwise(0)).alias("n_right_covered"), F.sum(F.col("a") * F.col("b")).alias("n_pairs"), F.sum("agree").alias("n_agree"),
+    )
+
+
+def candidate_precision(records: DataFrame, rules: dict[str, list[str]], side: str, sides: tuple[str, str], truth: str) -> DataFrame:
+    """For each rule, a list of keys: pairs over the two sides that share them, those whose truth (a tax id) is the same and those
+    whose truth differs. From counts by keys and truth, without making the pairs."""
+    out = []
+    a, b = (F.count_if(F.col(side) == s) for s in sides)
+    for rule, keys in rules.items():
+        counts = records.dropna(subset=keys).groupBy(*keys, truth).agg(a.alias("a"), b.alias("b"))
+        known = F.col(truth).isNotNull()
+        each = counts.groupBy(*keys).agg(
+            F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.when(known, F.col("a")).otherwise(0)).alias("ka"), F.sum(F.when(known, F.col("b")).otherwise(0)).alias("kb"), F.sum(F.when(known, F.col("a") * F.col("b")).otherwise(0)).alias("right"))
+        out.append(each.agg(F.sum(F.col("a") * F.col("b")).alias("n_pairs"), F.sum("right").alias("n_right"), F.sum(F.col("ka") * F.col("kb") - F.col("right")).alias("n_wrong")).select(F.lit(rule).alias("rule"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def confinement(right: DataFrame, leak: DataFrame, key: str, value: str, others: list[str]) -> DataFrame:
+    """(check, n) of a leaking feature table against the right one, both with y: what must be 0 but for "recency below zero".
+
+    leak has recency_days_leaky, frequency_leaky, leaky_y and z of value beside the right columns.
+    """
+    a = right.select(key, "y", "frequency", *others, F.lit(1).alias("_a"))
+    b = leak.select(key, "leaky_y", "recency_days_leaky", "frequency_leaky", "z", *(F.col(c).alias(f"_{c}") for c in others), F.lit(1).alias("_b"))
+    both = a.join(b, key, "full")
+    differs = reduce(lambda x, c: x | ~F.col(c).eqNullSafe(F.col(f"_{c}")), others, F.lit(False))
+    there = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    stats = right.agg(F.avg(F.col(value).cast("double")).alias("_mean"), F.stddev_pop(F.col(value).cast("double")).alias("_std"))
+    both = both.crossJoin(F.broadcast(stats))  # one row
+    back = F.abs(F.col("z") * F.col("_std") + F.col("_mean") - F.col(value).cast("double")) > 1e-6 * F.col("_std")
+    tests = {
+        "population differs": F.count_if(F.col("_a").isNull() | F.col("_b").isNull()), "target differs": F.count_if(there & ~F.col("y").eqNullSafe(F.col("leaky_y"))), "other columns differ": F.count_if(there & differs),
+        "recency below zero": F.count_if(F.col("recency_days_leaky") < 0), "fewer orders than without": F.count_if(F.col("frequency_leaky") < F.col("frequency")),
+        "z mean off": (F.abs(F.avg("z")) > 1e-6).cast("long"), "z deviation off": (F.abs(F.stddev_pop("z") - 1) > 1e-5).cast("long"), "z not invertible": F.count_if(back),
+    }
+    cells = F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(0)).cast("long").alias("n")) for k, v in tests.items()))
+    return both.agg(cells.alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 def repeats_in_group(lines: DataFrame, group: list[str], item: str) -> DataFrame:
     """Groups that hold an item more than once, and by how many lines."""
     pairs = lines.groupBy(*group, item).agg(F.count("*").alias("n")).where("n > 1")

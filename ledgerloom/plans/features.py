@@ -4,15 +4,45 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numbers
 
-FEATURES = (
-    "recency_days frequency monetary mean_ticket orders_last_90d cancel_rate discount_rate mean_delivery_days n_categories main_channel both_systems tenure_days n_tickets mean_rating"
-).split()
+#: Type, meaning, and whether it may be null, of each feature: contract, dictionary and null census come from here.
+REGISTRY = {
+    "recency_days": ("bigint", "days from the last effective order to the cut", True),
+    "frequency": ("bigint", "effective orders", False),
+    "monetary": ("decimal(18,2)", "sum of effective totals", False),
+    "mean_ticket": ("decimal(18,2)", "monetary by frequency", True),
+    "orders_last_90d": ("bigint", "effective orders in the 90 days before the cut", False),
+    "cancel_rate": ("decimal(18,4)", "cancelled of all orders", False),
+    "discount_rate": ("decimal(18,4)", "discounts by goods of effective orders", True),
+    "mean_delivery_days": ("decimal(18,2)", "mean days to deliveries up to the cut", True),
+    "n_categories": ("bigint", "different categories bought", False),
+    "main_channel": ("string", "most frequent channel", True),
+    "both_systems": ("bigint", "1 if both systems have effective orders", False),
+    "tenure_days": ("bigint", "days from the first effective order to the cut", True),
+    "n_tickets": ("bigint", "service tickets up to the cut", False),
+    "mean_rating": ("decimal(18,2)", "mean of their ratings", True),
+}
+FEATURES = list(REGISTRY)
+
+
+def contract(df: DataFrame, key: str = "customer_id", label: str = "y") -> DataFrame:
+    """df with the registry's columns, types and order: what a sink of features writes."""
+    return df.select(F.col(key).cast("long").alias(key), *(F.col(c).cast(kind).alias(c) for c, (kind, _, _) in REGISTRY.items()), F.col(label).cast("int").alias(label))
+
+
+def dictionary(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, *x) for c, x in REGISTRY.items()], "feature string, type string, meaning string, may_be_null boolean")
+
+
+def null_census(df: DataFrame) -> DataFrame:
+    """Nulls of each feature, and whether the registry allows them."""
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("n_null"), F.lit(o).alias("may_be_null")) for c, (_, _, o) in REGISTRY.items()))
+    return df.agg(cells.alias("x")).select(F.explode("x").alias("x")).select("x.*").withColumn("allowed", F.col("may_be_null") | (F.col("n_null") == 0))
 
 
 def day(x: str) -> Column:

@@ -8,8 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerloom.queries import ORACLES, QUERIES
+from ledgerloom import audits, queries
 
+QUERIES, ORACLES = queries.QUERIES | audits.QUERIES, queries.ORACLES | audits.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
