@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def with_check_digits(nine: Column, valid: Column) -> Column:
 
 def customers(spark: SparkSession, n: int) -> DataFrame:
     """Records of two systems: a third of the legacy persons are shop customers too, 9 % of tax ids are invalid (the same
-    in both), 8 % of legacy ones are missing, 2 % of cities say N/A, 3 % are near copies with accents and without a tax id."""
+    in both), 8 % of legacy ones are missing, 2 % of cities say N/A, 3 % are near copies with accents and without a tax id, 2 % exact copies."""
     base = spark.range(n)
     legacy = unit("system") < 0.4
     person = F.when(legacy & (unit("shared") < 0.33), F.floor(F.col("id") * 7 / 10)).otherwise(F.col("id")).cast("long")
@@ -51,7 +53,8 @@ def customers(spark: SparkSession, n: int) -> DataFrame:
         pick("region", ["PE", "RN", "SP"], "person").alias("region"), F.date_add(F.lit("2022-12-01").cast("date"), F.floor(unit("day") * 900).cast("int")).alias("signed_up"),
     )
     near = rows.where("system = 'L'").where(unit("near", "node") < 0.03).withColumns({"node": F.col("node") + n, "source_id": F.col("source_id") + n, "name": F.concat(F.lit(" "), F.replace("name", F.lit("Jose"), F.lit("José"))), "tax_id": F.lit(None).cast("string")})
-    return rows.unionByName(near)
+    copies = rows.where("system = 'L'").where(unit("copy", "node") < 0.02).withColumns({"node": F.col("node") + 2 * n, "source_id": F.col("source_id") + 2 * n})
+    return rows.unionByName(near).unionByName(copies)
 
 
 def orders(spark: SparkSession, n: int, n_customers: int) -> DataFrame:
@@ -77,3 +80,53 @@ def items(orders: DataFrame) -> DataFrame:
     price = F.round(5 + unit("price", key) * 400, 2).cast("decimal(14,2)")
     discount = F.when((F.col("system") == "LEGADO") & (unit("absent", key) < 0.01), -1).otherwise(F.when(unit("cut", key) < 0.3, F.round(price * 0.1, 2)).otherwise(0)).cast("decimal(18,4)")
     return lines.select("system", key.alias("item_id"), F.when(unit("orphan", key) < 0.015, F.col("order_id") + 10**9).otherwise(F.col("order_id")).alias("order_id"), F.floor(unit("product", key) * 500).cast("long").alias("product_id"), (F.floor(unit("qty", key) * 3) + 1).cast("int").alias("quantity"), price.alias("unit_price"), discount.alias("discount"))
+
+
+def products(spark: SparkSession, n: int) -> DataFrame:
+    """Products with skewed prices, of which 0.15 % are ten times too high, and categories as free text."""
+    shape = -F.log(1 - unit("p1")) - F.log(1 - unit("p2"))  # a gamma variable: two exponential ones
+    price = F.round(20 + 60 * shape, 2)
+    label = pick("label", ["TV e Som", "Eletro", "celulares", "MÓVEIS", "Esporte", "Diversos", "informatica", " games "])
+    return spark.range(n).select(
+        F.col("id").alias("product_id"), F.concat(F.lit("Item "), F.col("id").cast("string")).alias("description"), label.alias("label"),
+        F.when(unit("outlier") < 0.0015, price * 10).otherwise(price).cast("decimal(14,2)").alias("list_price"),
+    )
+
+
+def tickets(spark: SparkSession, n: int, n_customers: int) -> DataFrame:
+    """Service tickets as text: 6 % without a closing day, 0.4 % negative hours, 9 % of ratings blank and 3 % zero, 1.5 %
+    with a line break in the reason, 1.2 % of lines twice."""
+    opened = F.date_add(F.lit("2023-01-01").cast("date"), F.floor(unit("opened") * 1000).cast("int"))
+    days = F.floor(unit("days") * 6).cast("int")
+    brazil = lambda d: F.date_format(d, "dd/MM/yyyy")
+    hours = F.when(unit("negative") < 0.004, -5.5).otherwise(F.round(24 * days + unit("hours") * 10, 1))
+    reason = pick("reason", ["Troca", "Devolução", "Elogio", "Atraso na entrega", "Cobrança indevida"])
+    rows = spark.range(n).select(
+        F.format_string("P%08d", F.col("id")).alias("protocol"), tax_id(F.floor(unit("customer") * n_customers).cast("long"), F.lit(True)).alias("tax_id"), brazil(opened).alias("opened"),
+        F.when(unit("open") < 0.06, "").otherwise(brazil(F.date_add(opened, days))).alias("closed"), pick("way", [" fone ", "Web", "E-MAIL"]).alias("channel"),
+        F.when(unit("break") < 0.015, F.concat(reason, F.lit("\nobs: cliente reiterou o contato"))).otherwise(reason).alias("reason"),
+        F.when(unit("blank") < 0.09, "").when(unit("blank") < 0.12, "0").otherwise((F.floor(unit("rating") * 5) + 1).cast("string")).alias("rating"), F.replace(hours.cast("string"), F.lit("."), F.lit(",")).alias("hours"),
+    )
+    return rows.unionByName(rows.where(F.pmod(F.xxhash64("protocol"), F.lit(1000)) < 12))
+
+
+def reviews(spark: SparkSession, n: int, n_orders: int) -> DataFrame:
+    """Reviews as lines of JSON (value): 10 % of ratings are text and 3 % missing, 20 % of times have no offset, some keys are optional."""
+    legacy = unit("system") < 0.35
+    number = F.floor(unit("order") * n_orders).cast("long").cast("string")
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    rating = (F.floor(unit("rating") * 5) + 1).cast("string")
+    fields = [
+        F.concat(F.lit('"review_id":'), quoted(F.concat(F.lit("R"), F.col("id").cast("string")))),
+        F.when(unit("ref") >= 0.1, F.concat(F.lit('"order":{"ref":'), quoted(F.concat(F.when(legacy, "LEG-").otherwise("ECOM-"), number)), F.lit("}"))),
+        F.concat(F.lit('"product":{"sku":'), quoted(F.concat(F.when(legacy, "LEG-").otherwise("SKU-"), number)), F.lit("}")),
+        F.concat(F.lit('"submitted_at":'), quoted(F.concat(F.date_format(F.timestamp_seconds(F.lit(1672531200) + F.floor(unit("time") * 86_000_000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss"), F.when(unit("offset") < 0.2, "").otherwise("-03:00")))),
+        F.when(unit("rated") >= 0.03, F.concat(F.lit('"rating":'), F.when(unit("text") < 0.1, quoted(rating)).otherwise(rating))),
+        F.when(unit("votes") < 0.5, F.concat(F.lit('"helpful_votes":'), F.floor(unit("v") * 20).cast("string"))),
+    ]
+    return spark.range(n).select(F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("value"))
+
+
+def summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, n): the rows of each table of a run."""
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(k).alias("table"), "n") for k, df in tables.items()))

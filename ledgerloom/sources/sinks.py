@@ -43,6 +43,11 @@ def annotated_data(df: DataFrame, names: list[str]) -> DataFrame:
     return df.where(~F.col(first).isin(*kinds) & ~((F.col(first) == "") | F.col(first).isin("meta", "class")))
 
 
+def report_csv(df: DataFrame, path: str) -> None:
+    """A small report (counts, reconciliation, dictionary, metrics) as one CSV file with a header."""
+    df.coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+
+
 def markdown(df: DataFrame, title: str, rows: int = 200) -> str:
     """A small report table."""
     head = f"## {title}\n\n| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
