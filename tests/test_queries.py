@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerloom import audits, queries
+from ledgerloom import audits, queries, reports
 
-QUERIES, ORACLES = queries.QUERIES | audits.QUERIES, queries.ORACLES | audits.ORACLES
+QUERIES, ORACLES = queries.QUERIES | audits.QUERIES | reports.QUERIES, queries.ORACLES | audits.ORACLES | reports.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
