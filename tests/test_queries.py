@@ -52,6 +52,8 @@ def test_controls_differ(spark):
     assert {r["column"] for r in QUERIES["column_parity"](spark, SF).collect() if not r.equal} == {"discount"}
     assert {r.name for r in QUERIES["assertion_log"](spark, SF).collect() if not r.passed} == {"lines without an order"}
     assert all(r.difference == 0 for r in QUERIES["reconciliation"](spark, SF).collect()) and any(r.false_difference for r in QUERIES["reconciliation"](spark, SF).collect())
+    planted = {(r.source, r.anomaly): r.n for r in QUERIES["anomalies_by_source"](spark, SF).collect()}
+    assert planted["SAC", "lines equal to an earlier one"] and planted["LEGADO", "name and date repeated"] and planted["ECOM", "lines without an order"] and not planted["LEGADO", "lines without an order"]
     persons = QUERIES["people"](spark, SF).collect()
     assert any(r.tax_conflict for r in persons) and any("DUPLICATA_LEGADO" in (r.rules or "") for r in persons)
 
