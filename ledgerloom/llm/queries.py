@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, jaccard_join, mixing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
+from . import bpe, chat_format, conversation_trie, embedding_dedup, fill_in_middle, jaccard_join, language_id, mixing, quality_classifier, quality_rules, suffix_dedup, url_filter, warc
 from .common import scratch_path, table
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -225,5 +225,48 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_bpe, op3_suffix_dedup, op4_mixing, op5_quality_classifier, op6_embedding_dedup, op7_warc, op8_url_filter, op9_jaccard_join, op10_quality_rules)}
-ORACLES = {"op1_chat_format": OP1_SQL, "op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL}
+
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by filters of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("held_out"))
+    model = language_id.fit(docs.where("NOT held_out"))
+    return language_id.identify(docs.drop("lang"), model).drop("text")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt on the first turns of each hundredth."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into lines and rearranged, as digests of the output and of the text restored from it."""
+    out = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS k1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS k2,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 AS plain,
+    ('0x' || h[25:32])::BIGINT % 100 < 50 AS spm FROM d),
+p AS (
+  SELECT *, array_to_string(units[:least(k1, k2)], '') AS prefix, array_to_string(units[least(k1, k2) + 1:greatest(k1, k2)], '') AS middle,
+    array_to_string(units[greatest(k1, k2) + 1:], '') AS suffix FROM k)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_bpe, op3_suffix_dedup, op4_mixing, op5_quality_classifier, op6_embedding_dedup, op7_warc, op8_url_filter,
+        op9_jaccard_join, op10_quality_rules, op11_language_id, op12_prefix_trie, op13_fill_in_middle,
+    )
+}
+ORACLES = {"op1_chat_format": OP1_SQL, "op4_mixing": OP4_SQL, "op7_warc": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_quality_rules": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
