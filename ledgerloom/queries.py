@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .functions import dates, text
-from .operators import identity, keys, models, profile
+from .operators import identity, keys, models, profile, quantiles
 from .operators.assertions import Suite, parity
 from .plans import conform, diagnostics, star
 from .plans import features as feat
@@ -543,7 +543,7 @@ REPEATED_SQL = "SELECT l_suppkey, count(*) AS n_items, sum(n - 1)::BIGINT AS n_s
 def price_to_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts whose price is over the median of their type by a fiftieth or more."""
     p = table(spark, sf_dir, "part")
-    medians = p.groupBy("p_type").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY p_retailprice)").alias("median"))
+    medians = quantiles.group_quantiles(p, ["p_type"], "p_retailprice", {"median": 0.5})
     return p.join(medians, "p_type").where("p_retailprice >= 1.02 * median").select("p_partkey", "p_type", "p_retailprice", "median")
 
 
