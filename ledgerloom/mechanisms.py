@@ -59,6 +59,21 @@ def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUARTILES_SQL = "SELECT l_returnflag, " + ", ".join(f"quantile_cont(l_extendedprice, {p}) AS {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("d9", 0.9))) + " FROM lineitem GROUP BY 1"
 
-ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL}
+
+#: Events of a user no further apart than this are a session.
+GAP_HOURS = 6
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions; the stream of streaming.sessions closes the same ones."""
+    out = temporal.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", GAP_HOURS * 3_600_000_000, "value")
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n", F.round("total", 4).alias("total"))
+
+
+SESSIONS_SQL = f"""WITH b AS (SELECT user_id, ts::TIMESTAMP AS t, value, coalesce(ts::TIMESTAMP - lag(ts::TIMESTAMP) OVER w > INTERVAL {GAP_HOURS} HOUR, true) AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY t) AS k FROM b)
+SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"""
+
+ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL}
 QUERIES = {f.__name__: f for f in ALL}
 ORACLES = {f.__name__: sql for f, sql in ALL.items() if sql}

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import saved
+from .keys import running_sum
 
 #: Points of one key and time cell that a task compares at most, and rows of a list that is sent to every executor.
 HOT, SENT = 50_000, 100_000
@@ -93,3 +94,18 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: list[tuple[str, s
         cell = [*cell, "_salt"]
     met = spots.join(spans, cell).where("_at BETWEEN _lo AND _hi")
     return met.select(*(_quoted(c) for c in points.columns), *(_quoted(c) for c in intervals.columns))
+
+
+def sessions(rows: DataFrame, by: list[str], at: str, gap_micros: int, total: str) -> DataFrame:
+    """by, start, end, n, total: runs of rows (at is a timestamp) of which none comes more than the gap after the one before.
+
+    Rows with null keys or times are in no session. Rows of one moment are counted first; the moment before comes from asof(), and sessions
+    are numbered by sums over ranges, so a key with any number of rows is spread over tasks.
+    """
+    keyed = rows.select(*by, F.col(at).cast("timestamp").alias("_at"), F.col(total).alias("_value")).dropna(subset=[*by, "_at"])
+    moments = saved(keyed.groupBy(*by, "_at").agg(F.count("*").alias("_n"), F.sum("_value").alias("_total")), "moments")
+    linked = asof(moments, moments.select(*by, "_at"), [(k, k) for k in by], "_at", "_at", {"_before": "_at"}, inclusive=False)
+    begins = F.coalesce(F.unix_micros("_at") - F.unix_micros("_before") > gap_micros, F.lit(True))
+    numbered = running_sum(linked.withColumn("_begins", begins.cast("long")), [*map(F.col, by), F.col("_at")], "_begins", "_sofar")
+    out = numbered.groupBy(*by, (F.col("_sofar") + F.col("_begins")).alias("_session"))
+    return out.agg(F.min("_at").alias("start"), F.max("_at").alias("end"), F.sum("_n").alias("n"), F.sum("_total").alias("total")).drop("_session")
