@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import quantiles, temporal
+from .operators import hash_tree, quantiles, temporal
+from .plans import reload, star
 from .queries import BASE_SQL, star_tables, table
+from .storage import saved, scratch_path
 
 #: Events stand for tickets of the retail years; an order is near a ticket for so many days.
 SHIFT, NEAR = 8766, 365
@@ -74,6 +76,60 @@ SESSIONS_SQL = f"""WITH b AS (SELECT user_id, ts::TIMESTAMP AS t, value, coalesc
 s AS (SELECT *, sum(begins::INT) OVER (PARTITION BY user_id ORDER BY t) AS k FROM b)
 SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"""
 
-ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL}
+
+def star_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole star published and read back from its manifest: rows, a sum over its keys and a total of each table."""
+    orders, items, products, calls = star_tables(spark, sf_dir)
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), "c_name")
+    root = scratch_path(spark, "star")
+    items = saved(items, "items")
+    reload.publish(spark, root, star.star(customers, products, saved(orders, "orders"), items, calls), lambda t: star.star_checks(t, items))
+    t = reload.open_tables(spark, root)
+    mix = lambda a, b: F.sum(F.col(a) * F.col(b) % 1000003)
+    none = F.lit(None).cast("double")
+    sums = {
+        "dim_customer": (mix("customer_key", "customer_id"), none), "dim_product": (mix("product_key", "product_id"), F.count("level1")), "dim_channel": (F.sum(F.col("channel_key") * F.length("channel")), none), "dim_date": (F.sum("date_key"), F.count_if("weekend")),
+        "fact_order": (mix("order_key", "customer_key"), F.sum("total")), "fact_item": (mix("order_key", "product_key"), F.sum("line_value")), "fact_ticket": (mix("customer_key", "date_key"), F.sum("rating")), "quarantine": (F.sum(F.col("item_id") % 1000003), F.sum("quantity")),
+    }
+    rows = [t[n].agg(F.lit(n).alias("name"), F.count("*").alias("n_rows"), key.cast("long").alias("key_sum"), total.cast("double").alias("total")) for n, (key, total) in sums.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+STAR_SQL = f"""WITH {BASE_SQL},
+dc AS (SELECT c_custkey AS customer_id, row_number() OVER (ORDER BY c_custkey) AS customer_key FROM customer),
+dp AS (SELECT system, p_partkey AS product_id, p_size <= 45 AS known, row_number() OVER (ORDER BY system <> 'LEGADO', p_partkey) AS product_key FROM part, (VALUES ('LEGADO'), ('ECOM')) v(system)),
+dn AS (SELECT channel, row_number() OVER (ORDER BY channel) AS channel_key FROM (SELECT DISTINCT channel FROM facts)),
+dd AS (SELECT strftime(d, '%Y%m%d')::BIGINT AS date_key, isodow(d) >= 6 AS weekend FROM (SELECT unnest(generate_series((SELECT min(order_date) FROM facts)::TIMESTAMP, (SELECT max(order_date) FROM facts)::TIMESTAMP, INTERVAL 1 DAY)) AS d)),
+fo AS (SELECT system, order_id, customer_id, total, row_number() OVER (ORDER BY system <> 'LEGADO', order_id) AS order_key FROM facts)
+SELECT 'dim_customer' AS name, count(*) AS n_rows, sum(customer_key * customer_id % 1000003)::BIGINT AS key_sum, NULL::DOUBLE AS total FROM dc
+UNION ALL SELECT 'dim_product', count(*), sum(product_key * product_id % 1000003), count(*) FILTER (known) FROM dp
+UNION ALL SELECT 'dim_channel', count(*), sum(channel_key * length(channel)), NULL FROM dn
+UNION ALL SELECT 'dim_date', count(*), sum(date_key), count(*) FILTER (weekend) FROM dd
+UNION ALL SELECT 'fact_order', count(*), sum(order_key * customer_key % 1000003), sum(total) / 10000.0 FROM fo LEFT JOIN dc USING (customer_id)
+UNION ALL SELECT 'fact_item', count(*), sum(order_key * product_key % 1000003), sum(i.goods) / 10000.0 FROM items i JOIN fo ON fo.system = i.system AND fo.order_id = i.order_id LEFT JOIN dp ON dp.system = i.system AND dp.product_id = i.product_id WHERE order_exists
+UNION ALL SELECT 'fact_ticket', count(*), sum(customer_key * strftime(opened, '%Y%m%d')::BIGINT % 1000003), sum(rating) FROM tickets LEFT JOIN dc USING (customer_id)
+UNION ALL SELECT 'quarantine', count(*), sum(item_id % 1000003), sum(quantity) FROM items WHERE NOT order_exists"""
+
+
+def later_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a later run might have them: some totals changed, some orders gone, some new."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    changed = o.where(k % 1009 != 7).withColumn("o_totalprice", F.when(k % 997 == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return changed.unionByName(o.where(k % 1013 == 9).withColumn("o_orderkey", k + 100_000_000))
+
+
+def run_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that differ between two runs, by their trees of hash sums."""
+    return hash_tree.differences(table(spark, sf_dir, "orders"), later_run(spark, sf_dir), "o_orderkey").select("o_orderkey", "state")
+
+
+DIFFERENCES_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 7 THEN 'gone' ELSE 'changed' END AS state FROM orders WHERE o_orderkey % 1009 = 7 OR o_orderkey % 997 = 5
+UNION ALL SELECT o_orderkey + 100000000, 'added' FROM orders WHERE o_orderkey % 1013 = 9"""
+
+ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL}
 QUERIES = {f.__name__: f for f in ALL}
 ORACLES = {f.__name__: sql for f, sql in ALL.items() if sql}
