@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import hash_tree, quantiles, temporal
-from .plans import reload, star
-from .queries import BASE_SQL, star_tables, table
+from .plans import metrics, reload, star
+from .plans.metrics import Metric, rows_that
+from .queries import BASE_SQL, CUT, END, PEOPLE_BASE_SQL, people_records, raw_items, raw_orders, star_tables, table
 from .storage import saved, scratch_path
 
 #: Events stand for tickets of the retail years; an order is near a ticket for so many days.
@@ -130,6 +131,93 @@ def run_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIFFERENCES_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 7 THEN 'gone' ELSE 'changed' END AS state FROM orders WHERE o_orderkey % 1009 = 7 OR o_orderkey % 997 = 5
 UNION ALL SELECT o_orderkey + 100000000, 'added' FROM orders WHERE o_orderkey % 1013 = 9"""
 
-ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL}
+
+def _affected() -> list[Metric]:
+    """The affected-record metrics over conformed orders, lines, customers' records, persons, tickets and products."""
+    c, n = F.col, F.count("*")
+    of = lambda t, base: lambda key, test, by=None: Metric(key, t, rows_that(test), base, by)
+    o, i, r, p, t, q = of("orders", "base.orders"), of("lines", "base.lines"), of("records", "base.records"), of("persons", "base.persons"), of("tickets", "base.tickets"), of("products", "base.products")
+    cancelled, legacy, shop = ~c("effective"), c("system") == "LEGADO", c("system") == "ECOM"
+    in_target = (c("order_date") > F.lit(CUT).cast("date")) & (c("order_date") <= F.lit(END).cast("date"))
+    sums = lambda key, table_, value: Metric(key, table_, F.sum(value))
+    true = F.lit(True)
+    return [
+        *(Metric(f"base.{name}", name, n) for name in ("orders", "lines", "records", "persons", "tickets", "products")),
+        o("base.orders_of", true, "system"), i("base.lines_of", true, "system"), r("base.records_of", true, "system"),
+        # identities
+        p("02.persons_of", true, "origin"), p("02.persons_by_rule", true, "rules"), p("02.valid_tax_id", c("tax_valid")), p("02.invalid_tax_id", ~c("tax_valid")), p("02.no_tax_id", c("tax").isNull()), p("02.tax_id_of_several", c("tax_conflict")),
+        p("02.several_records", c("n_legacy") + c("n_shop") > 1), sums("02.records_absorbed", "persons", c("n_legacy") + c("n_shop") - 1), p("03.legacy_repeated", c("n_legacy") > 1), sums("03.legacy_absorbed", "persons", F.greatest(c("n_legacy") - 1, F.lit(0))),
+        # status
+        o("04.status", true, "status"), o("04.source_status", true, "raw_status"), o("04.channel", true, "channel"), o("04.cancelled", cancelled), o("04.cancelled_legacy", cancelled & legacy), o("04.cancelled_shop", cancelled & shop), o("04.declined", c("raw_status") == "payment_declined"),
+        o("04.purchases", c("effective")), o("04.in_target", in_target), o("04.cancelled_in_target", in_target & cancelled), Metric("04.customers", "orders", F.countDistinct("customer_id")), Metric("04.buyers", "orders", F.countDistinct(F.when(c("effective"), c("customer_id"))), "04.customers"),
+        # totals
+        sums("05.total", "orders", "total"), sums("05.total_legacy", "orders", F.when(legacy, c("total"))), sums("05.total_shop", "orders", F.when(shop, c("total"))), sums("05.freight", "orders", "freight"), sums("05.freight_shop", "orders", F.when(shop, c("freight"))),
+        o("05.with_freight", c("freight") != 0), o("05.no_lines", c("units") == 0), sums("05.goods", "orders", "goods"), sums("05.discounts", "orders", "discount"),
+        # sentinels and signs
+        i("06.lines_discount_sentinel", c("discount_absent")), o("06.orders_discount_sentinel", c("discount_absent")), o("06.freight_negative", c("freight_negative")), o("06.freight_negative_of", c("freight_negative"), "system"), sums("06.sum_freight_negative", "orders", F.when(c("freight_negative"), c("freight"))),
+        o("06.freight_negative_cancelled", c("freight_negative") & cancelled), o("06.total_negative", c("total") < 0), Metric("06.largest_quantity", "lines", F.max("quantity")), i("06.quantity_over_40", c("quantity") > 40), Metric("06.dearest", "lines", F.max("unit_price")),
+        # products
+        q("07.products_of", true, "system"), q("07.no_category", c("level1").isNull()), Metric("07.categories", "products", F.countDistinct("level1")), i("07.lines_without_order", ~c("order_exists")), sums("07.value_without_order", "lines", F.when(~c("order_exists"), c("line_value"))),
+        # dates and tickets
+        o("08.not_delivered", c("delivery_date").isNull() & ~c("delivery_undated") & ~c("delivery_too_early")), o("08.undated", c("delivery_undated")), o("08.undated_delivered", c("delivery_undated") & (c("status") == "ENTREGUE")), o("08.too_early", c("delivery_too_early")), o("08.too_early_of", c("delivery_too_early"), "system"),
+        o("08.slow", c("delivery_days") > 35), r("08.no_tax_id", c("tax_id").isNull()), r("08.no_tax_id_of", c("tax_id").isNull(), "system"), r("08.no_email", c("email").isNull()), r("08.no_phone", c("phone").isNull()), r("08.city_sentinel", c("city") == "N/A"),
+        t("08.rating_zero", c("rating") == 0), t("08.rating_off_scale", ~c("rating").between(1, 5)), Metric("08.mean_rating", "tickets", F.avg(F.when(c("rating").between(1, 5), c("rating")))),
+    ]
+
+
+def affected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of records that each rule affects, with their shares, by one scan of each table."""
+    from .operators import identity
+
+    orders, items, products, calls = star_tables(spark, sf_dir)
+    records = people_records(spark, sf_dir)
+    tables = {"orders": orders, "lines": items, "products": products, "tickets": calls, "records": records, "persons": identity.persons(records)[0]}
+    out = metrics.measure(tables, _affected())
+    return out.select("key", F.round("value", 4).alias("value"), F.round("percent", 6).alias("percent"))
+
+
+def _affected_sql() -> str:
+    base = {t: f"base.{t}" for t in ("orders", "lines", "records", "persons", "tickets", "products")}
+    sources = {"orders": "facts", "lines": "items", "records": "rec", "persons": "per", "tickets": "tickets", "products": "pro"}
+    target = f"order_date > DATE '{CUT}' AND order_date <= DATE '{END}'"
+    count = lambda t, tests: [(t, k, f"count(*) FILTER ({x})", base[t]) for k, x in tests.items()]
+    value = lambda t, cells: [(t, k, x, None) for k, x in cells.items()]
+    plain = [
+        *((t, f"base.{t}", "count(*)", None) for t in base),
+        *count("persons", {"02.valid_tax_id": "tax_valid", "02.invalid_tax_id": "NOT tax_valid", "02.no_tax_id": "tax IS NULL", "02.tax_id_of_several": "conflict", "02.several_records": "size > 1", "03.legacy_repeated": "n_legacy > 1"}),
+        *value("persons", {"02.records_absorbed": "sum(size - 1)", "03.legacy_absorbed": "sum(CASE WHEN n_legacy > 1 THEN n_legacy - 1 ELSE 0 END)"}),
+        *count("orders", {
+            "04.cancelled": "NOT effective", "04.cancelled_legacy": "NOT effective AND order_id % 2 = 0", "04.cancelled_shop": "NOT effective AND order_id % 2 = 1", "04.declined": "raw_status = 'payment_declined'", "04.purchases": "effective",
+            "04.in_target": target, "04.cancelled_in_target": f"{target} AND NOT effective", "05.with_freight": "freight <> 0", "05.no_lines": "order_id NOT IN (SELECT l_orderkey FROM lineitem)", "06.orders_discount_sentinel": "discount_absent", "06.freight_negative": "freight < 0",
+            "06.freight_negative_cancelled": "freight < 0 AND NOT effective", "06.total_negative": "total < 0", "08.not_delivered": "raw_delivery IS NULL", "08.undated": "raw_delivery = DATE '1900-01-01'", "08.undated_delivered": "raw_delivery = DATE '1900-01-01' AND status = 'ENTREGUE'",
+            "08.too_early": "raw_delivery > DATE '1900-01-01' AND raw_delivery < order_date", "08.slow": "delivery_days > 35",
+        }),
+        *value("orders", {
+            "04.customers": "count(DISTINCT customer_id)", "05.total": "sum(total) / 10000.0", "05.total_legacy": "sum(total) FILTER (system = 'LEGADO') / 10000.0", "05.total_shop": "sum(total) FILTER (system = 'ECOM') / 10000.0", "05.freight": "sum(freight) / 10000.0",
+            "05.freight_shop": "sum(freight) FILTER (system = 'ECOM') / 10000.0", "05.goods": "sum(goods) / 10000.0", "05.discounts": "sum(discount) / 10000.0", "06.sum_freight_negative": "sum(freight) FILTER (freight < 0) / 10000.0",
+        }),
+        ("orders", "04.buyers", "count(DISTINCT customer_id) FILTER (effective)", "04.customers"),
+        *count("lines", {"06.lines_discount_sentinel": "absent", "06.quantity_over_40": "quantity > 40", "07.lines_without_order": "NOT order_exists"}),
+        *value("lines", {"06.largest_quantity": "max(quantity)", "06.dearest": "max(cents) / 100.0", "07.value_without_order": "sum(goods) FILTER (NOT order_exists) / 10000.0"}),
+        *count("products", {"07.no_category": "level1 IS NULL"}), *value("products", {"07.categories": "count(DISTINCT level1)"}),
+        *count("records", {"08.no_tax_id": "node % 7 = 0", "08.no_email": "node % 9 = 0", "08.no_phone": "node % 12 = 4", "08.city_sentinel": "node % 5 = 0"}),
+        *count("tickets", {"08.rating_zero": "rating = 0", "08.rating_off_scale": "rating < 1 OR rating > 5"}), *value("tickets", {"08.mean_rating": "avg(rating) FILTER (rating BETWEEN 1 AND 5)"}),
+    ]
+    cells = [
+        ("orders", "base.orders_of", "true", "system"), ("lines", "base.lines_of", "true", "system"), ("records", "base.records_of", "true", "system"), ("persons", "02.persons_of", "true", "origin"), ("persons", "02.persons_by_rule", "true", "rules"),
+        ("orders", "04.status", "true", "status"), ("orders", "04.source_status", "true", "raw_status"), ("orders", "04.channel", "true", "channel"), ("orders", "06.freight_negative_of", "freight < 0", "system"), ("products", "07.products_of", "true", "system"),
+        ("orders", "08.too_early_of", "raw_delivery > DATE '1900-01-01' AND raw_delivery < order_date", "system"), ("records", "08.no_tax_id_of", "node % 7 = 0", "system"),
+    ]
+    rows = [f"SELECT '{k}' AS key, ({x})::DOUBLE AS value, {f"'{b}'" if b else 'NULL'} AS base FROM {sources[t]}" for t, k, x, b in plain]
+    rows += [f"SELECT '{k}.' || coalesce({by}, 'none'), count(*) FILTER ({x})::DOUBLE, '{base[t]}' FROM {sources[t]} GROUP BY {by}" for t, k, x, by in cells]
+    people = PEOPLE_BASE_SQL.strip()
+    return f"""WITH {people}, {BASE_SQL.strip()}, rec AS (SELECT * FROM k),
+per AS (SELECT CASE WHEN NOT lost THEN tax END AS tax, CASE WHEN NOT lost THEN good END AS tax_valid, conflict, n_legacy, n_legacy + n_shop AS size, rules, CASE WHEN n_legacy > 0 AND n_shop > 0 THEN 'AMBOS' WHEN n_shop > 0 THEN 'ECOM' ELSE 'LEGADO' END AS origin FROM gk LEFT JOIN ru USING (person)),
+pro AS (SELECT system, CASE WHEN p_size <= 45 THEN p_brand END AS level1 FROM part, (VALUES ('LEGADO'), ('ECOM')) v(system)),
+rw AS ({' UNION ALL '.join(rows)})
+SELECT a.key, round(a.value, 4) AS value, CASE WHEN a.base IS NOT NULL AND b.value <> 0 THEN round(100 * a.value / b.value, 6) END AS percent FROM rw a LEFT JOIN rw b ON b.key = a.base"""
+
+
+ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL, affected_records: _affected_sql()}
 QUERIES = {f.__name__: f for f in ALL}
 ORACLES = {f.__name__: sql for f, sql in ALL.items() if sql}

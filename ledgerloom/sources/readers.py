@@ -74,9 +74,12 @@ def sample(df: DataFrame, n: int = 200_000) -> DataFrame:
 
 
 def ndjson(spark: SparkSession, path: str, source: str = "reviews", paths: dict[str, str] = REVIEW_PATHS) -> DataFrame:
-    """One row a line that is not blank. Each path as text, and lists of the paths that are absent, null, or text."""
+    """One row a line that holds a JSON value. Each path as text, and lists of the paths that are absent, null, or text.
+
+    Blank lines are left out, broken ones are in broken_lines().
+    """
     raw = numbered_lines(spark, path).where(F.trim("value") != "")
-    parsed = raw.withColumn("v", F.parse_json("value"))
+    parsed = raw.withColumn("v", F.try_parse_json("value")).where("v IS NOT NULL")
     at = {k: f"$.{p}" for k, p in paths.items()}
     value = {k: F.try_variant_get("v", p, "string") for k, p in at.items()}
     node = {k: F.try_variant_get("v", p, "variant") for k, p in at.items()}
@@ -91,9 +94,14 @@ def ndjson(spark: SparkSession, path: str, source: str = "reviews", paths: dict[
     return with_provenance(df, source, F.col("_line"))
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The quarantine of ndjson(): (value, _file, _line) of lines that are neither blank nor JSON."""
+    return numbered_lines(spark, path).where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+
+
 def seed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A generated CSV with header; empty fields are null."""
-    return spark.read.csv(path, schema=schema, header=True, nullValue="")
+    """A generated CSV with header, quotes doubled inside quotes; empty fields are null."""
+    return spark.read.csv(path, schema=schema, header=True, nullValue="", quote='"', escape='"')
 
 
 def find_columns(spark: SparkSession, pattern: str, database: str | None = None) -> DataFrame:

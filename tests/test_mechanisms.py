@@ -132,3 +132,29 @@ def test_hot_cells_and_ranges_bound_what_meets(spark):
     assert out.count() == events.count()
     times = sorted(r[0] for r in out.where("last_order IS NOT NULL").select("placed").collect())
     assert bisect.bisect(times, datetime.date(2001, 12, 31)) == len(times)
+
+
+# --- metrics
+
+
+def test_metrics_scan_each_table_once(spark, tmp_path):
+    from ledgerloom.plans import metrics
+    from ledgerloom.plans.metrics import Metric, rows_that
+
+    a = [(k, "x" if k % 3 else None, k % 2 == 0 if k % 5 else None, float(k)) for k in range(40)]
+    spark.createDataFrame(a, "id long, kind string, flag boolean, v double").write.parquet(str(tmp_path / "a"))
+    t = {"a": spark.read.parquet(str(tmp_path / "a")), "b": spark.range(7), "empty": spark.range(0).withColumn("g", F.lit("q"))}
+    specs = [
+        Metric("n", "a", F.count("*")), Metric("flagged", "a", rows_that(F.col("flag")), "n"), Metric("kinds", "a", F.count("*"), "n", by="kind"), Metric("sum", "a", F.sum("v"), by="flag"), Metric("distinct", "a", F.countDistinct("kind")),
+        Metric("b", "b", F.max("id")), Metric("of_b", "b", F.count("*"), "b"), Metric("none", "empty", F.count("*")), Metric("by of none", "empty", F.count("*"), "none", by="g"),
+    ]
+    got = {r.key: (r.value, r.percent) for r in metrics.measure(t, specs).collect()}
+    flagged = sum(bool(r[2]) for r in a)
+    assert got["n"] == (40, None) and got["flagged"] == (flagged, 100 * flagged / 40) and got["distinct"] == (1, None)
+    assert got["kinds.x"] == (26, 65.0) and got["kinds.none"] == (14, 35.0) and got["b"] == (6, None) and got["of_b"][1] == 700 / 6
+    assert {k: v[0] for k, v in got.items() if k.startswith("sum.")} == {f"sum.{n}": sum(r[3] for r in a if r[2] is f) for n, f in (("true", True), ("false", False), ("none", None))}
+    assert got["none"] == (0, None) and "by of none.q" not in got and len(got) == 11
+    assert plan(metrics._of_table(t["a"], specs[:5])).split("== Physical")[1].count("FileScan") == 1
+    for bad in ([specs[0], specs[0]], [Metric("k", "a", F.count("*"), "nothing")], [Metric("k", "c", F.count("*"))]):
+        with pytest.raises(ValueError, match="twice|bases|tables"):
+            metrics.measure(t, bad)
