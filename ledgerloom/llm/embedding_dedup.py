@@ -4,9 +4,10 @@ Equal vectors are one node with a count. Each tree splits a bounded sample again
 random projection, the same one for all splits of a level; at each split, vectors near the threshold go to both
 sides. All vectors are routed to their leaves in all trees and compared there by exact cosine. Leaves that the sample
 was too small to split are split further, each by the median of its own vectors' projections, in rounds until
-every leaf is small or does not come apart. Where the sample is dense, splits would cut through
-groups that are larger than a leaf, so each such group is also a ball: one more leaf with all vectors near enough to
-be linked with it, whatever their number. A pair that meets in several leaves counts in
+every leaf is small or does not come apart. Splits would cut through dense groups that are larger than a leaf, so
+each such group is a ball: a leaf with all vectors near enough to be linked with it, whatever their number. Vectors well
+inside a ball have all their links there and go no further down. Balls are looked for in the sample first, then in each overfull leaf
+on some vectors of its own, before it is split. A pair that meets in several leaves counts in
 the first one only, so links are counted without ever being written out; of each leaf go on only
 counts and links that span its components. A leaf with many vectors is split into blocks, and
 each pair of blocks is a group.
@@ -33,11 +34,40 @@ ROWS = 256
 OVERFULL, APART = 4, 0.9
 
 
+#: Vectors of an overfull leaf among which dense groups are looked for, and vectors that are held against its balls at once.
+PROBE, PIECE = 256, 4096
+
+
 def direction(dim: int, *seed: int) -> np.ndarray:
     out = np.random.default_rng(seed).standard_normal(dim)
     return out / np.linalg.norm(out)
 
 
+def dense_balls(sample: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres of the groups that do not fit a leaf, and of each the least cosines of what lies deep inside and of what belongs to its ball.
+
+    Dense is a point with more than `least` linked ones in the sample. The densest one left is a centre, and stands for
+    the dense points within twice the angle of a link. Deep are vectors no farther than the farthest of them; the ball ends one
+    angle of a link beyond, so every link of a deep vector is inside.
+    """
+    link = float(np.arccos(np.clip(threshold, -1, 1)))
+    degree = np.concatenate([np.zeros(0, int), *((sample[a : a + ROWS] @ sample.T >= threshold).sum(axis=1) for a in range(0, len(sample), ROWS))])
+    order = np.argsort(-degree, kind="stable")
+    waiting = order[degree[order] > least]
+    centres, angles = [], []
+    while len(waiting):
+        centre = sample[waiting[0]]
+        angle = np.arccos(np.clip(sample[waiting] @ centre, -1, 1))
+        own = angle <= 2 * link
+        own[0] = True
+        centres.append(centre)
+        angles.append(float(angle[own].max()))
+        waiting = waiting[~own]
+    deep = np.cos(np.array(angles)) + 1e-9
+    reach = np.cos(np.minimum(np.pi, np.array(angles) + link)) - 1e-9
+    return np.array(centres).reshape(-1, sample.shape[1]), deep, reach
+
+
 class Forest:
     """Splits as arrays: threshold, margin, children and level; a negative child is a leaf. Balls are the first leaves.
 
@@ -50,32 +80,10 @@ class Forest:
         self.seed, self.dim = seed, sample.shape[1]
         self.cuts: list[tuple[float, float, int, int, int]] = []
         self.least = max(8, int(leaf * len(sample) / max(1, n_vectors)))
-        self.centres, self.reach = self._balls(sample, threshold)
+        self.centres, self.deep, self.reach = dense_balls(sample, threshold, self.least)
         self.n_leaves, self.spill = len(self.centres), spill
         self.roots = [self._grow(sample, tree, 0) for tree in range(trees)]
 
-    def _balls(self, sample: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Centres of the groups that do not fit a leaf, and the least cosine with a centre that its ball reaches to.
-
-        Dense is a point with more than `least` linked ones in the sample. The densest one left is a centre, and stands for
-        the dense points within twice the angle of a link. Its ball ends one such angle beyond the farthest of them, so
-        every link that one of them has is inside.
-        """
-        link = float(np.arccos(np.clip(threshold, -1, 1)))
-        degree = np.concatenate([np.zeros(0, int), *((sample[a : a + ROWS] @ sample.T >= threshold).sum(axis=1) for a in range(0, len(sample), ROWS))])
-        order = np.argsort(-degree, kind="stable")
-        waiting = order[degree[order] > self.least]
-        centres, reach = [], []
-        while len(waiting):
-            centre = sample[waiting[0]]
-            angle = np.arccos(np.clip(sample[waiting] @ centre, -1, 1))
-            own = angle <= 2 * link
-            own[0] = True
-            centres.append(centre)
-            reach.append(np.cos(min(np.pi, float(angle[own].max()) + link)) - 1e-9)
-            waiting = waiting[~own]
-        return np.array(centres).reshape(-1, sample.shape[1]), np.array(reach)
-
     def _grow(self, points: np.ndarray, tree: int, level: int) -> int:
         if len(points) > 2 * self.least:
             at = points @ direction(self.dim, self.seed, tree, level)
@@ -90,8 +98,10 @@ class Forest:
         return -self.n_leaves
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for each leaf of each row, by row, leaves in order of their trees."""
-        inside, ball = np.nonzero(points @ self.centres.T >= self.reach)
+        """(row, leaf) for each leaf of each row, by row, leaves in order of their trees. What is deep in a ball is in no tree."""
+        cosines = points @ self.centres.T
+        inside, ball = np.nonzero(cosines >= self.reach)
+        others = np.flatnonzero(~(cosines >= self.deep).any(axis=1))
         rows, leaves = [inside], [ball + 1]
 
         def down(node: int, at: np.ndarray, values: np.ndarray) -> None:
@@ -107,7 +117,7 @@ class Forest:
         levels = 1 + max((c[4] for c in self.cuts), default=0)
         for tree, root in enumerate(self.roots):
             way = np.array([direction(self.dim, self.seed, tree, level) for level in range(levels)])
-            down(root, np.arange(len(points)), points @ way.T)
+            down(root, others, points @ way.T)
         row, leaf = np.concatenate(rows), np.concatenate(leaves)
         order = np.lexsort((leaf, row))
         return row[order], leaf[order]
@@ -137,15 +147,17 @@ def _leaf(table: pa.Table, dim: int, threshold: float) -> pa.Table:
     x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(-1, dim)
     leaves = [np.frombuffer(b, np.int64) for b in table.column("leaves").to_pylist()]
     earlier = [b[b < leaf] for b in leaves]
-    names, place = np.unique(np.concatenate(earlier), return_inverse=True)
-    met = np.zeros((len(ids), max(1, len(names))), np.float32)
-    if len(names):
-        met[np.repeat(np.arange(len(ids)), [len(b) for b in earlier]), place] = 1
     links = x @ x.T >= threshold
     np.fill_diagonal(links, False)
     if i != j:
         links &= own[:, None] != own[None, :]
-    first = links & (met @ met.T == 0)
+    first = links.copy()
+    names, place = np.unique(np.concatenate(earlier), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    members = np.repeat(np.arange(len(ids)), [len(b) for b in earlier])[order]
+    for both in np.split(members, np.cumsum(np.bincount(place, minlength=len(names)))[:-1]) if len(names) else []:
+        if len(both) > 1:  # these have met in an earlier leaf
+            first[np.ix_(both, both)] = False
     n_links = first @ counts
     left, right = [], []
     waiting = links.any(axis=1)
@@ -165,11 +177,49 @@ def _leaf(table: pa.Table, dim: int, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([None] * int(some.sum()) + right, pa.int64()), "n": pa.array(n_links[some].tolist() + [None] * len(left), pa.int64())})
 
 
-def _split(nodes: DataFrame, routes: DataFrame, n_balls: int, dim: int, leaf: int, spill: float, seed: int = 11) -> DataFrame:
+def _probe(rows: DataFrame, dim: int, threshold: float, leaf: int) -> DataFrame:
+    """(leaf, centres, deep, reach) of overfull leaves with dense groups, found among some PROBE vectors of each; a leaf with more balls has more rows.
+
+    rows: (node, leaf, size, unit) of all vectors in them. The vectors looked at are drawn by a hash, so a leaf's group is small however large the leaf.
+    """
+    picked = rows.where(F.pmod(F.xxhash64("node", "leaf"), F.lit(1 << 30)) < F.lit(float(PROBE << 30)) / F.col("size"))
+
+    def find(t: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(-1, dim)
+        least = max(8, int(leaf * len(x) / t.column("size")[0].as_py()))
+        centres, deep, reach = dense_balls(x, threshold, least)
+        n = len(centres)
+        return pa.table({"leaf": pa.array([t.column("leaf")[0].as_py()] * n, pa.int64()), "ball": pa.array(range(n), pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary()), "deep": pa.array(deep, pa.float64()), "reach": pa.array(reach, pa.float64())})
+
+    return saved(picked.select("leaf", "size", "unit").groupBy("leaf").applyInArrow(find, "leaf bigint, ball int, centre binary, deep double, reach double"), "balls")
+
+
+def _gather(rows: DataFrame, balls: DataFrame, dim: int) -> DataFrame:
+    """(node, leaf, ball, deep): the vectors of rows in the balls of their leaf. A leaf is held against its balls in pieces of some PIECE vectors."""
+    pieces = F.ceil(F.col("size") / PIECE).cast("int")
+    some = rows.join(balls.select("leaf").distinct(), "leaf", "left_semi")
+    dealt = some.select("node", "unit", "leaf", F.pmod(F.xxhash64("node", F.lit(2)), pieces).cast("int").alias("piece"))
+    sizes = some.select("leaf", pieces.alias("pieces")).distinct()
+    copies = balls.join(sizes, "leaf").withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)"))).drop("pieces")
+
+    def inside(vectors: pa.Table, own: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not own.num_rows:
+            return pa.table({"node": pa.array([], pa.int64()), "leaf": pa.array([], pa.int64()), "ball": pa.array([], pa.int32()), "deep": pa.array([], pa.bool_())})
+        x, c = (np.frombuffer(b"".join(t.column(n).to_pylist()), np.float64).reshape(-1, dim) for t, n in ((vectors, "unit"), (own, "centre")))
+        cosines = x @ c.T
+        row, ball = np.nonzero(cosines >= own.column("reach").to_numpy())
+        deep = cosines[row, ball] >= own.column("deep").to_numpy()[ball]
+        return pa.table({"node": vectors.column("node").to_numpy()[row], "leaf": vectors.column("leaf").to_numpy()[row], "ball": own.column("ball").to_numpy()[ball], "deep": deep})
+
+    return saved(dealt.groupBy("leaf", "piece").cogroup(copies.groupBy("leaf", "piece")).applyInArrow(inside, "node bigint, leaf bigint, ball int, deep boolean"), "inside")
+
+
+def _split(nodes: DataFrame, routes: DataFrame, n_balls: int, dim: int, leaf: int, spill: float, threshold: float, seed: int = 11) -> DataFrame:
     """Rows (node, n, unit, leaf, leaves) where leaves of more than OVERFULL * leaf vectors are split again and again.
 
-    A round projects the vectors of overfull leaves on one direction and takes the median and the spread of each such
-    leaf as an aggregate, so no task or driver holds a leaf. The leaves' numbers grow by a bit a round. A leaf
+    A round first looks for dense groups in each overfull leaf. Each is a ball, a leaf of its own that is not split; what lies deep in one
+    leaves the leaf that is split. Then the vectors are projected on one direction, and the median and the spread of each
+    leaf are an aggregate, so no task or driver holds a leaf. The leaves' numbers grow by a bit a round, balls have negative ones. A leaf
     that does not come apart is left to the blocks; so are balls. Rounds grow with the logarithm of the largest leaf.
     """
     start = F.when(F.col("leaf") > n_balls, F.shiftleft("leaf", 31) + 1).otherwise(F.col("leaf"))
@@ -189,13 +239,22 @@ def _split(nodes: DataFrame, routes: DataFrame, n_balls: int, dim: int, leaf: in
                 x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, dim)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x @ way)], names=["node", "at"])
 
+        here = routes.join(sizes, "leaf")
+        vectors = here.join(nodes.select("node", "unit"), "node")
+        balls = _probe(vectors, dim, threshold, leaf)
+        if balls.take(1):
+            found = _gather(vectors, balls, dim)
+            number = -F.shiftrightunsigned(F.xxhash64("leaf", "ball"), 1) - 1
+            deep = found.where("deep").select("node", "leaf").distinct()
+            routes = saved(routes.join(deep, ["node", "leaf"], "left_anti").unionByName(found.select("node", number.alias("leaf"))), "routes")
+            here = routes.join(sizes.select("leaf"), "leaf")
         values = nodes.select("node", "unit").mapInArrow(project, "node bigint, at double")
-        full = saved(routes.join(sizes.select("leaf"), "leaf").join(values, "node"), "projections")
+        full = saved(here.select("node", "leaf").join(values, "node"), "projections")
         cuts = full.groupBy("leaf").agg(F.percentile_approx("at", 0.5, 1000).alias("cut"), (F.stddev_pop("at") * spill).alias("margin"), F.count("*").alias("size"))
         left, right = F.col("at") <= F.col("cut") + F.col("margin"), F.col("at") > F.col("cut") - F.col("margin")
         placed = full.join(cuts, "leaf").withColumns({"left": left, "right": right})
         apart = placed.groupBy("leaf").agg(F.greatest(F.count_if("left"), F.count_if("right")).alias("larger"), F.count("*").alias("size"))
-        apart = saved(apart.select("leaf", (F.col("larger") < APART * F.col("size")).alias("apart")), "apart")
+        apart = saved(apart.select("leaf", ((F.col("larger") < APART * F.col("size")) & (F.col("size") > OVERFULL * leaf)).alias("apart")), "apart")
         stuck.append(apart.where("NOT apart").select("leaf"))
         sides = F.filter(F.array(F.when(F.col("left"), F.shiftleft("leaf", 1)), F.when(F.col("right"), F.shiftleft("leaf", 1) + 1)), lambda x: x.isNotNull())
         deeper = placed.join(apart.where("apart").select("leaf"), "leaf").select("node", F.explode(sides).alias("leaf"))
@@ -223,8 +282,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     those with null or non-finite components link with nothing. Shorter vectors are filled up with zeros. A repeated
     vec_id counts as another vector; a null one links, but is no component's smallest unless all are null.
     The trees are shaped by at most `sample` vectors; all are routed, and leaves that are still too large are split on
-    their own vectors. A group with more than `leaf` links to a vector, as far as the sample shows it, is compared as a
-    whole. Other columns are left out, whatever their names.
+    their own vectors. A group with more than `leaf` links to a vector, as far as the sample or some vectors of an overfull leaf show it, is
+    compared as a whole. Other columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -260,7 +319,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = TR
     routed = nodes.select("node", "n", "unit").mapInArrow(route, "node bigint, n bigint, unit binary, leaf bigint, leaves binary")
     counts = saved(routed.groupBy("leaf").agg(F.count("*").alias("size")), "sizes")
     if counts.where((F.col("leaf") > len(grown.centres)) & (F.col("size") > OVERFULL * leaf)).take(1):
-        routed = _split(nodes.select("node", "n", "unit"), routed.select("node", "leaf"), len(grown.centres), dim, leaf, spill)
+        routed = _split(nodes.select("node", "n", "unit"), routed.select("node", "leaf"), len(grown.centres), dim, leaf, spill, threshold)
         counts = saved(routed.groupBy("leaf").agg(F.count("*").alias("size")), "sizes")
     sizes = counts.select("leaf", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     few = sizes.count() * 12 <= BROADCAST_BYTES

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, embedding_dedup, mixing, queries, url_filter, warc
+from ledgerloom.llm import chat_format, embedding_dedup, mixing, quality_classifier, queries, url_filter, warc
 
 
 def sorted_rows(rows):
@@ -202,6 +202,30 @@ def test_leaves_beyond_the_sample_are_split(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_a_dense_group_that_the_sample_does_not_see(spark):
+    """A group too small for a ball of the sample and larger than an overfull leaf, so wide that splits cut through it."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(32)
+    x = rng.standard_normal((8000, 32))
+    x[:600] = centre / np.linalg.norm(centre) + 0.22 / np.sqrt(32) * rng.standard_normal((600, 32))
+    x = x[rng.permutation(8000)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = sum(int((unit[k : k + 1000] @ unit.T >= 0.95).sum()) for k in range(0, 8000, 1000)) - 8000
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), leaf=100, sample=64).collect()
+    assert 0.98 * links <= sum(r.n_links for r in got) <= links and links > 200_000
+
+
+def test_classifier_passes_odd_columns_on(spark):
+    """Names with back quotes, fields with dashes, and kinds that have no plain name."""
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["good words here", None, "", "bad bad"] * 5)], "doc_id long, text string")
+    model = quality_classifier.fit(docs, spark.createDataFrame([(k, k % 3) for k in range(20)], "doc_id long, grade int"))
+    odd = docs.select("*", F.lit(1).alias("a`b"), F.struct(F.lit(2).alias("a-b"), F.lit("x").alias("c d")).alias("s t"), F.create_map(F.lit("k"), F.lit(1)).alias("m"), F.array(F.lit(None).cast("date")).alias("days"), F.lit("clash").alias("KEPT"))
+    out = quality_classifier.score(odd, model)
+    assert out.columns == ["doc_id", "text", "a`b", "s t", "m", "days", "expected_grade", "tail_probability", "kept"]
+    rows = out.collect()
+    assert len(rows) == 20 and all(r["a`b"] == 1 and r["s t"]["a-b"] == 2 and r.m == {"k": 1} and 0 <= r.expected_grade <= 2 for r in rows)
+
+
 def test_embeddings_of_the_table(spark):
     """Recall on the table itself, and its components and kept rows, against all pairs."""
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
