@@ -227,25 +227,26 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # four bytes a bucket, whatever the input
     docs = docs.select(*other_columns(docs, "expected_grade", "tail_probability", "kept"))
-    own = docs.columns
-    at = [c.lower() for c in own].index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("expected double, top double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         weights = _Weights(model.weights)
         grades = np.array(model.grades, float)
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(at)):
+            scores = np.zeros(len(batch))
+            for i, text in enumerate(batch):
                 low, other = features(text.as_py())
                 scores[i] = sum(map(weights.__getitem__, low)) + sum(map(weights.__getitem__, other))
             tails = model.tails(scores)
             expected = grades[0] + tails @ np.diff(grades)
-            top = tails[:, -1] if tails.shape[1] else np.ones(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(top), pa.array(top >= cut)], names=[*own, "expected_grade", "tail_probability", "kept"])
+            top = tails[:, -1] if tails.shape[1] else np.ones(len(batch))
+            yield pa.StructArray.from_arrays([pa.array(expected), pa.array(top)], names=["expected", "top"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double, kept boolean")
+    # only the text goes to Python; other columns stay where they are, whatever their names and kinds
+    out = docs.select(*other_columns(docs), scored(F.col("text")).alias("tail_probability"))
+    expected, top = F.col("tail_probability.expected"), F.col("tail_probability.top")
+    return out.select(*other_columns(out, "tail_probability"), expected.alias("expected_grade"), top.alias("tail_probability"), (top >= cut).alias("kept"))
 
 
 def graded(labels: DataFrame) -> DataFrame:
