@@ -32,6 +32,8 @@ from .shingles import mix, shingle_sets
 HOT, BLOCK = 16, 2048
 #: Bytes of text for each bucket of keys, and of keys held back in a task before they are sent.
 BUCKET_BYTES, HELD_BYTES = 12 << 20, 8 << 20
+#: Keys of a bucket beyond which it is thinned in slices of its nodes first; only hot keys make a bucket so large.
+MOST_KEYS = 1 << 20
 _SKETCH = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -81,7 +83,7 @@ def signature(tokens: np.ndarray) -> int:
     return int(mix(mix(facts * np.uint64(2) + np.uint64(1)).cumsum()).view(np.int64)[-1])
 
 
-SKETCHED = "doc_id bigint, text_hash bigint, n bigint, sig bigint, c0 int, d0 int, c1 int, d1 int, bucket int, sigs binary, sizes binary, keys binary"
+SKETCHED = "doc_id bigint, text_hash bigint, n bigint, sig bigint, c0 int, d0 int, c1 int, d1 int, bucket int, sigs binary, sizes binary, keys binary, n_keys int"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -90,10 +92,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, wid
     seen: set[int] = set()
     n_held = 0
     names = [x.split()[0] for x in SKETCHED.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.binary()] * 3
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.binary()] * 3 + [pa.int32()]
 
     def rows(docs: list[list], blobs: list[tuple]) -> pa.RecordBatch:
-        columns = [d + [None] * len(blobs) for d in docs] + [[None] * len(docs[0]) + [b[k] for b in blobs] for k in range(4)]
+        columns = [d + [None] * len(blobs) for d in docs] + [[None] * len(docs[0]) + [b[k] for b in blobs] for k in range(5)]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def flush() -> list[tuple]:
@@ -102,7 +104,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, wid
             sigs = np.array([s for s, _ in own], np.int64)
             sizes = np.array([len(k) for _, k in own], np.uint16)
             keys = np.concatenate([k for _, k in own]).view(np.uint8).reshape(-1, 8)[:, :7]
-            out.append((bucket, sigs.tobytes(), sizes.tobytes(), keys.tobytes()))
+            out.append((bucket, sigs.tobytes(), sizes.tobytes(), keys.tobytes(), len(keys)))
         held.clear()
         seen.clear()
         return out
@@ -141,8 +143,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, wid
         yield rows([[] for _ in range(8)], flush())
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of a bucket's keys: pairs (0 or 1: band's parity, a, b, number of keys) and the hot keys of nodes (2 or 3, node, null, number of keys)."""
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Signature and key of each key in rows of packed keys."""
     sigs, keys = [], []
     for s, z, k in zip(*(table.column(c).to_pylist() for c in ("sigs", "sizes", "keys")), strict=True):
         sigs.append(np.repeat(np.frombuffer(s, np.int64), np.frombuffer(z, np.uint16)))
@@ -150,7 +152,51 @@ def _meet(table: pa.Table) -> pa.Table:
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :7] = raw
         keys.append(wide.view(np.uint64).ravel())
-    sig, key = np.concatenate(sigs), np.concatenate(keys)
+    return np.concatenate(sigs), np.concatenate(keys)
+
+
+def _pack(sig: np.ndarray, key: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return sig.tobytes(), np.ones(len(sig), np.uint16).tobytes(), np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, slices, packed keys) dealt to slices by signature, so that a node's keys of a bucket are in one slice."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1)
+            sig, key = _unpack(pa.Table.from_batches([one]))
+            at = (mix(sig.view(np.uint64)) % np.uint64(one.column(1)[0].as_py())).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            sig, key, at = sig[order], key[order], at[order]
+            cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            columns = [[one.column(0)[0].as_py()] * len(spans), [int(at[x]) for x, _ in spans], *zip(*(_pack(sig[x:y], key[x:y]) for x, y in spans), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.int32()] * 2 + [pa.binary()] * 3, strict=True)], names=["bucket", "slice", "sigs", "sizes", "keys"])
+
+
+def _thin(table: pa.Table) -> pa.Table:
+    """Of a slice of a bucket: all its keys but those of hot ones, of which HOT + 1 nodes go on and tell that the key is hot; the others' are counted here as _meet would."""
+    sig, key = _unpack(table)
+    order = np.lexsort((sig, key))
+    sig, key = sig[order], key[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])]
+    sig, key = sig[fresh], key[fresh]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    place = np.arange(len(key)) - np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+    go = place <= HOT
+    counted = pd.DataFrame({"kind": (2 + (key[~go] & np.uint64(1))).astype(np.int32), "a": sig[~go]}).groupby(["kind", "a"], as_index=False).size()
+    n, packed = len(counted), _pack(sig[go], key[go])
+    a = pa.array(counted["a"].tolist() + [None], pa.int64())
+    blank = [None] * n
+    return pa.table({
+        "kind": pa.array([*counted["kind"].tolist(), None], pa.int32()), "a": a, "b": a, "n": pa.array([*counted["size"].tolist(), None], pa.int64()), "bucket": pa.array([*blank, table.column("bucket")[0].as_py()], pa.int32()),
+        "sigs": pa.array([*blank, packed[0]], pa.binary()), "sizes": pa.array([*blank, packed[1]], pa.binary()), "keys": pa.array([*blank, packed[2]], pa.binary()),
+    })
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of a bucket's keys: pairs (0 or 1: band's parity, a, b, number of keys) and the hot keys of nodes (2 or 3, node, null, number of keys)."""
+    sig, key = _unpack(table)
     order = np.lexsort((sig, key))
     sig, key = sig[order], key[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])]
@@ -213,6 +259,21 @@ def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["sig", "tokens"])
 
 
+def _met(packed: DataFrame, n_buckets: int) -> DataFrame:
+    """_meet() of all buckets. A bucket with more than MOST_KEYS keys is dealt by its nodes to slices and thinned there, so a key of any number of
+    nodes sends HOT + 1 of each slice to its bucket."""
+    kinds, keys = "kind int, a bigint, b bigint, n bigint", ["bucket", "sigs", "sizes", "keys"]
+    slices = F.ceil(F.sum("n_keys") / MOST_KEYS).cast("int")
+    heavy = saved(packed.groupBy("bucket").agg(slices.alias("slices")).where("slices > 1"), "heavy")
+    if not heavy.take(1):
+        return packed.select(*keys).transform(dealt, n_buckets, "bucket").groupBy("bucket").applyInArrow(_meet, kinds)
+    sliced = packed.join(heavy, "bucket").select("bucket", "slices", *keys[1:]).mapInArrow(_by_slice, "bucket int, slice int, sigs binary, sizes binary, keys binary")
+    thin = saved(sliced.groupBy("bucket", "slice").applyInArrow(_thin, f"{kinds}, bucket int, sigs binary, sizes binary, keys binary"), "thin")
+    rest = packed.join(heavy, "bucket", "left_anti").select(*keys).unionByName(thin.where("bucket IS NOT NULL").select(*keys))
+    met = rest.transform(dealt, n_buckets, "bucket").groupBy("bucket").applyInArrow(_meet, kinds)
+    return met.unionByName(thin.where("kind IS NOT NULL").select("kind", "a", "b", "n"))
+
+
 def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """doc_id, text_hash, n (shingles), sig (of their set) and first (doc_id and text_hash of its component's first row)."""
     spark = docs.sparkSession
@@ -220,10 +281,7 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
     n_buckets = tasks_for(spark, text_bytes(docs), BUCKET_BYTES)
     sketched = saved(docs.mapInArrow(partial(_sketch, n_buckets=n_buckets, percent=percent, width=width), SKETCHED), "sketches")
     rows = sketched.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "sig", "c0", "d0", "c1", "d1")
-    met = saved(
-        sketched.where("bucket IS NOT NULL").select("bucket", "sigs", "sizes", "keys").transform(dealt, n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda keys: _meet(keys), "kind int, a bigint, b bigint, n bigint"),
-        "met",
-    )
+    met = saved(_met(sketched.where("bucket IS NOT NULL").select("bucket", "sigs", "sizes", "keys", "n_keys"), n_buckets), "met")
 
     # blocks of each node and band that are left for the pigeonhole; a node without enough is lacking
     nodes = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *(F.first(c).alias(c) for c in ("c0", "d0", "c1", "d1")))
