@@ -36,6 +36,8 @@ SHARD_BYTES, BUCKET_BYTES, RUN = 3 << 20, 12 << 20, 256 << 10
 HELD = 1 << 20
 #: Lists of an anchor that are merged in one task at most.
 FAN = 1024
+#: Anchors of a bucket beyond which it is thinned in slices of its shards first; one document in SAMPLED tells how many a bucket gets.
+MOST_ANCHORS, SAMPLED = 2 << 20, 64
 LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -142,10 +144,58 @@ def _gather(batches: Iterator[pa.RecordBatch], n_buckets: int, n_shards: int, le
         yield send()
 
 
+def _loads(batches: Iterator[pa.RecordBatch], n_buckets: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): anchors of the texts by bucket."""
+    for batch in batches:
+        for h, *_ in run_anchors(*buffers(batch.column(0)), length, gram):
+            bucket, n = np.unique(h % np.uint64(n_buckets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+
+
+def _anchors_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    unpack = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+    return unpack("hashes", np.uint64), np.repeat(unpack("shards", np.int32), unpack("sizes", np.int32))
+
+
+SLICED = "bucket int, slice int, shards binary, sizes binary, hashes binary"
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, slices, shards, sizes, hashes) dealt to slices by shard."""
+    for batch in batches:
+        out: list[tuple] = []
+        for row in range(batch.num_rows):
+            one = pa.Table.from_batches([batch.slice(row, 1)])
+            bucket, n = one.column("bucket")[0].as_py(), one.column("slices")[0].as_py()
+            h, shard = _anchors_of(one)
+            at = shard % n
+            out += [(bucket, k, shard[at == k].tobytes(), np.ones(np.count_nonzero(at == k), np.int32).tobytes(), h[at == k].tobytes()) for k in np.unique(at).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int32() if k < 2 else pa.binary()) for k in range(5)], names=[x.split()[0] for x in SLICED.split(", ")])
+
+
+def _thin(table: pa.Table, fan: int) -> pa.Table:
+    """Of a slice of a bucket: each anchor twice a shard at most. Of one that more than `fan` of its shards have, fan + 1 go on, which tells
+    that it is spread wide; the other shards get it from here, as from _repeated."""
+    h, shard = _anchors_of(table)
+    order = np.lexsort((shard, h))
+    h, shard = h[order], shard[order]
+    third = np.r_[False, False, (h[2:] == h[:-2]) & (shard[2:] == shard[:-2])][: len(h)]
+    h, shard = h[~third], shard[~third]
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    nth = np.cumsum(fresh)
+    place = nth - np.repeat(nth[starts], np.diff(np.r_[starts, len(h)]))  # of the anchor's shards, from 0
+    go = place <= fan
+    rest = ~go & fresh
+    own = [(int(s), 2, h[rest & (shard == s)].tobytes()) for s in np.unique(shard[rest]).tolist()]
+    passed = (table.column("bucket")[0].as_py(), shard[go].tobytes(), np.ones(np.count_nonzero(go), np.int32).tobytes(), h[go].tobytes())
+    columns = [[x[0] for x in own] + [None], [x[1] for x in own] + [None], [None] * len(own) + [passed[0]], [None] * len(own) + [passed[1]], [None] * len(own) + [passed[2]], [x[2] for x in own] + [passed[3]]]
+    return pa.table({n: pa.array(c, pa.int32() if n in ("shard", "spread", "bucket") else pa.binary()) for n, c in zip(("shard", "spread", "bucket", "shards", "sizes", "hashes"), columns, strict=True)})
+
+
 def _repeated(table: pa.Table, fan: int) -> pa.Table:
     """Of a bucket: for each shard its anchor hashes that occur twice or more, by spread: 0 in it alone, 1 in up to `fan` shards, 2 in more."""
-    unpack = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-    h, shard = unpack("hashes", np.uint64), np.repeat(unpack("shards", np.int32), unpack("sizes", np.int32))
+    h, shard = _anchors_of(table)
     order = np.lexsort((shard, h))
     h, shard = h[order], shard[order]
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -571,7 +621,19 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, whole_cha
     given = given.withColumns({"tie": F.xxhash64("text"), "shard": F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int")})
 
     gathered = given.select("shard", "text").mapInArrow(partial(_gather, n_buckets=n_buckets, n_shards=n_shards, length=length, gram=gram), "bucket int, shards binary, sizes binary, hashes binary")
-    again = dealt(gathered, n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda x: _repeated(x, fan), "shard int, spread int, hashes binary")
+    some = given.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(SAMPLED)) == 0).select("text")
+    loads = some.mapInArrow(partial(_loads, n_buckets=n_buckets, length=length, gram=gram), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    heavy = saved(loads.select("bucket", F.ceil(F.col("n") * SAMPLED / MOST_ANCHORS).cast("int").alias("slices")).where("slices > 1"), "heavy")
+    repeated = "shard int, spread int, hashes binary"
+    if heavy.take(1):
+        # buckets of hot anchors are thinned by shard first; which buckets those are changes the way, not the result
+        sliced = gathered.join(heavy, "bucket", "left").select("bucket", "slices", "shards", "sizes", "hashes")
+        hot = sliced.where("slices IS NOT NULL").mapInArrow(_by_slice, SLICED).groupBy("bucket", "slice").applyInArrow(lambda x: _thin(x, fan), "shard int, spread int, bucket int, shards binary, sizes binary, hashes binary")
+        hot = saved(hot, "thin")
+        gathered = sliced.where("slices IS NULL").select("bucket", "shards", "sizes", "hashes").unionByName(hot.where("bucket IS NOT NULL").select("bucket", "shards", "sizes", "hashes"))
+        again = dealt(gathered, n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda x: _repeated(x, fan), repeated).unionByName(hot.where("bucket IS NULL").select("shard", "spread", "hashes"))
+    else:
+        again = dealt(gathered, n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda x: _repeated(x, fan), repeated)
     found = saved(
         dealt(given.select("shard", "doc_id", "tie", "text"), n_shards, "shard").groupBy("shard").cogroup(dealt(again, n_shards, "shard").groupBy("shard")).applyInArrow(lambda x, y: _shard(x, y, n_buckets, length, gram, fan), LISTS),
         "windows",
