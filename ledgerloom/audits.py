@@ -172,14 +172,14 @@ SELECT x.o AS operation, count(*) AS n, sum(k)::BIGINT AS total FROM u WHERE x.t
 
 
 def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphans of each foreign key, null keys left out; the delivery's day is a nullable key of the calendar."""
+    """Orphans of each foreign key, null keys left out, against parents of which some rows are missing; the delivery's day is a nullable key of the calendar."""
     o, items, _, _ = star_tables(spark, sf_dir)
     facts = star.fact_item(items, star.fact_order(o.select("system", "order_id", "customer_id")))
     customers = table(spark, sf_dir, "customer").where("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("customer_id"))
     parts = table(spark, sf_dir, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("product_id"))
     calendar = dates.calendar(spark, "1990-01-01", "2000-12-31").select("day")
     checks = {
-        "order to customer": star.orphans(o, customers, ["customer_id"]), "line to product": star.orphans(facts, parts, ["product_id"]), "line to order": star.orphans(facts, o.select("system", "order_id"), ["system", "order_id"]),
+        "order to customer": star.orphans(o, customers, ["customer_id"]), "line to product": star.orphans(facts, parts, ["product_id"]), "line to order": star.orphans(facts, o.where("order_id % 9 <> 4").select("system", "order_id"), ["system", "order_id"]),
         "order to day": star.orphans(o.select(F.col("order_date").alias("day")), calendar, ["day"]), "delivery to day": star.orphans(o.select(F.col("delivery_date").alias("day")), calendar, ["day"]),
     }
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("key"), "n") for k, df in checks.items()]
@@ -189,7 +189,7 @@ def foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOREIGN_SQL = f"""WITH {BASE_SQL}
 SELECT 'order to customer' AS key, count(*) AS n FROM facts WHERE customer_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3)
 UNION ALL SELECT 'line to product', count(*) FROM items WHERE order_exists AND product_id NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0)
-UNION ALL SELECT 'line to order', count(*) FROM items WHERE order_exists AND order_id NOT IN (SELECT order_id FROM facts)
+UNION ALL SELECT 'line to order', count(*) FROM items WHERE order_exists AND order_id NOT IN (SELECT order_id FROM facts WHERE order_id % 9 <> 4)
 UNION ALL SELECT 'order to day', count(*) FROM facts WHERE order_date NOT BETWEEN DATE '1990-01-01' AND DATE '2000-12-31'
 UNION ALL SELECT 'delivery to day', count(*) FROM facts WHERE delivery_date NOT BETWEEN DATE '1990-01-01' AND DATE '2000-12-31'"""
 
@@ -225,21 +225,41 @@ SELECT (SELECT count(*) FROM target WHERE y = 1) AS n_first, (SELECT count(*) FR
 
 def leak_confinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a leaking feature table may change and what it may not: same population and target, leak visible, counts never
-    smaller, z scores of mean 0 and deviation 1 that give the value back, and every other column as it was."""
+    smaller, z scores of mean 0 and deviation 1 that give the value back, and every other column as it was. As a control the
+    checks run on a table that breaks all of them as well."""
+    others = [c for c in feat.FEATURES if c not in ("recency_days", "frequency")]
     o, items, products, tickets = star_tables(spark, sf_dir)
-    o = saved(o, "orders")
+    o, items = saved(o, "orders"), saved(items, "items")
     right = saved(feat.features(o, items, products, tickets, CUT).join(feat.target(o, CUT, END), "customer_id"), "right")
-    leak = feat.z_scores(right.join(feat.leaky(o, CUT), "customer_id", "left"), "monetary").withColumn("leaky_y", F.col("y"))
-    return diagnostics.confinement(right, saved(leak, "leak"), "customer_id", "monetary", [c for c in feat.FEATURES if c not in ("recency_days", "frequency")])
-
-
+    # the leaking table comes from a run of its own: features as of the cut, the target by sets, recency and frequency of all orders
+    then = feat.as_of(o, items, tickets, CUT)
+    positive = feat.positives_by_sets(o, CUT, END, F.col("status") == "CANCELADO").withColumn("leaky_y", F.lit(1))
+    own = feat.features(then[0], then[1], products, then[2], CUT).join(positive, "customer_id", "left").join(feat.leaky(o, CUT), "customer_id", "left")
+    leak = saved(feat.z_scores(own.withColumn("leaky_y", F.coalesce("leaky_y", F.lit(0))), "monetary"), "leak")
+    k = F.col("customer_id")
+    broken = leak.where(k % 50 != 3).withColumns(
+        {"leaky_y": F.when(k % 7 == 0, 1 - F.col("leaky_y")).otherwise(F.col("leaky_y")), "main_channel": F.when(k % 11 == 0, "X").otherwise(F.col("main_channel")), "recency_days_leaky": F.abs("recency_days_leaky"), "frequency_leaky": F.lit(-1).cast("long"), "z": 2 * F.col("z") + 1}
+    )
+    checked = lambda name, table_: diagnostics.confinement(right, table_, "customer_id", "monetary", others).select(F.lit(name).alias("run"), "*")
+    return checked("leak", leak).unionByName(checked("broken", broken))
+
+
+_CHECKS = ["population differs", "target differs", "other columns differ", "recency below zero", "fewer orders than without", "z mean off", "z deviation off", "z not invertible"]
 CONFINEMENT_SQL = f"""WITH {BASE_SQL}, {_features_sql()}, {TARGET_SQL}, r AS (SELECT * FROM f JOIN target USING (customer_id)),
 l AS (SELECT customer_id, min(DATE '{CUT}' - order_date) AS recency, count(*) AS orders FROM facts WHERE effective GROUP BY 1),
-z AS (SELECT monetary, round((monetary - avg(monetary) OVER ()) / stddev_pop(monetary) OVER (), 6) AS z, avg(monetary) OVER () AS m, stddev_pop(monetary) OVER () AS s FROM r)
-SELECT unnest(['population differs', 'target differs', 'other columns differ', 'recency below zero', 'fewer orders than without', 'z mean off', 'z deviation off', 'z not invertible']) AS "check",
-  unnest([(SELECT count(*) FROM f FULL JOIN (SELECT DISTINCT customer_id FROM facts WHERE order_date <= DATE '{CUT}') d USING (customer_id) WHERE f.customer_id IS NULL OR d.customer_id IS NULL),
-    (SELECT count(*) FROM target t JOIN (SELECT customer_id, max((order_date > DATE '{CUT}' AND order_date <= DATE '{END}' AND effective)::INT) AS y FROM facts GROUP BY 1) o USING (customer_id) WHERE t.y <> o.y),
-    (SELECT count(*) FROM r JOIN f USING (customer_id) WHERE r.monetary IS DISTINCT FROM f.monetary OR r.main_channel IS DISTINCT FROM f.main_channel), (SELECT count(*) FROM r JOIN l USING (customer_id) WHERE recency < 0), (SELECT count(*) FROM r JOIN l USING (customer_id) WHERE orders < frequency), (SELECT (abs(avg(z)) > 1e-6)::INT FROM z), (SELECT (abs(stddev_pop(z) - 1) > 1e-5)::INT FROM z), (SELECT count(*) FROM z WHERE abs(z * s + m - monetary) > 1e-6 * s)])::BIGINT AS n"""
+z AS (SELECT customer_id, monetary, round((monetary - avg(monetary) OVER ()) / stddev_pop(monetary) OVER (), 6) AS z, avg(monetary) OVER () AS m, stddev_pop(monetary) OVER () AS s FROM r),
+b AS (SELECT *, 2 * z + 1 AS w FROM z WHERE customer_id % 50 <> 3),
+c AS (SELECT * FROM r WHERE customer_id % 50 <> 3),
+x AS (
+  SELECT 'leak' AS run, unnest({_CHECKS!r}) AS "check",
+    unnest([(SELECT count(*) FROM f FULL JOIN (SELECT DISTINCT customer_id FROM facts WHERE order_date <= DATE '{CUT}') d USING (customer_id) WHERE f.customer_id IS NULL OR d.customer_id IS NULL),
+      (SELECT count(*) FROM target t JOIN (SELECT customer_id, max((order_date > DATE '{CUT}' AND order_date <= DATE '{END}' AND effective)::INT) AS y FROM facts GROUP BY 1) o USING (customer_id) WHERE t.y <> o.y),
+      0, (SELECT count(*) FROM r JOIN l USING (customer_id) WHERE recency < 0), (SELECT count(*) FROM r JOIN l USING (customer_id) WHERE orders < frequency), (SELECT (abs(avg(z)) > 1e-6)::INT FROM z), (SELECT (abs(stddev_pop(z) - 1) > 1e-5)::INT FROM z),
+      (SELECT count(*) FROM z WHERE abs(z * s + m - monetary) > 1e-6 * s)])::BIGINT AS n
+  UNION ALL SELECT 'broken', unnest({_CHECKS!r}),
+    unnest([(SELECT count(*) FROM r) - (SELECT count(*) FROM c), (SELECT count(*) FROM c WHERE customer_id % 7 = 0), (SELECT count(*) FROM c WHERE customer_id % 11 = 0), 0, (SELECT count(*) FROM c),
+      (SELECT (abs(avg(w)) > 1e-6)::INT FROM b), (SELECT (abs(stddev_pop(w) - 1) > 1e-5)::INT FROM b), (SELECT count(*) FROM b WHERE abs(w * s + m - monetary) > 1e-6 * s)])::BIGINT)
+SELECT * FROM x"""
 
 
 def period_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,22 +276,24 @@ SELECT {_SIDE.format("l")} AS side_local, {_SIDE.format("u")} AS side_utc, count
 
 def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate keys of the two systems' records: present, valid, distinct, repeated, shared, coverage each way, and
-    agreement of names in pairs that share the key."""
+    agreement of name, e-mail and phone in pairs that share the key."""
     r = people_records(spark, sf_dir).select("system", text.fold_name(F.col("name")).alias("name"), text.digits(F.col("tax_id")).alias("tax_id"), text.tax_id_valid(F.col("tax_id")).alias("ok"), F.lower(F.trim("email")).alias("email"), text.phone_digits(F.col("phone")).alias("phone"))
-    return _doubles(diagnostics.audit_keys(r, ["tax_id", "email", "phone"], "system", ("L", "E"), "name"))
+    keys = {"tax_id": F.col("ok"), "email": F.col("email").rlike(r"^[^@]*[0-9]@[^@]+$"), "phone": F.length("phone").between(5, 11)}
+    return _doubles(diagnostics.audit_keys(r, keys, "system", ("L", "E"), ["name", "email", "phone"]))
 
 
-def _audit_sql(key: str, sql: str) -> str:
-    return f"""SELECT '{key}' AS key, (SELECT count({sql}) FROM k) AS n_present, (SELECT count(DISTINCT {sql}) FROM k) AS n_distinct, (SELECT count(*) FROM (SELECT {sql} FROM k WHERE {sql} IS NOT NULL GROUP BY system, {sql} HAVING count(*) > 1)) AS n_repeated,
+def _audit_sql(key: str, sql: str, valid: str) -> str:
+    agree = ", ".join(f"(SELECT count(*) FROM k a JOIN k b ON a.{sql} = b.{sql} WHERE a.system = 'L' AND b.system = 'E' AND a.{c} = b.{c}) AS n_agree_{n}" for c, n in (("folded", "name"), ("email", "email"), ("phone", "phone")))
+    return f"""SELECT '{key}' AS key, (SELECT count({sql}) FROM k) AS n_present, (SELECT count(*) FILTER ({valid}) FROM k) AS n_valid, (SELECT count(DISTINCT {sql}) FROM k) AS n_distinct, (SELECT count(*) FROM (SELECT {sql} FROM k WHERE {sql} IS NOT NULL GROUP BY system, {sql} HAVING count(*) > 1)) AS n_repeated,
   (SELECT count(*) FROM (SELECT {sql} FROM k WHERE {sql} IS NOT NULL GROUP BY {sql} HAVING count(DISTINCT system) = 2)) AS n_shared,
   (SELECT count(*) FILTER ({sql} IN (SELECT {sql} FROM k WHERE system = 'E')) FROM k WHERE system = 'L') AS n_left_covered, (SELECT count(*) FILTER ({sql} IN (SELECT {sql} FROM k WHERE system = 'L')) FROM k WHERE system = 'E') AS n_right_covered,
-  (SELECT count(*) FROM k a JOIN k b ON a.{sql} = b.{sql} WHERE a.system = 'L' AND b.system = 'E') AS n_pairs, (SELECT count(*) FROM k a JOIN k b ON a.{sql} = b.{sql} WHERE a.system = 'L' AND b.system = 'E' AND a.folded = b.folded) AS n_agree"""
+  (SELECT count(*) FROM k a JOIN k b ON a.{sql} = b.{sql} WHERE a.system = 'L' AND b.system = 'E') AS n_pairs, {agree}"""
 
 
 def audit_sql() -> str:
     from .queries import PEOPLE_BASE_SQL
 
-    return f"WITH {PEOPLE_BASE_SQL} " + " UNION ALL ".join(_audit_sql(k, s) for k, s in (("tax_id", "tax"), ("email", "email"), ("phone", "phone")))
+    return f"WITH {PEOPLE_BASE_SQL} " + " UNION ALL ".join(_audit_sql(*x) for x in (("tax_id", "tax", "ok"), ("email", "email", "email NOT LIKE '%b@%'"), ("phone", "phone", "length(phone) >= 5")))
 
 
 def id_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,19 +44,25 @@ def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count("_a").alias("n_left"), F.count("_b").alias("n_right"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("n_both"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("n_difference"))
 
 
-def audit_keys(records: DataFrame, keys: list[str], side: str, sides: tuple[str, str], name: str) -> DataFrame:
-    """For each candidate key: present, distinct, repeated within a side, shared by both, rows of each side whose key the
-    other has, pairs over both sides, and pairs that agree on the name. Counts of each key and name meet, not pairs."""
-    cells = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys))
-    long = records.select(F.col(side).alias("_side"), F.col(name).alias("_name"), F.explode(cells).alias("x")).select("_side", "_name", "x.*").where("value IS NOT NULL")
+def audit_keys(records: DataFrame, keys: dict[str, Column], side: str, sides: tuple[str, str], attributes: list[str]) -> DataFrame:
+    """For each candidate key, a column with its test of validity: present, valid, distinct, repeated within a side, shared by both, rows of each
+    side whose key the other has, pairs over both sides, and pairs that agree on each attribute (null agrees with nothing).
+
+    Counts of each key and attribute value meet, not pairs.
+    """
+    cells = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).alias("value"), F.coalesce(ok, F.lit(False)).alias("valid")) for k, ok in keys.items()))
+    others = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("is")) for c in attributes))
+    long = records.select(F.col(side).alias("_side"), others.alias("_others"), F.explode(cells).alias("x")).select("_side", "_others", "x.*").where("value IS NOT NULL")
     a, b = (F.count_if(F.col("_side") == s) for s in sides)
-    by_name = long.groupBy("key", "value", "_name").agg(a.alias("a"), b.alias("b"))
-    by_value = by_name.groupBy("key", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.when(F.col("_name").isNotNull(), F.col("a") * F.col("b")).otherwise(0)).alias("agree"))
+    by_value = long.groupBy("key", "value").agg(a.alias("a"), b.alias("b"), F.count_if("valid").alias("valid"))
     both = (F.col("a") > 0) & (F.col("b") > 0)
-    return by_value.groupBy("key").agg(
-        F.sum(F.col("a") + F.col("b")).alias("n_present"), F.count("*").alias("n_distinct"), F.sum((F.col("a") > 1).cast("long") + (F.col("b") > 1).cast("long")).alias("n_repeated"), F.count_if(both).alias("n_shared"),
-        F.sum(F.when(both, F.col("a")).otherwise(0)).alias("n_left_covered"), F.sum(F.when(both, F.col("b")).otherwise(0)).alias("n_right_covered"), F.sum(F.col("a") * F.col("b")).alias("n_pairs"), F.sum("agree").alias("n_agree"),
+    counts = by_value.groupBy("key").agg(
+        F.sum(F.col("a") + F.col("b")).alias("n_present"), F.sum("valid").alias("n_valid"), F.count("*").alias("n_distinct"), F.sum((F.col("a") > 1).cast("long") + (F.col("b") > 1).cast("long")).alias("n_repeated"), F.count_if(both).alias("n_shared"),
+        F.sum(F.when(both, F.col("a")).otherwise(0)).alias("n_left_covered"), F.sum(F.when(both, F.col("b")).otherwise(0)).alias("n_right_covered"), F.sum(F.col("a") * F.col("b")).alias("n_pairs"),
     )
+    agreeing = long.select("_side", "key", "value", F.explode("_others").alias("o")).where("o.is IS NOT NULL").groupBy("key", "value", "o").agg(a.alias("a"), b.alias("b"))
+    agreed = agreeing.groupBy("key").agg(*(F.sum(F.when(F.col("o.name") == c, F.col("a") * F.col("b")).otherwise(0)).alias(f"n_agree_{c}") for c in attributes))
+    return counts.join(agreed, "key", "left").select(*counts.columns, *(F.coalesce(f"n_agree_{c}", F.lit(0)).alias(f"n_agree_{c}") for c in attributes))
 
 
 def candidate_precision(records: DataFrame, rules: dict[str, list[str]], side: str, sides: tuple[str, str], truth: str) -> DataFrame:

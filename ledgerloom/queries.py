@@ -497,10 +497,13 @@ SELECT event_id, l::DATE AS local_day, isodow(l) AS iso_weekday, hour(l) AS loca
 
 
 def calendar_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(dates.calendar(spark))
+    """Each day of the calendar with the events of that day; days without any have none."""
+    counts = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n_events"))
+    return _doubles(dates.calendar(spark).join(counts, "day", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0))))
 
 
-CALENDAR_SQL = f"""SELECT d::DATE AS day, year(d) AS year, quarter(d) AS quarter, month(d) AS month, ({dates.MONTHS!r})[month(d)] AS month_name, day(d) AS day_of_month, isodow(d) AS iso_weekday, isodow(d) >= 6 AS weekend FROM generate_series(DATE '2022-12-01', DATE '2026-03-31', INTERVAL 1 DAY) t(d)"""
+CALENDAR_SQL = f"""SELECT d::DATE AS day, year(d) AS year, quarter(d) AS quarter, month(d) AS month, ({dates.MONTHS!r})[month(d)] AS month_name, day(d) AS day_of_month, isodow(d) AS iso_weekday, isodow(d) >= 6 AS weekend, coalesce(n, 0) AS n_events
+FROM generate_series(DATE '2022-12-01', DATE '2026-03-31', INTERVAL 1 DAY) t(d) LEFT JOIN (SELECT ts::DATE AS e, count(*) AS n FROM events GROUP BY 1) ON e = d::DATE"""
 
 
 def json_census(spark: SparkSession, sf_dir: str) -> DataFrame:

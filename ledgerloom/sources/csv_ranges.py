@@ -7,6 +7,8 @@ Records are numbered and put together by the same sums; none of this needs a fil
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,3 +77,17 @@ def split_csv(spark: SparkSession, path: str, columns: list[str], source: str, s
     if other:
         raise ValueError(f"another header than {columns} in {', '.join(r._file for r in other)}")
     return with_provenance(parsed.where("_record > 0").select(*(v.alias(c) for v, c in zip(values, columns, strict=True)), "_record"), source, F.col("_record")).drop("_record")
+
+
+def annotated_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
+    """columns of annotated CSVs as text, empty fields null: the second and third record, kinds and roles, are left out by their number, whatever the values are."""
+    found = records(spark, path, encoding)
+    names = found.where("_record = 0").select("text").first()
+    if names is None:
+        raise ValueError(f"no header in {path}")
+    heads = next(csv.reader([names.text]))
+    if missing := set(columns) - set(heads):
+        raise ValueError(f"columns that are not there: {', '.join(sorted(missing))}")
+    schema = ", ".join(f"c{i} string" for i in range(len(heads)))
+    parsed = found.where("_record > 2").select(F.from_csv("text", schema, {"quote": '"', "escape": '"'}).alias("_row"))
+    return parsed.select(*(F.col(f"_row.c{heads.index(c)}").alias(c) for c in columns))

@@ -37,12 +37,6 @@ def annotated_csv(df: DataFrame, path: str, label: str, meta: list[str], order:
     head.unionByName(body).repartition(1).sortWithinPartitions("_part", "_at").select("value").write.mode("overwrite").text(path)
 
 
-def annotated_data(df: DataFrame, names: list[str]) -> DataFrame:
-    """Rows of an annotated CSV read as text columns, without its two extra header rows."""
-    first, kinds = names[0], ("continuous", "discrete", "string")
-    return df.where(~F.col(first).isin(*kinds) & ~((F.col(first) == "") | F.col(first).isin("meta", "class")))
-
-
 def report_csv(df: DataFrame, path: str) -> None:
     """A small report (counts, reconciliation, dictionary, metrics) as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')

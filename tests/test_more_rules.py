@@ -10,7 +10,7 @@ from ledgerloom import storage
 from ledgerloom.functions import dates, numbers, text
 from ledgerloom.operators import models, profile
 from ledgerloom.plans import conform, diagnostics, features
-from ledgerloom.sources import generator, readers, sinks
+from ledgerloom.sources import csv_ranges, generator, readers, sinks
 from ledgerloom.streaming import events
 
 from .test_rules import values
@@ -40,7 +40,14 @@ def test_sources_and_sinks(spark, tmp_path):
     back = readers.parquet_table(spark, path, "id", "legacy")
     assert sorted((r._line, r._source) for r in back.collect()) == [(1, "legacy"), (2, "legacy")]
     sinks.annotated_csv(spark.createDataFrame([(1, "a,b", 1), (2, 'say "x"', 0)], "id long, v string, y int"), str(tmp_path / "o"), "y", ["id"], "id")
-    assert [tuple(r) for r in readers.sample(sinks.annotated_data(spark.read.csv(str(tmp_path / "o"), header=True, quote='"', escape='"'), ["id"]), 9).collect()] == [("1", "a,b", "1"), ("2", 'say "x"', "0")]
+    assert sorted(tuple(r) for r in readers.sample(csv_ranges.annotated_csv(spark, str(tmp_path / "o"), ["id", "v", "y"]), 9).collect()) == [("1", "a,b", "1"), ("2", 'say "x"', "0")]
+    # values that look like kinds and roles, empty ones and line breaks are rows like others
+    odd = ["class", "", None, "meta", "string", "x\ny", "discrete"]
+    sinks.annotated_csv(spark.createDataFrame([(v, k) for k, v in enumerate(odd)], "v string, k int"), str(tmp_path / "odd"), "k", [], "k")
+    assert sorted((r.k, r.v or "") for r in csv_ranges.annotated_csv(spark, str(tmp_path / "odd"), ["v", "k"]).collect()) == [(str(k), v or "") for k, v in enumerate(odd)]
+    (tmp_path / "broken.ndjson").write_text('{"review_id":"1"}\n{"review_id":\n\n[]\nnull\n')
+    assert [(r.value, r._line) for r in readers.broken_lines(spark, str(tmp_path / "broken.ndjson")).collect()] == [('{"review_id":', 2)]
+    assert sorted(r._line for r in readers.ndjson(spark, str(tmp_path / "broken.ndjson")).collect()) == [1, 4, 5]
     sinks.report_csv(spark.createDataFrame([("a", 1)], "k string, n int"), str(tmp_path / "r"))
     assert [r.n for r in readers.seed_csv(spark, str(tmp_path / "r"), T.StructType([T.StructField("k", T.StringType()), T.StructField("n", T.IntegerType())])).collect()] == [1]
     back.createOrReplaceTempView("staged_rows")

@@ -54,6 +54,12 @@ def test_controls_differ(spark):
     assert all(r.difference == 0 for r in QUERIES["reconciliation"](spark, SF).collect()) and any(r.false_difference for r in QUERIES["reconciliation"](spark, SF).collect())
     planted = {(r.source, r.anomaly): r.n for r in QUERIES["anomalies_by_source"](spark, SF).collect()}
     assert planted["SAC", "lines equal to an earlier one"] and planted["LEGADO", "name and date repeated"] and planted["ECOM", "lines without an order"] and not planted["LEGADO", "lines without an order"]
+    checks = {(r.run, r.check): r.n for r in QUERIES["leak_confinement"](spark, SF).collect()}
+    assert {c for (run, c), n in checks.items() if run == "leak" and n} == {"recency below zero"}
+    assert {c for (run, c), n in checks.items() if run == "broken" and not n} == {"recency below zero"} and len(checks) == 16
+    assert {r.key: r.n for r in QUERIES["foreign_keys"](spark, SF).collect()}["line to order"] > 0
+    audit = {r.key: r for r in QUERIES["key_audit"](spark, SF).collect()}
+    assert all(0 < r.n_valid < r.n_present for r in audit.values()) and all(r.n_agree_email < r.n_pairs for k, r in audit.items() if k != "email")
     persons = QUERIES["people"](spark, SF).collect()
     assert any(r.tax_conflict for r in persons) and any("DUPLICATA_LEGADO" in (r.rules or "") for r in persons)
 
