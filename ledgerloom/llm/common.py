@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..storage import discard, saved, scratch_path
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "components", "dealt", "discard", "other_columns", "row_hash", "saved", "scratch_path", "table", "tasks_for", "text_bytes"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "components", "dealt", "discard", "other_columns", "release", "row_hash", "saved", "scratch_path", "table", "tasks_for", "text_bytes"]
 
 #: White space that separates words, as a Java character class (fixed value of the contracts).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs whose frames are out of use.
+
+    Its cleaner learns of them when the driver's memory is collected, which in a quiet driver may be half an hour later; until then
+    the executors' disks hold them beside those of the next job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: shards and buckets are counted from it, so that each fits a task."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dealt, other_columns, saved, tasks_for, text_bytes
+from .common import dealt, other_columns, release, saved, tasks_for, text_bytes
 from .shingles import buffers, mix
 
 #: Bytes of text for each shard and for each bucket of anchors, and of a run, which should fit the CPU's cache.
@@ -638,6 +638,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, whole_cha
         dealt(given.select("shard", "doc_id", "tie", "text"), n_shards, "shard").groupBy("shard").cogroup(dealt(again, n_shards, "shard").groupBy("shard")).applyInArrow(lambda x, y: _shard(x, y, n_buckets, length, gram, fan), LISTS),
         "windows",
     )
+    del gathered, again
+    release(spark)  # the texts and anchors dealt so far are not read again
     repeats = found.where("bucket IS NULL").select("shard", "lo", "hi", "row")
     lists, n_parts = found.where("bucket IS NOT NULL"), -(-n_shards // fan)
     while True:
