@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether a query's shuffle files are deleted when it ends (Spark 4).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset and all runs in one process, as in tests, one of our own.
 
@@ -33,10 +37,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared scratch folder and read it back."""
+    """Cut the lineage: write df as Parquet into the shared scratch folder and read it back.
+
+    The shuffle files of the write go at its end, not when the driver happens to collect its memory.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
