@@ -207,7 +207,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, ids: bool = True, dige
 
     Columns: doc_id, n_tokens, with ids also token_ids (array of int), with digests also ids_sha256 and
     decoded_sha256. Each match of the pattern is encoded by itself, without special tokens; text that
-    the pattern does not match is left out, as the pattern's own library does.
+    the pattern does not match is left out, as the pattern's own library does. Other columns of docs are left out, whatever their
+    names; repeated rows and null ids are rows like others.
     """
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType())]
     fields += [T.StructField("token_ids", T.ArrayType(T.IntegerType()))] * ids

@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import jaccard_join, suffix_dedup
+from ledgerloom.llm import bpe, jaccard_join, quality_rules, suffix_dedup
 
 from .test_text_operators import classes, docs_of, passages, removed, sorted_rows
 
@@ -84,6 +86,32 @@ def test_a_passage_in_a_third_of_all_documents(spark, monkeypatch):
         assert dict(seen)["heavy"] > 0 and dict(seen)["thin"] > 0
 
 
+def test_very_long_texts(spark):
+    """A text of two million characters beside its copy, a near copy and others, in the operators on passages, sets and rules."""
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    long = " ".join(rng.choice(words) for _ in range(300_000))
+    near = long[: len(long) - 2000]
+    docs = docs_of(spark, [(1, long), (2, long), (3, near), (4, "short text of six words only"), (5, None)])
+    got = {r.doc_id: r for r in jaccard_join.jaccard_classes(docs).collect()}
+    assert [got[k].component_id for k in range(1, 6)] == [1, 1, 1, 4, 5] and got[1].n_shingles > 290_000 and got[5].n_shingles == 0
+    cut = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, with_text=False).collect()}
+    assert [len(cut[k].kept) for k in range(1, 6)] == [len(long), 0, 0, 28, 0] and [len(cut[k].spans) for k in range(1, 6)] == [0, 1, 1, 0, 0]
+    twice = docs.unionByName(docs.where("doc_id = 4"))
+    judged = quality_rules.judge(twice)
+    rows = judged.select("doc_id", "n_words", "base_failed").collect()
+    assert sorted((r.doc_id, r.n_words) for r in rows) == [(1, 300_000), (2, 300_000), (3, len(near.split())), (4, 6), (4, 6), (5, 0)]
+
+
+def test_bpe_leaves_other_columns_out(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = docs_of(spark, [(1, "a b"), (1, "a b"), (None, None)]).withColumns({c: F.lit("clash") for c in ("n_tokens", "TOKEN_IDS", "ids_sha256", "a`b")})
+    out = bpe.encode(docs, path, public_tokenizers.PATTERN, digests=True)
+    assert out.columns == ["doc_id", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
+    rows = out.collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows)[0] == (0, 0) and len(rows) == 3 and rows[0] == rows[1]
+
+
 def test_one_slice_of_a_hot_anchor():
     """An anchor in 50,000 shards: fan + 1 of them go on, at most twice each; the others get it at once, spread wide."""
     shard = np.repeat(np.arange(50_000, dtype=np.int32), 3)
