@@ -420,9 +420,11 @@ TAX_IDS_SQL = f"WITH {PEOPLE_BASE_SQL} SELECT DISTINCT person_key, m.tax, ok AS
 
 def model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Univariate AUC of numeric features against the target, on the training rows of an exact stratified split."""
-    base = customer_features(spark, sf_dir)
-    train = models.stratified_split(base, "customer_id", "y").where("train")
-    return models.univariate_auc(train, ["recency_days", "frequency", "orders_last_90d", "tenure_days", "n_categories"], "y")
+    names = ["recency_days", "frequency", "orders_last_90d", "tenure_days", "n_categories"]
+    # saved once: ranges sample their input before they deal it, and only keys and labels are ranged
+    base = saved(customer_features(spark, sf_dir).select("customer_id", "y", *names), "base")
+    split = models.stratified_split(base.select("customer_id", "y"), "customer_id", "y").where("train")
+    return models.univariate_auc(base.join(split.select("customer_id"), "customer_id", "left_semi"), names, "y")
 
 
 MODEL_SQL = f"""WITH {BASE_SQL}, {_features_sql()}, {TARGET_SQL},
@@ -436,7 +438,9 @@ SELECT feature, greatest(auc, 1 - auc) AS auc, CASE WHEN auc >= 0.5 THEN 1 ELSE
 
 def naive_bayes_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confusion counts of the binned naive Bayes on the rows left out of training."""
-    base = saved(models.stratified_split(customer_features(spark, sf_dir), "customer_id", "y"), "abt")
+    whole = saved(customer_features(spark, sf_dir), "base")
+    split = models.stratified_split(whole.select("customer_id", "y"), "customer_id", "y")
+    base = saved(whole.join(split.select("customer_id", "train"), "customer_id"), "abt")
     names = ["recency_days", "frequency", "orders_last_90d", "tenure_days"]
     columns = {c: models.binned(c, models.cuts(base.where("train"), c)) for c in names} | {"main_channel": F.col("main_channel")}
     model = models.naive_bayes(base.where("train"), columns, "y")

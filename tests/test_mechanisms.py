@@ -158,3 +158,15 @@ def test_metrics_scan_each_table_once(spark, tmp_path):
     for bad in ([specs[0], specs[0]], [Metric("k", "a", F.count("*"), "nothing")], [Metric("k", "c", F.count("*"))]):
         with pytest.raises(ValueError, match="twice|bases|tables"):
             metrics.measure(t, bad)
+
+
+def test_z_scores_by_training_rows_only(spark):
+    """Rows left out of training get z scores by the mean and deviation of the others; those without a value get none."""
+    from ledgerloom.plans import features
+
+    values = [(k, float(k % 17) if k % 9 else None, k % 3 != 0) for k in range(200)]
+    rows = features.z_scores(spark.createDataFrame(values, "k long, v double, t boolean"), "v", train=F.col("t")).collect()
+    seen = [v for _, v, t in values if t and v is not None]
+    mean, std = statistics.fmean(seen), statistics.pstdev(seen)
+    assert len(rows) == 200 and all((r.z is None) == (r.v is None) and (r.v is None or abs(r.z - (r.v - mean) / std) < 1e-5) for r in rows)
+    assert abs(statistics.fmean(r.z for r in rows if r.t and r.v is not None)) < 1e-5
