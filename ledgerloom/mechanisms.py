@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import hash_tree, quantiles, temporal
+from .operators import hash_tree, quantiles, sketches, temporal
 from .plans import metrics, reload, star
 from .plans.metrics import Metric, rows_that
 from .queries import BASE_SQL, CUT, END, PEOPLE_BASE_SQL, people_records, raw_items, raw_orders, star_tables, table
@@ -218,6 +218,22 @@ rw AS ({' UNION ALL '.join(rows)})
 SELECT a.key, round(a.value, 4) AS value, CASE WHEN a.base IS NOT NULL AND b.value <> 0 THEN round(100 * a.value / b.value, 6) END AS percent FROM rw a LEFT JOIN rw b ON b.key = a.base"""
 
 
-ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL, affected_records: _affected_sql()}
+def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the lines profiled by year of shipping and merged: exact counts and ends, and whether the distinct values and the median
+    that the sketches give are near the exact ones (within 4 % of their number, and within two of a hundred ranks)."""
+    lines = table(spark, sf_dir, "lineitem")
+    columns = ["l_partkey", "l_quantity", "l_extendedprice"]
+    found = sketches.merge(sketches.profile_parts(lines, F.year("l_shipdate"), columns), {"median": 0.5})
+    cells = [F.struct(F.lit(c).alias("column"), F.countDistinct(c).alias("exact")) for c in columns]
+    exact = lines.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    medians = {r["column"]: r["median"] for r in found.select("column", "median").collect()}  # a number a column
+    ranks = lines.agg(F.array(*(F.struct(F.lit(c).alias("column"), F.avg((F.col(c) < medians[c]).cast("int")).alias("below"), F.avg((F.col(c) <= medians[c]).cast("int")).alias("upto")) for c in columns)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.04 * F.col("exact")
+    return found.join(exact, "column").join(ranks, "column").select("column", "n_rows", "n_null", "least", "greatest", near.alias("distinct_near"), ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_near"))
+
+
+MERGED_SQL = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest, true AS distinct_near, true AS median_near FROM lineitem" for c in ("l_partkey", "l_quantity", "l_extendedprice"))
+
+ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL, affected_records: _affected_sql(), merged_profile: MERGED_SQL}
 QUERIES = {f.__name__: f for f in ALL}
 ORACLES = {f.__name__: sql for f, sql in ALL.items() if sql}

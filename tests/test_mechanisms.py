@@ -170,3 +170,28 @@ def test_z_scores_by_training_rows_only(spark):
     mean, std = statistics.fmean(seen), statistics.pstdev(seen)
     assert len(rows) == 200 and all((r.z is None) == (r.v is None) and (r.v is None or abs(r.z - (r.v - mean) / std) < 1e-5) for r in rows)
     assert abs(statistics.fmean(r.z for r in rows if r.t and r.v is not None)) < 1e-5
+
+
+def test_profiles_of_parts_merge_to_that_of_all(spark, tmp_path):
+    from ledgerloom.operators import sketches
+
+    rows = [(k % 7 if k % 50 else None, float(k * 7919 % 10_007) if k % 11 else None, k) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "day long, v double, k long").withColumn("part", F.lit("clash"))
+    parts = sketches.profile_parts(df, F.coalesce("day", F.lit(-1)), ["v", "k"])
+    sketches.store(parts, str(tmp_path / "p"))
+    sketches.store(sketches.profile_parts(df.where("day = 3"), F.col("day"), ["v", "k"]), str(tmp_path / "p"))  # the same day once more
+    kept = spark.read.parquet(str(tmp_path / "p"))
+    assert kept.count() == 16
+    points = {"q1": 0.25, "median": 0.5}
+    merged = {r["column"]: r for r in sketches.merge(kept, points).collect()}
+    direct = {r["column"]: r for r in sketches.merge(sketches.profile_parts(df, F.lit(0), ["v", "k"]), points).collect()}
+    for c, i in (("v", 1), ("k", 2)):
+        seen = sorted(r[i] for r in rows if r[i] is not None)
+        a, b = merged[c], direct[c]
+        assert (a.n_rows, a.n_null, a.least, a.greatest) == (b.n_rows, b.n_null, b.least, b.greatest) == (20_000, 20_000 - len(seen), seen[0], seen[-1])
+        assert a.mean == pytest.approx(statistics.fmean(seen)) and a.n_distinct == b.n_distinct and abs(a.n_distinct - len(set(seen))) < 0.04 * len(set(seen))
+        for name, p in points.items():
+            assert abs(bisect.bisect(seen, a[name]) / len(seen) - p) < 0.02 and abs(bisect.bisect(seen, b[name]) / len(seen) - p) < 0.02
+    empty = sketches.merge(sketches.profile_parts(df.where("k < 1").withColumn("v", F.lit(None).cast("double")), F.lit(0), ["v"]), points).first()
+    assert (empty.n_rows, empty.n_null, empty["median"], empty.n_distinct) == (1, 1, None, 0)
+    assert sketches.merge(sketches.profile_parts(df.limit(0), F.lit(0), ["v"]), points).count() == 0
