@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import hash_tree, quantiles, sketches, temporal
+from .operators import hash_tree, identity, identity_updates, quantiles, sketches, temporal
 from .plans import metrics, reload, star
 from .plans.metrics import Metric, rows_that
-from .queries import BASE_SQL, CUT, END, PEOPLE_BASE_SQL, people_records, raw_items, raw_orders, star_tables, table
+from .queries import BASE_SQL, CUT, END, PEOPLE_BASE_SQL, _doubles, people_records, raw_items, raw_orders, star_tables, table
 from .storage import saved, scratch_path
 
 #: Events stand for tickets of the retail years; an order is near a ticket for so many days.
@@ -234,6 +234,30 @@ def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MERGED_SQL = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) - count({c}) AS n_null, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest, true AS distinct_near, true AS median_near FROM lineitem" for c in ("l_partkey", "l_quantity", "l_extendedprice"))
 
-ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL, affected_records: _affected_sql(), merged_profile: MERGED_SQL}
+#: The first sign-up day of the records that arrive later: a tenth of all.
+ARRIVAL = "2023-04-01"
+
+
+def people_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons after a run over the earlier sign-ups to which the later ones were added: those of a whole run, with the
+    keys that the first run gave, and how many of its persons each was."""
+    records = people_records(spark, sf_dir)
+    late = F.col("signed_up") >= F.lit(ARRIVAL).cast("date")
+    first = identity_updates.start(records.where(~late))
+    state = identity_updates.add(first, records.where(late))
+    gold, bridge, _ = identity.finished(state.members, state.persons)
+    was = bridge.join(first.members.select("node", F.col("person").alias("was")), "node").groupBy("person").agg(F.countDistinct("was").alias("n_before"))
+    gold = gold.join(was, "person", "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)).cast("long"))
+    return _doubles(gold.select("person_key", "person", "n_before", "n_legacy", "n_shop", "legacy_id", "shop_id", "origin", "rules", "tax", "tax_valid", "name", "city", "region", "first_signed_up", "tax_conflict"))
+
+
+ADDED_SQL = f"""WITH {PEOPLE_BASE_SQL},
+old AS (SELECT * FROM (WITH {PEOPLE_BASE_SQL.replace("FROM customer)", f"FROM customer WHERE DATE '2023-01-01' + (c_custkey % 100)::INT < DATE '{ARRIVAL}')")} SELECT node, person_key AS old_key FROM m JOIN gk USING (person))),
+kept AS (SELECT person, min(old_key) AS old_key, count(DISTINCT old_key) AS n_before FROM p LEFT JOIN old USING (node) GROUP BY 1)
+SELECT coalesce(old_key, (SELECT max(old_key) FROM old) + row_number() OVER (PARTITION BY old_key IS NULL ORDER BY least_legacy IS NULL, coalesce(least_legacy, shop_id), person)) AS person_key, person, n_before, n_legacy, n_shop, legacy_id, shop_id,
+  CASE WHEN n_legacy > 0 AND n_shop > 0 THEN 'AMBOS' WHEN n_shop > 0 THEN 'ECOM' ELSE 'LEGADO' END AS origin, rules, CASE WHEN NOT lost THEN tax END AS tax, CASE WHEN NOT lost THEN good END AS tax_valid, name, city, region, first_signed_up, conflict AS tax_conflict
+FROM gk JOIN kept USING (person) LEFT JOIN ru USING (person)"""
+
+ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL, affected_records: _affected_sql(), merged_profile: MERGED_SQL, people_added: ADDED_SQL}
 QUERIES = {f.__name__: f for f in ALL}
 ORACLES = {f.__name__: sql for f, sql in ALL.items() if sql}

@@ -55,30 +55,26 @@ def persons(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gold, bridge
 
 
-def resolve(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Golden records, the bridge (node, person, role, system_role, person_key), and each person's usable tax ids
-    (person_key, tax, tax_valid).
+def key_order() -> list[Column]:
+    """How persons are numbered: by the smallest legacy id, those without one after them, by the smallest shop id."""
+    return [F.col("least_legacy").isNull(), F.coalesce("least_legacy", "shop_id"), F.col("person")]
 
-    Tax id: the most frequent among valid ones if there is one, else among usable ones, ties by value. Name, city and
-    region: shop rows first, then legacy ones, first that is not null; within a system rows with a valid tax id come
-    first, then more complete ones, then smaller ids. legacy_id is the first legacy row in that order, shop_id the
-    smallest. A valid tax id of several persons is a conflict: it stays with the one that has most records, or with
-    none if there are several such. person is the smallest node; person_key is 1..n by the smallest legacy id, persons
-    without one after those, by shop id. role has one survivor a person; system_role one a system: legacy_id, shop_id.
-    """
-    keyed = saved(nodes(records), "nodes")
-    edges = links(keyed)
-    label = components(edges.select("a", "b"))
-    member = keyed.join(label, "node", "left").withColumn("person", F.coalesce("component", "node")).drop("component")
-    used = edges.select(F.col("a").alias("node"), "rule").join(label, "node").groupBy(F.col("component").alias("person")).agg(F.array_join(F.array_sort(F.collect_set("rule")), "+").alias("rules"))
-    votes = member.where("tax IS NOT NULL").groupBy("person", "tax").agg(F.count("*").alias("n"), F.max(F.coalesce("tax_ok", F.lit(False))).alias("ok"))
-    tax = votes.groupBy("person").agg(F.min_by(F.struct("tax", "ok"), F.struct((~F.col("ok")).alias("x"), -F.col("n"), F.col("tax"))).alias("t")).select("person", "t.tax", F.col("t.ok").alias("tax_valid"))
-    shop = F.col("system") == "E"
-    unsure = 1 - F.coalesce(F.col("tax_ok").cast("int"), F.lit(0))
-    complete = sum((F.col(c).isNotNull().cast("int") for c in ("tax", "city", "region", "phone", "email")), F.lit(0))
+
+def _shop() -> Column:
+    return F.col("system") == "E"
+
+
+def _rank() -> tuple[Column, Column]:
+    """0 for a record with a valid tax id, and how many of its fields are there."""
+    return 1 - F.coalesce(F.col("tax_ok").cast("int"), F.lit(0)), sum((F.col(c).isNotNull().cast("int") for c in ("tax", "city", "region", "phone", "email")), F.lit(0))
+
+
+def grouped(member: DataFrame) -> DataFrame:
+    """A row a person of member (the columns of nodes() and person): first values, ids and numbers of records."""
+    shop, (unsure, complete) = _shop(), _rank()
     priority = F.struct(F.when(shop, 0).otherwise(1).alias("p"), unsure.alias("u"), (-complete).alias("c"), F.col("source_id").alias("i"), F.col("node").alias("n"))
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), priority)).alias(c)
-    gold = member.groupBy("person").agg(
+    return member.groupBy("person").agg(
         *map(first, ("name", "city", "region")),
         F.min("signed_up").alias("first_signed_up"),
         F.min_by("source_id", F.when(~shop, priority)).alias("legacy_id"),
@@ -87,9 +83,49 @@ def resolve(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.count_if(~shop).alias("n_legacy"),
         F.count_if(shop).alias("n_shop"),
     )
-    gold = dense_keys(gold, [F.col("least_legacy").isNull(), F.coalesce("least_legacy", "shop_id"), F.col("person")], "person_key").drop("least_legacy")
+
+
+def described(gold: DataFrame, member: DataFrame, used: DataFrame) -> DataFrame:
+    """gold with each person's tax id (before conflicts), the rules of used (person, rules) and the origin."""
+    votes = member.where("tax IS NOT NULL").groupBy("person", "tax").agg(F.count("*").alias("n"), F.max(F.coalesce("tax_ok", F.lit(False))).alias("ok"))
+    tax = votes.groupBy("person").agg(F.min_by(F.struct("tax", "ok"), F.struct((~F.col("ok")).alias("x"), -F.col("n"), F.col("tax"))).alias("t")).select("person", "t.tax", F.col("t.ok").alias("tax_valid"))
+    origin = F.when((F.col("n_legacy") > 0) & (F.col("n_shop") > 0), "AMBOS").when(F.col("n_shop") > 0, "ECOM").otherwise("LEGADO")
+    return gold.drop("least_legacy").join(tax, "person", "left").join(used, "person", "left").withColumn("origin", origin)
+
+
+def rule_names(found: DataFrame) -> DataFrame:
+    """(person, rules) of rows (person, rule)."""
+    return found.groupBy("person").agg(F.array_join(F.array_sort(F.collect_set("rule")), "+").alias("rules"))
+
+
+def first_run(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All records with their person, and the persons before conflicts of tax ids are settled."""
+    keyed = saved(nodes(records), "nodes")
+    edges = links(keyed)
+    label = components(edges.select("a", "b"))
+    member = keyed.join(label, "node", "left").withColumn("person", F.coalesce("component", "node")).drop("component")
+    used = rule_names(edges.select(F.col("a").alias("node"), "rule").join(label, "node").select(F.col("component").alias("person"), "rule"))
+    return member, described(dense_keys(grouped(member), key_order(), "person_key"), member, used)
+
+
+def resolve(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Golden records, the bridge (node, person, role, system_role, person_key), and each person's usable tax ids
+    (person_key, tax, tax_valid).
+
+    Tax id: the most frequent among valid ones if there is one, else among usable ones, ties by value. Name, city and
+    region: shop rows first, then legacy ones, first that is not null; within a system rows with a valid tax id come
+    first, then more complete ones, then smaller ids. legacy_id is the first legacy row in that order, shop_id the
+    smallest. A valid tax id of several persons is a conflict: it stays with the one that has most records, or with
+    none if there are several such. person is the smallest node; person_key is 1..n by the smallest legacy id, persons
+    without one after those, by shop id. role has one survivor a person; system_role one a system: legacy_id, shop_id.
+    """
+    return finished(*first_run(records))
+
+
+def finished(member: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three results of resolve() from the two of first_run()."""
+    shop, (unsure, complete) = _shop(), _rank()
     ids = gold.select("person", "person_key", "legacy_id", "shop_id")
-    gold = gold.join(tax, "person", "left").join(used, "person", "left").withColumn("origin", F.when((F.col("n_legacy") > 0) & (F.col("n_shop") > 0), "AMBOS").when(F.col("n_shop") > 0, "ECOM").otherwise("LEGADO"))
     size = F.col("n_legacy") + F.col("n_shop")
     claims = gold.where("tax_valid").withColumn("size", size).groupBy("tax").agg(F.count("*").alias("n"), F.max("size").alias("most"))
     claims = claims.where("n > 1").join(gold.where("tax_valid").select("tax", size.alias("size")), "tax").groupBy("tax", "most").agg(F.count_if(F.col("size") == F.col("most")).alias("n_most"))
