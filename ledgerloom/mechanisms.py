@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import hash_tree, identity, identity_updates, quantiles, sketches, temporal
+from .operators import hash_tree, identity, identity_updates, models, quantiles, sketches, temporal, tree
 from .plans import metrics, reload, star
 from .plans.metrics import Metric, rows_that
-from .queries import BASE_SQL, CUT, END, PEOPLE_BASE_SQL, _doubles, people_records, raw_items, raw_orders, star_tables, table
+from .queries import BASE_SQL, CUT, END, PEOPLE_BASE_SQL, _doubles, customer_features, people_records, raw_items, raw_orders, star_tables, table
 from .storage import saved, scratch_path
 
 #: Events stand for tickets of the retail years; an order is near a ticket for so many days.
@@ -258,6 +258,21 @@ SELECT coalesce(old_key, (SELECT max(old_key) FROM old) + row_number() OVER (PAR
   CASE WHEN n_legacy > 0 AND n_shop > 0 THEN 'AMBOS' WHEN n_shop > 0 THEN 'ECOM' ELSE 'LEGADO' END AS origin, rules, CASE WHEN NOT lost THEN tax END AS tax, CASE WHEN NOT lost THEN good END AS tax_valid, name, city, region, first_signed_up, conflict AS tax_conflict
 FROM gk JOIN kept USING (person) LEFT JOIN ru USING (person)"""
 
-ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL, affected_records: _affected_sql(), merged_profile: MERGED_SQL, people_added: ADDED_SQL}
+#: What the tree sees.
+TREE_FEATURES = ["recency_days", "frequency", "orders_last_90d", "tenure_days", "n_categories"]
+
+
+def tree_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of an entropy tree of any depth, grown on 70 % of the customers, with its counts and AUC on the others."""
+    base = saved(customer_features(spark, sf_dir).select("customer_id", "y", *TREE_FEATURES), "base")
+    split = saved(models.stratified_split(base.select("customer_id", "y"), "customer_id", "y").select("customer_id", "train"), "split")
+    grown = saved(tree.grow(base.join(split.where("train"), "customer_id", "left_semi"), "y", TREE_FEATURES), "tree")
+    test = base.join(split.where("NOT train"), "customer_id", "left_semi")
+    scored = saved(tree.scores(grown, test, "customer_id", TREE_FEATURES).join(test.select("customer_id", "y"), "customer_id"), "scores")
+    shape = grown.agg(F.count("*").alias("n_nodes"), F.count_if(F.col("feature").isNull()).alias("n_leaves"), F.max("depth").cast("long").alias("depth"))
+    return shape.crossJoin(models.confusion(scored, "score", "y")).crossJoin(models.auc(scored, "score", "y").select("auc"))  # three single rows
+
+
+ALL = {ticket_last_order: LAST_ORDER_SQL, part_shipping_gaps: LINES_SQL, tickets_during_delivery: DURING_SQL, price_quartiles: QUARTILES_SQL, user_sessions: SESSIONS_SQL, star_reload: STAR_SQL, run_differences: DIFFERENCES_SQL, affected_records: _affected_sql(), merged_profile: MERGED_SQL, people_added: ADDED_SQL, tree_report: None}
 QUERIES = {f.__name__: f for f in ALL}
 ORACLES = {f.__name__: sql for f, sql in ALL.items() if sql}
