@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from ledgerloom import audits, mechanisms, queries, reports
+from ledgerloom import audits, evidence, mechanisms, queries, reports
 
-QUERIES, ORACLES = queries.QUERIES | audits.QUERIES | reports.QUERIES | mechanisms.QUERIES, queries.ORACLES | audits.ORACLES | reports.ORACLES | mechanisms.ORACLES
+QUERIES, ORACLES = queries.QUERIES | audits.QUERIES | reports.QUERIES | evidence.QUERIES | mechanisms.QUERIES, queries.ORACLES | audits.ORACLES | reports.ORACLES | evidence.ORACLES | mechanisms.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
