@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .audits import PRODUCTS_SQL, conformed_products
 from .operators import identity, profile
-from .plans import diagnostics, plausibility
+from .plans import diagnostics, plausibility, verification
 from .queries import BASE_SQL, CUT, END, PEOPLE_BASE_SQL, _doubles, people_records, raw_items, raw_orders, table
 from .reports import CHANGE
 
@@ -152,6 +152,33 @@ a AS (
 SELECT *, 100.0 * lower / nullif(base, 0)::DOUBLE AS lower_percent, 100.0 * upper / nullif(base, 0)::DOUBLE AS upper_percent FROM a"""
 
 
-ALL = {review_references: REFERENCES_SQL, channel_hours: CHANNEL_SQL, mapping_classes: CLASSES_SQL, source_anomalies: _source_sql(), bounded_estimates: _bounds_sql()}
+CONSTANTS = {90.0: "days of the target", 0.5: "threshold"}
+
+
+def number_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of report on each nation's customers, with numbers that were measured, constants and some that are wrong, and
+    what the report's own table says of each."""
+    table_ = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double"), 2).alias("balance"), (F.count_if(F.col("c_acctbal") < 0) / F.count("*")).alias("debtors"))
+    brazil = lambda c: F.translate(c, ".,", ",.")
+    wrong = F.when(F.col("nation") % 5 == 0, F.col("balance") + 0.07).otherwise(F.col("balance"))
+    line = F.concat(
+        F.lit("# Report 99\nOn 2024-05-06, RDT-12: "), brazil(F.format_number("n", 0)), F.lit(" customers with "), brazil(F.format_number(wrong, 2)), F.lit(" in all, "), brazil(F.format_number(F.col("debtors") * 100, 1)), F.lit(" % of them below `0,3`, in 90 days;\n1. at 0,5 and 77777 "), F.col("nation").cast("string"), F.lit("x."),
+    )
+    numbers = verification.numbers_of(table_.select(F.col("nation").alias("doc"), line.alias("text")))
+    out = verification.verified(numbers, verification.measured(table_.drop("nation"), "nations", F.lit("")), CONSTANTS)
+    return out.select(F.col("doc").cast("long").alias("doc"), F.col("line").cast("long").alias("line"), F.col("number").cast("double").alias("number"), F.col("places").cast("long").alias("places"), "verdict")
+
+
+NUMBERS_SQL = """WITH t AS (SELECT c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal::DECIMAL(18, 2))::DOUBLE, 2) AS balance, count(*) FILTER (c_acctbal < 0) / count(*) AS debtors FROM customer GROUP BY 1),
+v AS (SELECT unnest([n::DOUBLE, balance, debtors]) AS v FROM t UNION ALL SELECT count(*)::DOUBLE FROM t),
+c AS (SELECT abs(v) AS c FROM v UNION SELECT 100 * v FROM v),
+x AS (
+  SELECT nation, 2 AS line, n::DOUBLE AS number, 0 AS places FROM t UNION ALL SELECT nation, 2, round(balance + CASE WHEN nation % 5 = 0 THEN 0.07 ELSE 0 END, 2), 2 FROM t UNION ALL SELECT nation, 2, round(debtors * 100, 1), 1 FROM t
+  UNION ALL SELECT nation, 2, 90, 0 FROM t UNION ALL SELECT nation, 3, 0.5, 1 FROM t UNION ALL SELECT nation, 3, 77777, 0 FROM t)
+SELECT nation::BIGINT AS doc, line::BIGINT AS line, number, places::BIGINT AS places, CASE WHEN places < 2 AND abs(number) IN (90, 0.5) THEN 'constant'
+  WHEN EXISTS (SELECT 1 FROM c WHERE CASE WHEN places = 0 THEN abs(c - abs(number)) <= 1e-9 ELSE abs(c - abs(number)) <= 0.5 / 10 ** places + 1e-9 END) THEN 'found' ELSE 'missing' END AS verdict FROM x"""
+
+
+ALL = {review_references: REFERENCES_SQL, channel_hours: CHANNEL_SQL, mapping_classes: CLASSES_SQL, source_anomalies: _source_sql(), bounded_estimates: _bounds_sql(), number_verification: NUMBERS_SQL}
 QUERIES = {f.__name__: f for f in ALL}
 ORACLES = {f.__name__: sql for f, sql in ALL.items()}
