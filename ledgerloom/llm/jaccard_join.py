@@ -31,7 +31,7 @@ from .shingles import mix, shingle_sets
 #: Keys that more nodes share give no pairs; nodes compared in one task at most, twice.
 HOT, BLOCK = 16, 2048
 #: Bytes of text for each bucket of keys, and of keys held back in a task before they are sent.
-BUCKET_BYTES, HELD_BYTES = 12 << 20, 8 << 20
+BUCKET_BYTES, HELD_BYTES = 12 << 20, 4 << 20
 #: Keys of a bucket beyond which it is thinned in slices of its nodes first; only hot keys make a bucket so large.
 MOST_KEYS = 1 << 20
 _SKETCH = np.uint64(0xD1B54A32D192ED03)
@@ -88,7 +88,7 @@ SKETCHED = "doc_id bigint, text_hash bigint, n bigint, sig bigint, c0 int, d0 in
 
 def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, width: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows of keys by bucket: signatures, number of keys of each, keys (seven bytes each)."""
-    held: dict[int, list[tuple[int, np.ndarray]]] = {}
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
     seen: set[int] = set()
     n_held = 0
     names = [x.split()[0] for x in SKETCHED.split(", ")]
@@ -99,14 +99,23 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, wid
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def flush() -> list[tuple]:
-        out = []
-        for bucket, own in held.items():
-            sigs = np.array([s for s, _ in own], np.int64)
-            sizes = np.array([len(k) for _, k in own], np.uint16)
-            keys = np.concatenate([k for _, k in own]).view(np.uint8).reshape(-1, 8)[:, :7]
-            out.append((bucket, sigs.tobytes(), sizes.tobytes(), keys.tobytes(), len(keys)))
+        # an entry a node and band was held, so memory does not grow with the buckets; one a node and bucket is made here
+        sizes = np.array([len(k) for _, k, _ in held])
+        sigs = np.array([s for s, _, _ in held], np.int64)
+        keys, to = np.concatenate([k for _, k, _ in held]), np.concatenate([t for _, _, t in held])
         held.clear()
         seen.clear()
+        order = np.argsort(to, kind="stable")
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        keys, to = keys[order], to[order]
+        starts = np.flatnonzero(np.r_[True, (to[1:] != to[:-1]) | (owner[1:] != owner[:-1])])
+        sizes, sigs, of = np.diff(np.r_[starts, len(to)]).astype(np.uint16), sigs[owner[starts]], to[starts]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        packed = keys.view(np.uint8).reshape(-1, 8)[:, :7]
+        out = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=True):
+            x, y = int(starts[a]), int(starts[b]) if b < len(of) else len(to)
+            out.append((int(of[a]), sigs[a:b].tobytes(), sizes[a:b].tobytes(), packed[x:y].tobytes(), y - x))
         return out
 
     for batch in batches:
@@ -124,14 +133,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], n_buckets: int, percent: int, wid
                     facts[2 * (g % 2) : 2 * (g % 2) + 2] = [len(keys), differ]
                     if fresh:
                         # the lowest bit tells the node's two bands apart; the bucket is in the eighth byte
-                        to = ((keys >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
+                        to = ((keys >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int32)
                         keys = keys & ~np.uint64(1) | np.uint64(g % 2)
-                        order = np.argsort(to, kind="stable")
-                        to, keys = to[order], keys[order]
-                        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-                        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                            for at in range(a, b, 60_000):
-                                held.setdefault(int(to[a]), []).append((sig, keys[at : min(b, at + 60_000)]))
+                        for at in range(0, len(keys), 60_000):  # sizes are of 16 bits
+                            held.append((sig, keys[at : at + 60_000], to[at : at + 60_000]))
                         n_held += 7 * len(keys)
             for column, value in zip(docs, [doc_id, text_hash, n, sig, *facts], strict=True):
                 column.append(value)

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts are worked on in runs of about this many bytes, which bounds a task's memory.
-RUN_BYTES = 2 << 20
+#: Texts are worked on in runs of about this many bytes, which bounds a task's memory: some sixty bytes for each.
+RUN_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

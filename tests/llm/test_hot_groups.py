@@ -1,13 +1,14 @@
 """Hot keys and anchors: what meets in one bucket stays bounded, and results stay those of brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, jaccard_join, quality_rules, suffix_dedup
+from ledgerloom.llm import bpe, jaccard_join, quality_rules, shingles, suffix_dedup
 
 from .test_text_operators import classes, docs_of, passages, removed, sorted_rows
 
@@ -123,3 +124,32 @@ def test_one_slice_of_a_hot_anchor():
     assert len(out) == 1 + 50_000 - 65 and all(r["spread"] == 2 for r in out if r["bucket"] is None)
     rest = suffix_dedup._repeated(pa.Table.from_pylist(left).select(["shards", "sizes", "hashes"]), 64).to_pylist()
     assert len(rest) == 65 and all(r["spread"] == 2 for r in rest)
+
+
+def test_a_task_that_sketches_holds_little():
+    """Keys that wait for 5,000 buckets take some bytes each, however few of a node go to one bucket; all arrive."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50_000, 250)) for _ in range(3_000)]
+    column = pa.array(texts)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 500)), column.slice(a, 500), pa.array(range(500))], names=["doc_id", "text", "text_hash"]) for a in range(0, 3_000, 500)]
+    next(iter(jaccard_join._sketch(iter(batches[:1]), 8, 80, 5)))  # caches are filled
+    tracemalloc.start()
+    n_rows = n_keys = 0
+    for out in jaccard_join._sketch(iter(batches), 5_000, 80, 5):
+        keys = out.filter(out.column(8).is_valid())
+        n_rows, n_keys = n_rows + out.num_rows - keys.num_rows, n_keys + sum(keys.column(12).to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = sum(len(jaccard_join.blocks_of(x, g, m)) for x in shingles.shingle_sets(column) for g, _, m in jaccard_join.contexts(len(x), 80))
+    assert (n_rows, n_keys) == (3_000, want)
+    assert peak < 60 << 20
+
+
+def test_a_node_of_more_keys_than_a_size_holds():
+    """A text of 200,000 words has more keys in a bucket than 16 bits count."""
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([" ".join(map(str, range(200_000)))]), pa.array([1])], names=["doc_id", "text", "text_hash"])
+    tokens = next(shingles.shingle_sets(batch.column(1)))
+    want = sorted(int(k) & ~1 | g % 2 for g, _, m in jaccard_join.contexts(len(tokens), 80) for k in jaccard_join.blocks_of(tokens, g, m) & np.uint64((1 << 56) - 1))
+    out = pa.Table.from_batches(list(jaccard_join._sketch(iter([batch]), 1, 80, 5)))
+    sig, key = jaccard_join._unpack(out.filter(out.column("bucket").is_valid()))
+    assert sorted(key.tolist()) == want and set(sig.tolist()) == {jaccard_join.signature(tokens)}
