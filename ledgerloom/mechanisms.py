@@ -149,7 +149,7 @@ def _affected() -> list[Metric]:
         p("02.several_records", c("n_legacy") + c("n_shop") > 1), sums("02.records_absorbed", "persons", c("n_legacy") + c("n_shop") - 1), p("03.legacy_repeated", c("n_legacy") > 1), sums("03.legacy_absorbed", "persons", F.greatest(c("n_legacy") - 1, F.lit(0))),
         # status
         o("04.status", true, "status"), o("04.source_status", true, "raw_status"), o("04.channel", true, "channel"), o("04.cancelled", cancelled), o("04.cancelled_legacy", cancelled & legacy), o("04.cancelled_shop", cancelled & shop), o("04.declined", c("raw_status") == "payment_declined"),
-        o("04.purchases", c("effective")), o("04.in_target", in_target), o("04.cancelled_in_target", in_target & cancelled), Metric("04.customers", "orders", F.countDistinct("customer_id")), Metric("04.buyers", "orders", F.countDistinct(F.when(c("effective"), c("customer_id"))), "04.customers"),
+        o("04.purchases", c("effective")), o("04.in_target", in_target), o("04.cancelled_in_target", in_target & cancelled), Metric("04.customers", "orders", c("customer_id"), distinct=True), Metric("04.buyers", "orders", F.when(c("effective"), c("customer_id")), "04.customers", distinct=True),
         # totals
         sums("05.total", "orders", "total"), sums("05.total_legacy", "orders", F.when(legacy, c("total"))), sums("05.total_shop", "orders", F.when(shop, c("total"))), sums("05.freight", "orders", "freight"), sums("05.freight_shop", "orders", F.when(shop, c("freight"))),
         o("05.with_freight", c("freight") != 0), o("05.no_lines", c("units") == 0), sums("05.goods", "orders", "goods"), sums("05.discounts", "orders", "discount"),
@@ -157,7 +157,7 @@ def _affected() -> list[Metric]:
         i("06.lines_discount_sentinel", c("discount_absent")), o("06.orders_discount_sentinel", c("discount_absent")), o("06.freight_negative", c("freight_negative")), o("06.freight_negative_of", c("freight_negative"), "system"), sums("06.sum_freight_negative", "orders", F.when(c("freight_negative"), c("freight"))),
         o("06.freight_negative_cancelled", c("freight_negative") & cancelled), o("06.total_negative", c("total") < 0), Metric("06.largest_quantity", "lines", F.max("quantity")), i("06.quantity_over_40", c("quantity") > 40), Metric("06.dearest", "lines", F.max("unit_price")),
         # products
-        q("07.products_of", true, "system"), q("07.no_category", c("level1").isNull()), Metric("07.categories", "products", F.countDistinct("level1")), i("07.lines_without_order", ~c("order_exists")), sums("07.value_without_order", "lines", F.when(~c("order_exists"), c("line_value"))),
+        q("07.products_of", true, "system"), q("07.no_category", c("level1").isNull()), Metric("07.categories", "products", c("level1"), distinct=True), i("07.lines_without_order", ~c("order_exists")), sums("07.value_without_order", "lines", F.when(~c("order_exists"), c("line_value"))),
         # dates and tickets
         o("08.not_delivered", c("delivery_date").isNull() & ~c("delivery_undated") & ~c("delivery_too_early")), o("08.undated", c("delivery_undated")), o("08.undated_delivered", c("delivery_undated") & (c("status") == "ENTREGUE")), o("08.too_early", c("delivery_too_early")), o("08.too_early_of", c("delivery_too_early"), "system"),
         o("08.slow", c("delivery_days") > 35), r("08.no_tax_id", c("tax_id").isNull()), r("08.no_tax_id_of", c("tax_id").isNull(), "system"), r("08.no_email", c("email").isNull()), r("08.no_phone", c("phone").isNull()), r("08.city_sentinel", c("city") == "N/A"),

@@ -1,8 +1,8 @@
 """Metrics declared as specifications and computed with one scan a table.
 
 A specification names a metric, the table it is about and what it measures. All of a table are one aggregate: plain ones in
-the total, those by a column in a grouping set of it, so that sixty metrics of six tables are six scans. Shares of another metric
-are worked out on the rows of the result.
+the total, those by a column in a grouping set of it, so that sixty metrics of six tables are six scans. Different values are counted apart:
+beside them in one aggregate, all measures would be held for each value. Shares of another metric are worked out on the rows of the result.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.distinct import distinct_counts
 from ..storage import saved
 
 
@@ -20,7 +21,7 @@ from ..storage import saved
 class Metric:
     """key, table, an aggregate; base: the key of which it is a share; by: a column, of which each value gives a row key.value.
 
-    A null value of `by` is named "none".
+    A null value of `by` is named "none". With `distinct`, measure is a column whose different values are counted, in total.
     """
 
     key: str
@@ -28,6 +29,7 @@ class Metric:
     measure: Column
     base: str | None = None
     by: str | None = None
+    distinct: bool = False
 
 
 def rows_that(test: Column) -> Column:
@@ -36,7 +38,14 @@ def rows_that(test: Column) -> Column:
 
 
 def _of_table(df: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """(key, value, base) of one table's metrics, by one aggregate over one scan."""
+    """(key, value, base) of one table's metrics, by one aggregate over one scan; a table whose different values are counted is written once."""
+    if any(m.distinct for m in metrics):
+        df = saved(df, "measured")
+        apart, metrics = [m for m in metrics if m.distinct], [m for m in metrics if not m.distinct]
+        found = distinct_counts(df, {m.key: m.measure for m in apart})
+        named = df.sparkSession.createDataFrame([(m.key, m.base) for m in apart], "name string, base string")
+        counted = named.join(found, "name", "left").select(F.col("name").alias("key"), F.coalesce("n_distinct", F.lit(0)).cast("double").alias("value"), "base")
+        return counted.unionByName(_of_table(df, metrics)) if metrics else counted
     if any(m.by for m in metrics) and not df.take(1):  # grouping sets have no total of no rows
         metrics = [m for m in metrics if not m.by]
     cuts = list(dict.fromkeys(m.by for m in metrics if m.by))
@@ -61,12 +70,14 @@ def _of_table(df: DataFrame, metrics: list[Metric]) -> DataFrame:
 def measure(tables: dict[str, DataFrame], metrics: list[Metric]) -> DataFrame:
     """(key, value, percent): one row a metric, or a metric and value of its column; percent of its base, null without one or of 0.
 
-    Each table is scanned once. Keys must be unique and bases must be keys of plain metrics.
+    Each table is evaluated once. Keys must be unique and bases must be keys of plain metrics.
     """
     keys = [m.key for m in metrics]
     plain = {m.key for m in metrics if not m.by}
     if len(set(keys)) < len(keys):
         raise ValueError("a key is given twice")
+    if both := [m.key for m in metrics if m.distinct and m.by]:
+        raise ValueError(f"different values are counted in total only: {', '.join(both)}")
     if unknown := {m.base for m in metrics if m.base} - plain:
         raise ValueError(f"bases that are no metrics: {', '.join(sorted(unknown))}")
     parts = [_of_table(df, own) for name, df in tables.items() if (own := [m for m in metrics if m.table == name])]
