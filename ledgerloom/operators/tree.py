@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..storage import discard, saved
 from .keys import running_sums
 
 #: A node of at most so many rows is grown in one task; this bounds memory, results are the same at any number.
-SMALL = 20_000
+SMALL = 100_000
 #: Scores that differ by less are ties, whatever the order of their sums.
 PLACES = 10
 #: Levels that rows go down before their plan is cut.
@@ -130,15 +131,48 @@ def grow(train: DataFrame, label: str, features: list[str], depth: int = 100, sp
         rows = below
 
 
+def _descend(nodes: pa.Table, rows: pa.Table) -> pa.Table:
+    """(key, score, depth) of rows in the leaves of one subtree."""
+    names, ones, n = nodes.column("node").to_pylist(), nodes.column("ones").to_numpy(), nodes.column("n").to_numpy()
+    place = {name: i for i, name in enumerate(names)}
+    feature = nodes.column("feature").cast(pa.int64()).fill_null(-1).to_numpy()
+    threshold = nodes.column("threshold").fill_null(0.0).to_numpy()
+    below = np.array([[place.get(f"{name}{side}", -1) for side in "01"] for name in names], np.int64).reshape(-1, 2)
+    x = rows.column("x").combine_chunks()
+    x = x.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 1))
+    at = np.full(len(rows), min(range(len(names)), key=lambda i: len(names[i]), default=0), np.int64)
+    inner = np.flatnonzero(feature[at] >= 0) if names else np.zeros(0, np.int64)
+    while len(inner):
+        now = at[inner]
+        at[inner] = below[now, (x[inner, feature[now]] > threshold[now]).astype(np.int64)]
+        inner = inner[feature[at[inner]] >= 0]
+    depth = np.array([len(name) for name in names], np.int32)
+    return pa.table({"key": rows.column("key"), "score": ones[at] / n[at], "depth": depth[at]}) if len(rows) else pa.table({"key": rows.column("key"), "score": pa.array([], pa.float64()), "depth": pa.array([], pa.int32())})
+
+
 def scores(tree: DataFrame, rows: DataFrame, key: str, features: list[str]) -> DataFrame:
-    """(key, score, depth): the share of ones in each row's leaf. A level is a join with that level's splits; Spark
-    broadcasts those that are small by their size. Rows are whole: an empty tree gives null scores."""
+    """(key, score, depth): the share of ones in each row's leaf. Down to the first node of at most SMALL training rows a level is
+    a join with that level's splits, which Spark broadcasts if they are small by their size; the subtree below such a node meets its rows, by
+    SMALL of them, in one task. Rows are whole: an empty tree gives null scores."""
     tree = saved(tree, "tree")
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    now = rows.select(F.col(key), F.lit("").alias("node"), F.array(*map(_value, features)).alias("x"))
-    for level in range(deepest):
-        now = _step(now, tree.where((F.col("depth") == level) & F.col("feature").isNotNull()))
+    large = tree.where(F.col("n") > SMALL)
+    deepest = large.agg(F.max("depth")).first()[0]
+    now = rows.select(F.col(key).alias("key"), F.lit("").alias("node"), F.array(*map(_value, features)).alias("x"))
+    for level in range(0 if deepest is None else deepest + 1):
+        now = _step(now, large.where((F.col("depth") == level) & F.col("feature").isNotNull()))
         if level % LEVELS == LEVELS - 1:
             now = saved(now, "rows")
+    now = saved(now, "rows")
+    # roots of the subtrees: small nodes at the top or below a large one
+    above = large.select(F.explode(F.array(F.concat("node", F.lit("0")), F.concat("node", F.lit("1")))).alias("top"))
+    tops = saved(tree.where((F.col("n") <= SMALL) & (F.col("depth") == 0)).select(F.col("node").alias("top")).unionByName(above.join(tree.where(F.col("n") <= SMALL).select(F.col("node").alias("top")), "top", "left_semi")), "tops")
+    dealt = saved(tops.join(now.groupBy(F.col("node").alias("top")).agg(F.ceil(F.count("*") / SMALL).cast("int").alias("parts")), "top"), "parts")
+    depths = [r[0] for r in tops.select(F.length("top")).distinct().collect()]  # a number a level of large nodes
+    ways = F.explode(F.array(*(F.substring("node", 1, d) for d in depths))) if depths else F.lit(None).cast("string")
+    small = tree.where(F.col("n") <= SMALL).withColumn("top", ways).where(F.col("top").isNotNull() & (F.length("top") <= F.col("depth"))).distinct().join(dealt, "top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    part = now.withColumnRenamed("node", "top").join(dealt, "top").select("top", F.pmod(F.xxhash64("key", "x"), F.col("parts")).cast("int").alias("part"), "key", "x")
+    kind = dict(now.dtypes)["key"]
+    inside = small.select("top", "part", "node", "n", "ones", "feature", "threshold").groupBy("top", "part").cogroup(part.groupBy("top", "part")).applyInArrow(_descend, f"key {kind}, score double, depth int")
     leaves = tree.where("feature IS NULL").select("node", (F.col("ones") / F.col("n")).alias("score"), "depth")
-    return now.join(leaves, "node", "left").select(key, "score", "depth")
+    rest = now.join(tops, F.col("node") == F.col("top"), "left_anti").join(leaves, "node", "left").select("key", "score", "depth")
+    return rest.unionByName(inside).withColumnRenamed("key", key)

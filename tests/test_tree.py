@@ -97,3 +97,24 @@ def test_report(spark):
                 at += "0" if x[want[at][2]] <= want[at][3] else "1"
             counts[2 * y + (want[at][1] / want[at][0] > 0.5)] += 1
     assert [got.tn, got.fp, got.fn, got.tp] == counts
+
+
+def test_scores_join_large_levels_only(spark, monkeypatch):
+    """A deep tree of small nodes is gone through in tasks, not by a join a level; scores are a plain walk's at any bound, and rows repeat."""
+    frame = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 37 % 101 < 40).cast("int").alias("y"), F.when(F.col("id") % 50 > 0, F.col("id")).alias("a"), (F.col("id") * 7 % 13).alias("b"))
+    grown = tree.saved(tree.grow(frame, "y", ["a", "b"]), "grown")
+    nodes = {r.node: r for r in grown.collect()}
+    want = []
+    for r in frame.collect():
+        node = nodes[""]
+        while node.feature is not None:
+            x = (r.a, r.b)[node.feature]
+            node = nodes[node.node + ("0" if x is None or x <= node.threshold else "1")]
+        want += [(r.k, node.ones / node.n, node.depth)] * (2 if r.k < 20 else 1)
+    joins, step = [], tree._step
+    monkeypatch.setattr(tree, "_step", lambda *a: joins.append(1) or step(*a))
+    for small in (10_000, 150):
+        monkeypatch.setattr(tree, "SMALL", small)
+        joins.clear()
+        assert sorted(map(tuple, tree.scores(grown, frame.unionByName(frame.where("k < 20")), "k", ["a", "b"]).collect())) == want
+        assert len(joins) == (0 if small == 10_000 else max(r.depth for r in nodes.values() if r.n > small) + 1) < max(r.depth for r in nodes.values())
