@@ -33,9 +33,10 @@ def dense_keys(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with 1..n in the given order (make it total). Ranges of the order are numbered side by side and shifted
     by the sizes of the ranges before; one small row a range meets in one task."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = saved(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # a range is one task's and in order, so its rows are numbered as they come and are not dealt a second time
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    ranged = saved(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), place.alias("_place")), "ranges")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_place", place).join(F.broadcast(shifts), "_range").withColumn(name, (F.col("_shift") + F.col("_place")).cast("long")).drop("_range", "_place", "_shift")
+    return ranged.join(F.broadcast(shifts), "_range").withColumn(name, (F.col("_shift") + F.col("_place")).cast("long")).drop("_range", "_place", "_shift")

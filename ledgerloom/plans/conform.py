@@ -95,29 +95,31 @@ def unmapped(raw: DataFrame, mapping: DataFrame, on: list[str]) -> DataFrame:
     return raw.join(F.broadcast(mapping), on, "left_anti").groupBy(*on).agg(F.count("*").alias("n"))
 
 
-def items(raw: DataFrame, orders: DataFrame) -> DataFrame:
-    """raw (system, item_id, order_id, product_id, quantity, unit_price, discount) with discount -1 as 0 and a flag,
-    line value, and whether the order exists."""
+def mended(raw: DataFrame) -> DataFrame:
+    """raw (system, item_id, order_id, product_id, quantity, unit_price, discount) with discount -1 as 0 and a flag, and line value."""
     sentinel = F.col("discount") == -1
-    own = orders.select("system", "order_id", F.lit(True).alias("_there")).distinct()
-    return (
-        raw.withColumn("discount_absent", sentinel)
-        .withColumn("discount", F.when(sentinel, 0).otherwise(F.col("discount")).cast("decimal(18,4)"))
-        .withColumn("line_value", (F.col("quantity") * F.col("unit_price")).cast("decimal(18,4)"))
-        .join(own, ["system", "order_id"], "left")
-        .withColumn("order_exists", F.col("_there").isNotNull())
-        .drop("_there")
+    return raw.withColumns(
+        {"discount_absent": sentinel, "discount": F.when(sentinel, 0).otherwise(F.col("discount")).cast("decimal(18,4)"), "line_value": (F.col("quantity") * F.col("unit_price")).cast("decimal(18,4)")}
     )
 
 
+def items(raw: DataFrame, orders: DataFrame) -> DataFrame:
+    """mended() lines, and whether the order exists. Lines are mended behind the join, so that what follows from other columns is not shuffled."""
+    own = orders.select("system", "order_id").distinct().withColumn("_there", F.lit(True))
+    there = raw.join(own, ["system", "order_id"], "left").withColumn("order_exists", F.col("_there").isNotNull()).drop("_there")
+    return mended(there).select("system", "order_id", *(c for c in raw.columns if c not in ("system", "order_id")), "discount_absent", "line_value", "order_exists")
+
+
 def orders(raw: DataFrame, lines: DataFrame) -> DataFrame:
     """raw (system, order_id, customer_id, raw_status, raw_channel, order_date, delivery_date, freight) at order grain.
 
-    Items are aggregated before the join, so no order multiplies. A delivery on 1900-01-01 or before the order is null
+    lines are items(), or mended() lines that know no orders: these are summed where they are read, before any shuffle, and
+    sums of orders that are not in raw meet none. Lines are summed before the join, so no order multiplies. A delivery on 1900-01-01 or before the order is null
     with a flag. total = goods - discount + freight, negative freight included and flagged.
     """
     spark = raw.sparkSession
-    sums = lines.where("order_exists").groupBy("system", "order_id").agg(
+    known_lines = lines.where("order_exists") if "order_exists" in lines.columns else lines
+    sums = known_lines.groupBy("system", "order_id").agg(
         F.sum("quantity").cast("long").alias("units"), F.sum("line_value").alias("goods"), F.sum("discount").alias("discount"), F.max(F.col("discount_absent").cast("int")).cast("boolean").alias("discount_absent")
     )
     known = dates.not_sentinel(F.col("delivery_date"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators.assertions import Suite
 from ..operators.keys import dense_keys
+from ..storage import saved
 
 NO_ORDER = "PEDIDO_INEXISTENTE_NA_ORIGEM"
 
@@ -50,9 +51,17 @@ def star(customers: DataFrame, products: DataFrame, orders: DataFrame, lines: Da
     """The whole star as builders for reload.publish, dimensions first.
 
     customers (customer_id, others), products (system, product_id, level1), conformed orders and lines, tickets (customer_id, opened, rating).
-    Keys are 1..n by the source's own keys, days by date. Facts whose dimension row is missing keep a null key.
+    Keys are 1..n by the source's own keys, days by date. Facts whose dimension row is missing keep a null key. Lines meet their orders once:
+    fact_item and quarantine are read from what comes of it.
     """
     spark = orders.sparkSession
+    held: list[DataFrame] = []
+
+    def keyed(t: dict[str, DataFrame]) -> DataFrame:
+        if not held or held[0] is not t["fact_order"]:
+            own = lines.join(t["fact_order"].select("system", "order_id", "order_key"), ["system", "order_id"], "left")
+            held[:] = [t["fact_order"], saved(own, "lines")]
+        return held[1]
 
     def dates_of(_: dict) -> DataFrame:
         ends = orders.agg(F.min("order_date"), F.max("order_date")).first()
@@ -63,7 +72,7 @@ def star(customers: DataFrame, products: DataFrame, orders: DataFrame, lines: Da
         return out.withColumn("date_key", day_key(F.col("order_date"))).drop("channel")
 
     def items(t: dict[str, DataFrame]) -> DataFrame:
-        own = fact_item(lines, t["fact_order"].select("system", "order_id", "order_key", "customer_id")).join(t["dim_product"].select("system", "product_id", "product_key"), ["system", "product_id"], "left")
+        own = keyed(t).where("order_exists AND order_key IS NOT NULL").join(t["dim_product"].select("system", "product_id", "product_key"), ["system", "product_id"], "left")
         return own.select("order_key", "product_key", "item_id", "quantity", "unit_price", "discount", "line_value")
 
     def calls(t: dict[str, DataFrame]) -> DataFrame:
@@ -77,12 +86,13 @@ def star(customers: DataFrame, products: DataFrame, orders: DataFrame, lines: Da
         "fact_order": facts,
         "fact_item": items,
         "fact_ticket": calls,
-        "quarantine": lambda _: quarantine(lines),
+        "quarantine": lambda t: quarantine(keyed(t).drop("order_key")),
     }
 
 
 def star_checks(t: dict[str, DataFrame], lines: DataFrame) -> DataFrame:
-    """What must hold of a star before it is published: keys are unique, every fact finds its dimensions, and of the lines none is lost or multiplied."""
+    """What must hold of a star before it is published: keys are unique, every fact finds its dimensions, and of the lines (only counted, so the
+    source's own will do) none is lost or multiplied."""
     suite = Suite(t["fact_order"].sparkSession, "star")
     for name, key in (("dim_customer", "customer_key"), ("dim_product", "product_key"), ("dim_channel", "channel_key"), ("dim_date", "date_key"), ("fact_order", "order_key")):
         suite.unique(t[name], f"{name}: one row a key", key)

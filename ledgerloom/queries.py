@@ -61,11 +61,11 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Conformed orders, items, products and tickets."""
     raw = raw_orders(spark, sf_dir)
-    items = conform.items(raw_items(spark, sf_dir), raw)
+    lines = raw_items(spark, sf_dir)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_size") <= 45, F.col("p_brand")).alias("level1"))
     products = part.select(F.explode(F.array(F.lit("LEGADO"), F.lit("ECOM"))).alias("system"), "product_id", "level1")
     tickets = table(spark, sf_dir, "events").select(F.col("user_id").alias("customer_id"), F.date_sub(F.to_date("ts"), 8766).alias("opened"), F.floor("value").cast("int").alias("rating"))
-    return conform.orders(raw, items), items, products, tickets
+    return conform.orders(raw, conform.mended(lines)), conform.items(lines, raw), products, tickets
 
 
 BASE_SQL = f"""
