@@ -63,11 +63,19 @@ def positives_by_sets(orders: DataFrame, cut: str, end: str, cancelled: Column)
     return later.select("customer_id").intersect(orders.where(date <= day(cut)).select("customer_id"))
 
 
+def with_levels(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """orders with levels, the different categories of their lines: what features() needs of items and products, so that those who make
+    features of several versions of orders go through the lines once."""
+    brands = items.select("system", "order_id", "product_id").join(products.select("system", "product_id", "level1"), ["system", "product_id"])
+    return orders.join(brands.groupBy("system", "order_id").agg(F.collect_set("level1").alias("levels")), ["system", "order_id"], "left")
+
+
 def features(orders: DataFrame, items: DataFrame, products: DataFrame, tickets: DataFrame, cut: str) -> DataFrame:
     """The fourteen features of each customer with an order up to the cut; nothing after the cut is read.
 
     orders: (system, order_id, customer_id, order_date, delivery_date, delivery_days, total, goods, discount, channel, effective);
     items: (system, order_id, system, product_id); products: (system, product_id, level1); tickets: (customer_id, opened, rating).
+    Where orders have levels (with_levels), items and products are not read.
     """
     known = orders.where(F.col("order_date") <= day(cut))
     good = F.col("effective")
@@ -88,11 +96,14 @@ def features(orders: DataFrame, items: DataFrame, products: DataFrame, tickets:
         F.max(of_good((F.col("system") == "ECOM").cast("int"))).alias("_shop"),
     )
     effective = known.where(good)
-    categories = (
-        items.select("system", "order_id", "product_id").join(effective.select("system", "order_id", "customer_id"), ["system", "order_id"])
-        .join(products.select("system", "product_id", "level1"), ["system", "product_id"])
-        .groupBy("customer_id").agg(F.countDistinct("level1").alias("n_categories"))
-    )
+    if "levels" in orders.columns:
+        bought = effective.select("customer_id", F.explode("levels").alias("level1"))
+    else:
+        bought = (
+            items.select("system", "order_id", "product_id").join(effective.select("system", "order_id", "customer_id"), ["system", "order_id"])
+            .join(products.select("system", "product_id", "level1"), ["system", "product_id"])
+        )
+    categories = bought.groupBy("customer_id").agg(F.countDistinct("level1").alias("n_categories"))
     # the most frequent channel, of equally frequent ones the first by name
     channel = effective.groupBy("customer_id", "channel").agg(F.count("*").alias("n")).groupBy("customer_id").agg(F.min_by("channel", F.struct(-F.col("n"), F.col("channel"))).alias("main_channel"))
     rated = numbers.within(F.col("rating"), 1, 5)

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Whether a query's shuffle files are deleted when it ends (Spark 4).
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PARTITIONS = "spark.sql.shuffle.partitions"
+#: Rows of a table for each task of a shuffle that grows with it, and such tasks at most.
+TASK_ROWS, MOST_TASKS = 500_000, 20_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,19 +39,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/ledgerloom/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def tasks_for_rows(spark: SparkSession, n_rows: int) -> int:
+    """Partitions of a shuffle so that each gets about TASK_ROWS rows, at least the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-n_rows // TASK_ROWS)))
+
+
+def saved(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared scratch folder and read it back.
 
-    The shuffle files of the write go at its end, not when the driver happens to collect its memory.
+    The shuffle files of the write go at its end, not when the driver happens to collect its memory. tasks: partitions of
+    its shuffles, if not the session's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({PARTITIONS: str(tasks)} if tasks else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -33,6 +33,14 @@ def test_orders_need_no_join_of_lines(spark):
     assert plan(a).count("Join") < plan(b).count("Join")
 
 
+def test_features_of_orders_that_carry_their_categories(spark):
+    orders, items, products, tickets = star_tables(spark, SF)
+    with_levels = storage.saved(feat.with_levels(orders, items, products), "levels")
+    a, b = feat.features(orders, items, products, tickets, CUT), feat.features(with_levels, None, None, tickets, CUT)
+    assert with_levels.count() == orders.count() and a.schema == b.schema
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.where("n_categories > 1").count() > 10
+
+
 def test_lines_of_a_star_meet_their_orders_once(spark):
     """Facts and quarantine come from the same scratch table."""
     orders, items, products, tickets = star_tables(spark, SF)
