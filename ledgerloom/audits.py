@@ -11,7 +11,7 @@ from .operators import models, profile
 from .plans import conform, diagnostics, star
 from .plans import features as feat
 from .queries import BASE_SQL, CUT, END, TARGET_SQL, _doubles, _features_sql, customer_features, people_records, raw_items, raw_orders, star_tables, table
-from .storage import saved
+from .storage import saved, tasks_for_rows
 
 #: Labels that stand for the legacy system's free text (fixed values).
 LABELS = ["TV e Som", " Eletro-Domésticos ", "CELULARES", "Móveis", "diversos", "Informática e Games", "esporte", "something else"]
@@ -229,7 +229,8 @@ def leak_confinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks run on a table that breaks all of them as well."""
     others = [c for c in feat.FEATURES if c not in ("recency_days", "frequency")]
     o, items, products, tickets = star_tables(spark, sf_dir)
-    o, items = saved(o, "orders"), saved(items, "items")
+    tasks = tasks_for_rows(spark, table(spark, sf_dir, "lineitem").count())
+    o = saved(feat.with_levels(o, items, products), "orders", tasks)
     right = saved(feat.features(o, items, products, tickets, CUT).join(feat.target(o, CUT, END), "customer_id"), "right")
     # the leaking table comes from a run of its own: features as of the cut, the target by sets, recency and frequency of all orders
     then = feat.as_of(o, items, tickets, CUT)
