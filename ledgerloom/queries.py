@@ -424,7 +424,8 @@ def model_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Univariate AUC of numeric features against the target, on the training rows of an exact stratified split."""
     names = ["recency_days", "frequency", "orders_last_90d", "tenure_days", "n_categories"]
     # saved once: ranges sample their input before they deal it, and only keys and labels are ranged
-    base = saved(customer_features(spark, sf_dir).select("customer_id", "y", *names), "base")
+    tasks = tasks_for_rows(spark, table(spark, sf_dir, "lineitem").count())
+    base = saved(customer_features(spark, sf_dir).select("customer_id", "y", *names), "base", tasks)
     split = models.stratified_split(base.select("customer_id", "y"), "customer_id", "y").where("train")
     return models.univariate_auc(base.join(split.select("customer_id"), "customer_id", "left_semi"), names, "y")
 

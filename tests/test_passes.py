@@ -52,3 +52,15 @@ def test_lines_of_a_star_meet_their_orders_once(spark):
     assert all("/lines-" in f for f in aside.inputFiles()) and "Join" not in plan(aside)
     assert aside.columns == star.quarantine(items).columns and aside.exceptAll(star.quarantine(items)).count() == 0 < aside.count()
     assert done["fact_item"].count() == star.fact_item(items, done["fact_order"]).count() == items.where("order_exists").count()
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    before = spark.conf.get(storage.PARTITIONS)
+    assert storage.tasks_for_rows(spark, 1_234) == 13 and storage.tasks_for_rows(spark, 0) == int(before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = storage.saved(spark.range(5_000).groupBy((F.col("id") % 999).alias("k")).count(), "tasks", 13)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out.inputFiles()) == 13 and spark.conf.get(storage.PARTITIONS) == before
