@@ -336,6 +336,7 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
         .join(reached, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
+    least = saved(least, "least")  # read twice; else its joins are planned, broadcast and run twice
     label = least.join(least.groupBy("component").agg(F.min("least").alias("first")), "component").select(F.col("node").alias("sig"), "first")
     return rows.select("doc_id", "text_hash", "n", "sig").join(label, "sig", "left")
 

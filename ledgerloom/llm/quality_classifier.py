@@ -197,13 +197,14 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
             found = []
             for text in batch.column(0):
                 low, other = features(text.as_py())
-                found.append(sorted({bucket(x) for x in (*low, *other)}))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["x", "grade"])
+                found.append(np.array(sorted({bucket(x) for x in (*low, *other)}), np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["x", "grade"])
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `sample` rows of 12 bytes
     one = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
-    rows = one.select("text", "grade").mapInArrow(run, "x array<int>, grade int")
-    return fit_rows([(np.array(r.x, np.int32), r.grade) for r in rows.toLocalIterator()])
+    # four bytes a bucket: as arrays, each number would be an object in the driver's heap and one in its Python
+    rows = one.select("text", "grade").mapInArrow(run, "x binary, grade int")
+    return fit_rows([(np.frombuffer(r.x, np.int32), r.grade) for r in rows.toLocalIterator()])
 
 
 class _Weights(dict):

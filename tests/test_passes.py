@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom import storage
+from ledgerloom.llm.jaccard_join import jaccard_classes
 from ledgerloom.operators.keys import dense_keys
 from ledgerloom.plans import conform, star
 from ledgerloom.plans import features as feat
@@ -64,3 +65,11 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(out.inputFiles()) == 13 and spark.conf.get(storage.PARTITIONS) == before
+
+
+def test_classes_are_joined_from_saved_tables(spark):
+    """The last plan of the near-duplicate join has two joins; the tables below are not planned, broadcast and run twice."""
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 5, i % 5 + 9))) for i in range(20)]
+    out = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(i, i % 5) for i in range(20)}
